@@ -1,22 +1,25 @@
 """SimHash near-duplicate classes by a self-join of binary tries.
 
-A fingerprint has 64 bits. Two of them that differ in at most `budget` bits agree wholly on at least one
-of budget + 1 blocks of bits, so every fingerprint is filed under each of its blocks. The fingerprints of
-one file form a binary trie over the remaining bits; node pairs of that trie are walked together from the
-root, each step down adds the bits in which the two sides differ, and a pair is dropped as soon as it has
-spent the budget. A file with more than `cap` fingerprints is never handed to a task: it is filed again
-under blocks of its free bits, which halves it at least, until the free bits alone bound its size. The walk
-is exact: every pair within the budget is met in some file.
+A signature has `lanes` fingerprints of 64 bits. Two signatures within `budget` differing bits have a lane
+within budget // lanes bits, and such a lane agrees wholly on at least `match` of its `parts` blocks of bits.
+So every fingerprint is filed under each choice of `match` blocks. The fingerprints of one file form a binary
+trie over the remaining bits; node pairs of that trie are walked together from the root, each step down adds
+the bits in which the two sides differ, and a pair is dropped as soon as it has spent the lane's budget. A
+file with more than `cap` fingerprints is never handed to a task: it is filed again under blocks of its free
+bits, until the free bits alone bound its size. The walk is exact: every pair within the budget is met.
 
 Nulls and edge cases: a null or empty text, or one of white space only, has fingerprint zero and links like
 any other; equal fingerprints are one node (copies are never expanded to pairs); repeated rows come back as
 often as they went in; rows with a null id take part, and a class made of such rows only has a null id.
+An empty table gives an empty result. Only the id and text columns are read, so further columns may have
+any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,188 +27,224 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_side, stash
+from .base import small_side, stash, table
 from .components import components
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
-_SLAB = 65_536
+_SLAB = 16_384
+_PAIRS = 100_000
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles, as an unsigned integer."""
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """An independent hash of each hash: lane 0 as it is, others by a 64-bit finaliser."""
+    if not lane:
+        return hashes
+    h = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def signature(text: str | None, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """Majority bits of the XXH64 (seed 42) of all word shingles: one unsigned fingerprint a lane."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(lanes, dtype=np.uint64)
     n = max(1, len(tokens) - words + 1)
     shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
     hashes = np.fromiter(map(_HASH, shingles), dtype="<u8", count=n)
-    ones = np.zeros(BITS, dtype=np.int64)
+    ones = np.zeros(BITS * lanes, dtype=np.int64)
     for at in range(0, n, _SLAB):
-        octets = hashes[at : at + _SLAB].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        slab = np.stack([_mixed(hashes[at : at + _SLAB], lane) for lane in range(lanes)], axis=1)
+        ones += np.unpackbits(slab.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document, fp as a signed long."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
+    """(doc_id, f0, f1, ...): one row per document, fingerprints as signed longs."""
+    names = [f"f{lane}" for lane in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            sigs = np.zeros((batch.num_rows, lanes), dtype=np.uint64)
+            for k, text in enumerate(batch.column(1)):
+                sigs[k] = signature(text.as_py(), words, lanes)
+            columns = [pa.array(np.ascontiguousarray(sigs[:, lane]).view(np.int64)) for lane in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+        run, "doc_id long, " + ", ".join(f"{n} long" for n in names)
     )
 
 
 @lru_cache(maxsize=None)
-def _masks(path: int, parts: int) -> tuple[int, ...]:
-    """Bit masks of the blocks that path's files are filed under next; path 1 is the root, then path * parts + block."""
-    if path == 1:
-        fixed = 0
-    else:
-        fixed = _masks((path) // parts if path >= parts else 1, parts)[path % parts]
+def _masks(path: tuple[int, ...], parts: int, match: int) -> tuple[int, ...]:
+    """The bit masks that files below path are keyed by; path holds the choice made at each level so far."""
+    fixed = _masks(path[:-1], parts, match)[path[-1]] if path else 0
     free = [b for b in range(BITS - 1, -1, -1) if not fixed >> b & 1]
     cuts = [round(k * len(free) / parts) for k in range(parts + 1)]
-    return tuple(fixed | sum(1 << b for b in free[cuts[k] : cuts[k + 1]]) for k in range(parts))
+    blocks = [sum(1 << b for b in free[cuts[k] : cuts[k + 1]]) for k in range(parts)]
+    return tuple(fixed | sum(chosen) for chosen in combinations(blocks, match))
 
 
-def _file(frame: DataFrame, parts: int) -> DataFrame:
-    """File each (path, fp) under the blocks of its free bits: (path, key, fp)."""
+def _file(frame: DataFrame, parts: int, match: int, lanes: int) -> DataFrame:
+    """File each fingerprint under blocks of its free bits: (lane, path, key, node, f0, ...)."""
+    names = ["lane", "path", "key", "node", *(f"f{lane}" for lane in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = np.asarray(batch.column(0))
-            fps = np.asarray(batch.column(1))
-            for path in np.unique(paths):
-                own = fps[paths == path]
-                for k, mask in enumerate(_masks(int(path), parts)):
-                    key = own & np.array([mask], dtype=np.uint64).view(np.int64)
-                    child = np.full(len(own), int(path) * parts + k, dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(child), pa.array(key), pa.array(own)], ["path", "key", "fp"]
-                    )
-
-    return frame.select("path", "fp").mapInArrow(run, "path long, key long, fp long")
-
-
-def trie_links(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fps (unsigned, sorted within each run of equal group) within the budget.
-
-    Node pairs are ranges of the sorted array; all pairs of one depth are walked at once.
+            lane, path = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            for at in {(int(a), b) for a, b in zip(lane, path)}:
+                own = batch.filter(pa.array((lane == at[0]) & (path == at[1])))
+                fps = np.asarray(own.column(3 + at[0]))
+                steps = tuple(map(int, at[1].split(".")[1:]))
+                for k, mask in enumerate(_masks(steps, parts, match)):
+                    key = fps & np.array([mask], dtype=np.uint64).view(np.int64)[0]
+                    child = pa.array([f"{at[1]}.{k}"] * len(fps))
+                    yield pa.RecordBatch.from_arrays([own.column(0), child, pa.array(key), *own.columns[2:]], names)
+
+    schema = "lane int, path string, key long, node long, " + ", ".join(f"{n} long" for n in names[4:])
+    return frame.select("lane", "path", *names[3:]).mapInArrow(run, schema)
+
+
+def trie_links(
+    fps: np.ndarray, group: np.ndarray, budget: int, emit: Callable[[np.ndarray, np.ndarray], None]
+) -> None:
+    """Emit index pairs of fps (unsigned, sorted within each run of equal group) within the budget.
+
+    A trie node is a range of the sorted array. Node pairs of one depth are walked together, at most
+    `_PAIRS` at a time; the rest waits on a stack, so memory stays bounded in dense files too.
     """
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     lo, hi = edges[:-1], edges[1:]
     keep = hi - lo > 1
-    a_lo, a_hi = lo[keep], hi[keep]
-    b_lo, b_hi, spent = a_lo.copy(), a_hi.copy(), np.zeros(len(a_lo), dtype=np.int64)
-    found_i, found_j = [], []
-    for bit in range(BITS - 1, -2, -1):
-        area = (a_hi - a_lo) * (b_hi - b_lo)
-        done = area <= 64 if bit >= 0 else np.ones(len(area), dtype=bool)
+    lo, hi = lo[keep], hi[keep]
+    stack = [(BITS - 1, np.stack([lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int64)]))]
+    while stack:
+        bit, pairs = stack.pop()
+        if pairs.shape[1] > _PAIRS:
+            half = pairs.shape[1] // 2
+            stack += [(bit, pairs[:, :half]), (bit, pairs[:, half:])]
+            continue
+        a_lo, a_hi, b_lo, b_hi, spent = pairs
+        done = (a_hi - a_lo) * (b_hi - b_lo) <= (16 if bit >= 0 else 2**62)
         if done.any():  # a few leaves on either side: compare what is left of their paths at once
-            sizes, la, lb, wb = area[done], a_lo[done], b_lo[done], (b_hi - b_lo)[done]
+            la, lb, wa, wb = a_lo[done], b_lo[done], (a_hi - a_lo)[done], (b_hi - b_lo)[done]
+            sizes = wa * wb
             pair = np.repeat(np.arange(len(sizes)), sizes)
             k = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             i, j = la[pair] + k // wb[pair], lb[pair] + k % wb[pair]
             ok = i < j
             i, j = i[ok], j[ok]
             ok = np.bitwise_count(fps[i] ^ fps[j]) <= budget
-            found_i.append(i[ok])
-            found_j.append(j[ok])
-            live = ~done
-            a_lo, a_hi, b_lo, b_hi, spent = a_lo[live], a_hi[live], b_lo[live], b_hi[live], spent[live]
+            emit(i[ok], j[ok])
+            a_lo, a_hi, b_lo, b_hi, spent = pairs[:, ~done]
         if not len(a_lo):
-            break
+            continue
         ones = np.r_[0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
         a_mid, b_mid = a_hi - (ones[a_hi] - ones[a_lo]), b_hi - (ones[b_hi] - ones[b_lo])
         both = a_lo != b_lo
-        a_lo, a_hi, b_lo, b_hi, spent = (
-            np.concatenate(parts)
-            for parts in zip(
-                (a_lo, a_mid, b_lo, b_mid, spent),
-                (a_mid, a_hi, b_mid, b_hi, spent),
-                (a_lo, a_mid, b_mid, b_hi, spent + 1),
-                (a_mid[both], a_hi[both], b_lo[both], b_mid[both], spent[both] + 1),
-            )
+        walked = np.concatenate(
+            [
+                np.stack([a_lo, a_mid, b_lo, b_mid, spent]),
+                np.stack([a_mid, a_hi, b_mid, b_hi, spent]),
+                np.stack([a_lo, a_mid, b_mid, b_hi, spent + 1]),
+                np.stack([a_mid, a_hi, b_lo, b_mid, spent + 1])[:, both],
+            ],
+            axis=1,
         )
-        live = (a_hi > a_lo) & (b_hi > b_lo) & (spent <= budget) & ((a_lo != b_lo) | (a_hi - a_lo > 1))
-        a_lo, a_hi, b_lo, b_hi, spent = a_lo[live], a_hi[live], b_lo[live], b_hi[live], spent[live]
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n items over the links i-j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
-def _walk(budget: int, cap: int):
-    """Arrow function over rows sorted by (path, key, fp): spanning links of each file."""
-    empty = np.zeros(0, dtype=np.int64)
-
-    def links(path: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        fps = fp.view(np.uint64)
-        starts = np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1])]
-        group = np.cumsum(starts)
-        order = np.lexsort((fps, group))
-        fps = fps[order]
-        i, j = trie_links(fps, group, budget)
-        label = _forest(len(fps), i, j)
-        moved = np.flatnonzero(label != np.arange(len(fps)))
-        u, v = fps[moved].view(np.int64), fps[label[moved]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        wide = (walked[1] > walked[0]) & (walked[3] > walked[2])
+        pays = (walked[4] <= budget) & ((walked[0] != walked[2]) | (walked[1] - walked[0] > 1))
+        if (live := wide & pays).any():
+            stack.append((bit - 1, walked[:, live]))
+
+
+class Classes:
+    """Smallest index reachable from each of n items, as links come in."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = self.label[i], self.label[j]
+        while (apart := i != j).any():
+            i, j = i[apart], j[apart]
+            low = np.minimum(i, j)
+            np.minimum.at(self.label, i, low)
+            np.minimum.at(self.label, j, low)
+            while not np.array_equal(up := self.label[self.label], self.label):
+                self.label = up
+            i, j = self.label[i], self.label[j]
+
+
+def _walk(budget: int, lane_budget: int, cap: int):
+    """Arrow function over rows sorted by (lane, path, key): spanning links of each file."""
+
+    def links(group: np.ndarray, lane: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        own = sigs[np.arange(len(lane)), lane]
+        order = np.lexsort((own, group))
+        fps, sigs, node = own[order], sigs[order], node[order]
+        classes = Classes(len(fps))
+
+        def emit(i: np.ndarray, j: np.ndarray) -> None:
+            if sigs.shape[1] > 1:
+                near = np.bitwise_count(sigs[i] ^ sigs[j]).sum(axis=1, dtype=np.int64) <= budget
+                i, j = i[near], j[near]
+            classes.add(i, j)
+
+        trie_links(fps, group, lane_budget, emit)
+        moved = np.flatnonzero(classes.label != np.arange(len(fps)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[classes.label[moved]])], ["u", "v"])
+
+    def parts(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        lane, path, key, node = (rows.column(k).to_numpy() for k in range(4))
+        sigs = np.stack([rows.column(k).to_numpy() for k in range(4, rows.num_columns)], axis=1).view(np.uint64)
+        starts = np.r_[True, (lane[1:] != lane[:-1]) | (path[1:] != path[:-1]) | (key[1:] != key[:-1])]
+        return starts, lane, node, sigs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (empty, empty, empty)
+        held: pa.Table | None = None
         for batch in batches:
-            path, key, fp = (np.r_[h, np.asarray(c)] for h, c in zip(held, batch.columns))
-            change = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1]))
-            whole = change[-1] + 1 if len(change) else 0
-            held = (path[whole:], key[whole:], fp[whole:])
-            bounds = np.r_[0, change + 1] if len(change) else np.zeros(1, dtype=np.int64)
-            at = 0
-            while at < whole:  # slabs of whole files, so that dense files do not meet in memory
-                nxt = int(bounds[np.searchsorted(bounds, at + cap, "right") - 1])
-                nxt = nxt if nxt > at else int(bounds[np.searchsorted(bounds, at, "right")])
-                nxt = min(nxt, whole)
-                yield links(path[at:nxt], key[at:nxt], fp[at:nxt])
+            fresh = pa.Table.from_batches([batch])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            if held.num_rows < cap:
+                continue
+            starts, lane, node, sigs = parts(held)
+            bounds = np.flatnonzero(starts)
+            at, whole = 0, int(bounds[-1])
+            while at < whole:  # slabs of whole files
+                nxt = int(bounds[max(np.searchsorted(bounds, at + cap, "right") - 1, np.searchsorted(bounds, at, "right"))])
+                yield links(np.cumsum(starts[at:nxt]), lane[at:nxt], node[at:nxt], sigs[at:nxt])
                 at = nxt
-        if len(held[0]):
-            yield links(*held)
+            held = held.slice(whole)
+        if held is not None and held.num_rows:
+            starts, lane, node, sigs = parts(held)
+            yield links(np.cumsum(starts), lane, node, sigs)
 
     return run
 
 
-def hamming_links(nodes: DataFrame, budget: int = 3, cap: int = 2048) -> DataFrame:
-    """Spanning links (u, v) of the distinct fingerprints nodes(fp) that lie within the budget."""
-    parts = budget + 1
-    level = nodes.select(F.lit(1).cast("long").alias("path"), "fp")
-    out = None
+def hamming_links(nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int) -> DataFrame:
+    """Spanning links (u, v) of the distinct signatures nodes(node, f0, ...) that lie within the budget."""
+    lane_budget = budget // lanes
+    if parts - lane_budget < match:
+        raise ValueError("a lane within its budget must keep `match` blocks whole")
+    signature_cols = ["node", *(f"f{lane}" for lane in range(lanes))]
+    level = nodes.select(F.explode(F.array(*map(F.lit, range(lanes)))).alias("lane"), F.lit("r").alias("path"), *signature_cols)
+    out, keys = None, ["lane", "path", "key"]
     while True:
-        filed = _file(level, parts)
-        full = stash(filed.groupBy("path", "key").count().filter(F.col("count") > cap).select("path", "key"), "simhash-full")
+        filed = _file(level, parts, match, lanes)
+        full = stash(filed.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys), "simhash-full")
         n_full = full.count()
-        light = filed.join(small_side(full, n_full), ["path", "key"], "left_anti") if n_full else filed
-        found = (
-            light.repartition("path", "key").sortWithinPartitions("path", "key").mapInArrow(_walk(budget, cap), "u long, v long")
-        )
+        light = filed.join(small_side(full, n_full), keys, "left_anti") if n_full else filed
+        walk = _walk(budget, lane_budget, cap)
+        found = light.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not n_full:
             return out
-        level = stash(filed.join(small_side(full, n_full), ["path", "key"], "left_semi").select("path", "fp"), "simhash-level")
+        level = stash(filed.join(small_side(full, n_full), keys, "left_semi").drop("key"), "simhash-level")
 
 
 def near_duplicates(
@@ -213,25 +252,43 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = 3,
+    lanes: int = 1,
     budget: int = 3,
-    cap: int = 2048,
+    parts: int = 4,
+    match: int = 1,
+    cap: int = 4096,
 ) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document; component_id is the smallest id reachable."""
-    prints = stash(fingerprints(docs, id_col, text_col, words), "simhash-fp")
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(hamming_links(nodes, budget, cap), "simhash-cc")
+    """(doc_id, f0, ..., component_id): one row per document; component_id is the smallest id reachable.
+
+    With several lanes a class is named inside by a 64-bit hash of the signature.
+    """
+    names = [f"f{lane}" for lane in range(lanes)]
+    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
+    prints = stash(signatures(docs, id_col, text_col, words, lanes).withColumn("node", node), "simhash-fp")
+    nodes = stash(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    roots = components(hamming_links(nodes, lanes, budget, parts, match, cap), "simhash-cc")
     if roots is None:
-        classes = nodes.select("fp", F.col("least").alias("component_id"))
+        classes = nodes.select("node", F.col("least").alias("component_id"))
     else:
-        roots = roots.withColumnRenamed("node", "fp")
-        rooted = stash(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+        rooted = stash(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "simhash-roots")
         least = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-        classes = stash(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+        classes = stash(rooted.join(least, "root").select("node", "component_id"), "simhash-classes")
+    return prints.join(classes, "node").select("doc_id", *names, "component_id")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    from .base import table
-
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, words: int = 2, lanes: int = 4, budget: int = 27, parts: int = 8, match: int = 2) -> DataFrame:
+    """docs without near-duplicates: of each class the row with the smallest id stays.
+
+    256 bits over two-word shingles within 27 bits is what documents with a five-word Jaccard similarity
+    of 0.8 or more measure; see the README for the calibration.
+    """
+    found = stash(near_duplicates(docs, words=words, lanes=lanes, budget=budget, parts=parts, match=match), "simhash-kept")
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi")
+    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
