@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bitplanes, packing, simhash
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2,
+    "op4_bit_planes": bitplanes.op4,
     "op5_simhash_trie": simhash.op5,
 }
 
