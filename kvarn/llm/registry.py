@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bitplanes, packing, simhash
+from . import bitplanes, packing, simhash, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
     "op4_bit_planes": bitplanes.op4,
     "op5_simhash_trie": simhash.op5,
+    "op9_ftrl_toxicity": toxicity.op9,
 }
 
 ORACLES: dict[str, str] = {}
