@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bitplanes, html_text, packing, simhash, toxicity
+from . import bitplanes, html_text, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
     "op4_bit_planes": bitplanes.op4,
     "op5_simhash_trie": simhash.op5,
+    "op8_pii_transducers": pii.op8,
     "op9_ftrl_toxicity": toxicity.op9,
     "op10_line_blocks": html_text.op10,
 }
