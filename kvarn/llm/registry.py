@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bitplanes, html_text, packing, pii, simhash, toxicity
+from . import bitplanes, decontaminate, html_text, packing, pii, simhash, toxicity
 
 QUERIES = {
+    "op1_latent_decontamination": decontaminate.op1,
     "op2_best_fit_packing": packing.op2,
     "op4_bit_planes": bitplanes.op4,
     "op5_simhash_trie": simhash.op5,
