@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontaminate, html_text, packing, pii, simhash, toxicity
+from . import bitplanes, decontaminate, html_text, packing, pii, simhash, topk, toxicity
 
 QUERIES = {
     "op1_latent_decontamination": decontaminate.op1,
     "op2_best_fit_packing": packing.op2,
     "op4_bit_planes": bitplanes.op4,
     "op5_simhash_trie": simhash.op5,
+    "op7_bit_sliced_topk": topk.op7,
     "op8_pii_transducers": pii.op8,
     "op9_ftrl_toxicity": toxicity.op9,
     "op10_line_blocks": html_text.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_bit_sliced_topk": topk.SQL,
+}
