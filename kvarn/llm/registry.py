@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontaminate, html_text, packing, pii, simhash, topk, toxicity
+from . import bitplanes, decontaminate, html_text, packing, pii, shards, simhash, topk, toxicity
 
 QUERIES = {
     "op1_latent_decontamination": decontaminate.op1,
     "op2_best_fit_packing": packing.op2,
+    "op3_size_tiered_shards": shards.op3,
     "op4_bit_planes": bitplanes.op4,
     "op5_simhash_trie": simhash.op5,
     "op7_bit_sliced_topk": topk.op7,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_size_tiered_shards": shards.SQL,
     "op7_bit_sliced_topk": topk.SQL,
 }
