@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontaminate, html_text, packing, pii, shards, simhash, topk, toxicity
+from . import bitplanes, decontaminate, html_text, packing, pii, quotes, shards, simhash, topk, toxicity
 
 QUERIES = {
     "op1_latent_decontamination": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_size_tiered_shards": shards.op3,
     "op4_bit_planes": bitplanes.op4,
     "op5_simhash_trie": simhash.op5,
+    "op6_quote_links": quotes.op6,
     "op7_bit_sliced_topk": topk.op7,
     "op8_pii_transducers": pii.op8,
     "op9_ftrl_toxicity": toxicity.op9,
