@@ -2,15 +2,19 @@
 
 A byte-level BPE never merges across the pieces that its pre-tokeniser cuts, so the ids of a text are the
 ids of its pieces in a row. Pieces repeat, and looking them up is several times faster than merging them
-again: unseen pieces go to the library in one batch, known ones come from a bounded two-generation store
-that a worker keeps between tasks. Texts with characters outside Basic Latin, the letters of Latin-1 and
-Latin Extended-A/B, where the two regex dialects could cut differently, go to the library whole.
+again: an unseen piece goes to the library's merge model, known ones come from a bounded two-generation
+store that a worker keeps between tasks. Vocabularies of another kind, and texts with characters outside
+Basic Latin, the letters of Latin-1 and Latin Extended-A/B, where the two regex dialects could cut
+differently, go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,45 +33,60 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _byte_letters() -> list[str]:
+    """The visible letter that a byte-level vocabulary writes for each byte."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return [letter[b] for b in range(256)]
+
+
+class _Pieces(dict):
+    """Ids of pieces; an unknown piece is taken from the generation before, or merged by the library's model."""
+
+    def __init__(self, model, old: dict[str, bytes]) -> None:
+        self.merge, self.old = model.tokenize, old
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            tokens = self.merge(piece.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in tokens]).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts to bytes of ids; keeps at most two generations of `room` pieces."""
+    """Encodes texts to bytes of ids; keeps at most two generations of about `room` pieces."""
 
-    def __init__(self, path: str, room: int = 400_000) -> None:
+    def __init__(self, path: str, room: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.room, self.young, self.old = room, {}, {}
+        spec = json.loads(self.tokenizer.to_str())
+        cutter = spec.get("pre_tokenizer") or {}
+        plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+        self.by_piece = bool(plain and spec["model"]["type"] == "BPE" and not spec.get("normalizer") and sys.byteorder == "little")
+        self.room, self.known = room, _Pieces(self.tokenizer.model, {})
 
     def _library(self, texts: list[str]) -> list[bytes]:
         batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut, unseen = [], set()
+        out = []
         for text in texts:
             if not text:
-                cut.append([])
-            elif _OTHER.search(text):
-                cut.append(None)
+                out.append(b"")
+            elif self.by_piece and not _OTHER.search(text):
+                out.append(b"".join(map(self.known.__getitem__, _PIECE.findall(text))))
             else:
-                pieces = _PIECE.findall(text)
-                cut.append(pieces)
-                unseen.update(pieces)
-        unseen -= self.young.keys()
-        for piece in [p for p in unseen if p in self.old]:
-            self.young[piece] = self.old[piece]
-            unseen.discard(piece)
-        fresh = list(unseen)
-        self.young.update(zip(fresh, self._library(fresh)))
-        get = self.young.__getitem__
-        out = [None if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
-        whole = [k for k, pieces in enumerate(cut) if pieces is None]
-        for k, ids in zip(whole, self._library([texts[k] for k in whole])):
-            out[k] = ids
-        if len(self.young) > self.room:
-            self.old, self.young = self.young, {}
+                out += self._library([text])
+            if len(self.known) > self.room:
+                self.known = _Pieces(self.tokenizer.model, dict(self.known))
         return out
 
 
