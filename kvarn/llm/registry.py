@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bitplanes, decontaminate, html_text, packing, pii, quotes, shards, simhash, topk, toxicity
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_pii_transducers": pii.op8,
     "op9_ftrl_toxicity": toxicity.op9,
     "op10_line_blocks": html_text.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -285,10 +285,14 @@ def survivors(docs: DataFrame, words: int = 2, lanes: int = 4, budget: int = 27,
     """docs without near-duplicates: of each class the row with the smallest id stays.
 
     256 bits over two-word shingles within 27 bits is what documents with a five-word Jaccard similarity
-    of 0.8 or more measure; see the README for the calibration.
+    of 0.8 or more measure; see the README for the calibration. Rows with a null id cannot be named and stay;
+    of rows that share an id one stays.
     """
-    found = stash(near_duplicates(docs, words=words, lanes=lanes, budget=budget, parts=parts, match=match), "simhash-kept")
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    found = stash(near_duplicates(docs, words=words, lanes=lanes, budget=budget, parts=parts, match=match), "simhash-found")
+    named = found.filter(F.col("doc_id").isNotNull())
+    gone = stash(named.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-gone")
+    out = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    once = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(out.filter("doc_id is null"))

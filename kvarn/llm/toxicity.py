@@ -131,8 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), trainable: Col
     return {r["at"]: r["weight"] for r in extracted.repartition(1).mapInArrow(learn, "at int, weight double").collect()}
 
 
-def score(docs: DataFrame, model: dict[int, float], p: Params = Params(), keep: list[str] | None = None) -> DataFrame:
-    """docs[keep] with a score of the whole text between 0 and 1; keep defaults to doc_id."""
+def score(
+    docs: DataFrame, model: dict[int, float], p: Params = Params(), keep: list[str] | None = None, name: str = "score"
+) -> DataFrame:
+    """docs[keep] with a score of the whole text between 0 and 1 in column name; keep defaults to doc_id."""
     keep = keep or ["doc_id"]
     places = np.array(sorted(model), dtype=np.int32)
     values = np.array([model[k] for k in places.tolist()])
@@ -147,10 +149,11 @@ def score(docs: DataFrame, model: dict[int, float], p: Params = Params(), keep:
                 at = np.unique(at[weights[at] != 0])
                 logits[k] += weights[at].sum()
             scores = pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], name])
 
-    frame = docs.select(*keep, F.col("text").alias("__scored"))
-    return frame.mapInArrow(run, frame.drop("__scored").withColumn("score", F.lit(0.0)).schema)
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    frame = kept.withColumn("__kvarn_text", docs["text"])
+    return frame.mapInArrow(run, kept.withColumn(name, F.lit(0.0)).schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -163,5 +166,6 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs without the rows scored at or above the threshold."""
-    names = docs.columns
-    return score(docs, fit(docs, labels), keep=names).filter(F.col("score") < threshold).select(*names)
+    mark = "__kvarn_toxicity"
+    scored = score(docs, fit(docs, labels), keep=docs.columns, name=mark)
+    return scored.filter(F.col(mark) < threshold).drop(mark)
