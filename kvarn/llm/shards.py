@@ -100,7 +100,7 @@ class ShardedTable:
         """Write rows that carry RUN (and maybe FILE) and return the runs found below a fresh folder."""
         batch = f"data/{uuid4().hex}"
         keys = [c for c in (RUN, FILE) if c in rows.columns]
-        rows.write.partitionBy(*keys).parquet(f"{self.folder}/{batch}")
+        rows.write.option("compression", "zstd").partitionBy(*keys).parquet(f"{self.folder}/{batch}")
         found = []
         for status in self._fs.listStatus(self._path(batch)):
             name = status.getPath().getName()
