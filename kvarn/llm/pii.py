@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import frugal, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -304,7 +304,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), schema)
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def masked(docs: DataFrame) -> DataFrame:
             texts = pa.array([mask(t.as_py()) for t in batch.column(at)], pa.string())
             yield batch.set_column(at, "text", texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

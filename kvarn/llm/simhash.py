@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_side, stash, table
+from .base import frugal, small_side, stash, table
 from .components import components
 
 BITS = 64
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: i
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, " + ", ".join(f"{n} long" for n in names)
+        frugal(run), "doc_id long, " + ", ".join(f"{n} long" for n in names)
     )
 
 
@@ -106,7 +106,7 @@ def _file(frame: DataFrame, parts: int, match: int, lanes: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([own.column(0), child, pa.array(key), *own.columns[2:]], names)
 
     schema = "lane int, path string, key long, node long, " + ", ".join(f"{n} long" for n in names[4:])
-    return frame.select("lane", "path", *names[3:]).mapInArrow(run, schema)
+    return frame.select("lane", "path", *names[3:]).mapInArrow(frugal(run), schema)
 
 
 def trie_links(
@@ -240,7 +240,7 @@ def hamming_links(nodes: DataFrame, lanes: int, budget: int, parts: int, match:
         n_full = full.count()
         light = filed.join(small_side(full, n_full), keys, "left_anti") if n_full else filed
         walk = _walk(budget, lane_budget, cap)
-        found = light.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "u long, v long")
+        found = light.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(walk), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not n_full:
             return out

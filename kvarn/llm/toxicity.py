@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import frugal, table
 
 _WORD = re.compile(r"\w+")
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -33,7 +33,7 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 class WordHashes:
     """64-bit hashes of words, remembered in a bounded store."""
 
-    def __init__(self, room: int = 500_000) -> None:
+    def __init__(self, room: int = 200_000) -> None:
         self.room, self.known = room, {}
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), trainable: Col
         columns = [pa.array(list(model), pa.int32()), pa.array(list(model.values()), pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, ["at", "weight"])
 
-    extracted = rows.mapInArrow(extract, "doc_id long, toxic int, at binary")
-    return {r["at"]: r["weight"] for r in extracted.repartition(1).mapInArrow(learn, "at int, weight double").collect()}
+    extracted = rows.mapInArrow(frugal(extract), "doc_id long, toxic int, at binary")
+    return {r["at"]: r["weight"] for r in extracted.repartition(1).mapInArrow(frugal(learn), "at int, weight double").collect()}
 
 
 def score(
@@ -152,8 +152,8 @@ def score(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], name])
 
     kept = docs.select(*(F.col(f"`{c}`") for c in keep))
-    frame = kept.withColumn("__kvarn_text", docs["text"])
-    return frame.mapInArrow(run, kept.withColumn(name, F.lit(0.0)).schema)
+    frame = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__kvarn_text"))
+    return frame.mapInArrow(frugal(run), kept.withColumn(name, F.lit(0.0)).schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
