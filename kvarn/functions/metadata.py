@@ -41,17 +41,18 @@ def concepts(text: Column, domain: str, registry: dict[str, dict[str, str]] | No
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*pairs)))) if pairs else none
 
 
-def concepts_by_join(chunks: DataFrame, registry: DataFrame, text: str = "text") -> DataFrame:
-    """Concepts from a registry table (domain, keyword, concept), which must be small: it is counted before it is sent."""
+def concepts_by_join(chunks: DataFrame, registry: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Concepts from a registry table (domain, keyword, concept), which must be small: it is counted before it is sent.
+
+    Only keys and found concepts are shuffled, never the texts twice.
+    """
     size = registry.count()
     if size > 10_000:
         raise ValueError(f"a registry of {size} keywords is too large for a substring search")
-    key = F.monotonically_increasing_id()
-    rows = chunks.withColumn("__row", key)
-    low = F.lower(F.col(text))
-    found = rows.join(F.broadcast(registry), (rows["domain"] == registry["domain"]) & F.contains(low, F.lower("keyword")))
-    found = found.groupBy("__row").agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
-    return rows.join(found, "__row", "left").drop("__row")
+    words = registry.select(F.col("domain").alias("__domain"), F.lower("keyword").alias("__word"), "concept")
+    hit = (F.col("domain") == F.col("__domain")) & F.contains(F.lower(F.col(text)), F.col("__word"))
+    found = chunks.join(F.broadcast(words), hit).groupBy(key).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+    return chunks.join(found, key, "left")
 
 
 _IMPORTS = {

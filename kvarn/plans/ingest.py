@@ -77,27 +77,29 @@ def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, opt
     else:
         gone = store.vanished(found, name)
         n_gone = store.delete_sources(name, gone) if options.clean_stale else 0
-    todo = store.unseen(found, name, options.force).cache()
-    try:
+    todo = store.unseen(found, name, options.force)
+    if options.dry_run:
+        return {"collection": name, "files_processed": todo.count(), "chunks": plan(spark, todo, options).count(), "dry_run": True}
+    # what a run works on and what it has embedded are written down, so that lost executors never embed twice
+    with store.staging(run_id) as stage:
+        done = stage(todo.select("source", "md5"), "sources")
         chunks = plan(spark, todo, options)
-        if options.dry_run:
-            return {"collection": name, "files_processed": todo.count(), "chunks": chunks.count(), "dry_run": True}
-        vectors = embed_chunks(chunks, options.make_embedder, options.batch, wait=options.retry_wait).withColumn("collection", F.lit(name)).cache()
+        embedded = embed_chunks(chunks, options.make_embedder, options.batch, wait=options.retry_wait)
+        vectors = stage(embedded.withColumn("collection", F.lit(name)), "chunks")
         good, failed = split_failed(vectors)
         counts = store.upsert(good.join(failed, "source", "left_anti"), run_id, failed)
-        store.commit_checkpoint(name, todo.select("source", "md5"), failed, gone, head)
+        store.commit_checkpoint(name, done, failed, gone, head)
         record = {
             "ingestion_id": run_id, "mode": options.mode, "domain": options.domain, "collection": name,
-            "files_processed": todo.count(), "chunks_created": counts.created, "chunks_updated": counts.updated,
+            "timestamp": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(began)),
+            "files_processed": done.count(), "chunks_created": counts.created, "chunks_updated": counts.updated,
             "chunks_upserted": counts.created + counts.updated, "chunks_deleted_stale": counts.deleted + n_gone,
             "concepts_found": [r[0] for r in vectors.select(F.explode("concepts").alias("c")).distinct().orderBy("c").collect()],
             "content_type_distribution": {r[0]: r[1] for r in vectors.groupBy("content_type").count().collect()},
             "embedding_model": options.model, "duration_seconds": round(time.time() - began, 3), "errors": failed.count(),
         }
-        store.append_run(record)
-        return record
-    finally:
-        todo.unpersist()
+    store.append_run(record)
+    return record
 
 
 def feed(spark: SparkSession, store_folder: str, source: str, text: str, options: Options) -> dict:

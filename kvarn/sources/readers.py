@@ -62,7 +62,7 @@ def wanted(rel_path: Column, mode: str = "domain") -> Column:
 
 
 def scan(spark: SparkSession, folder: str, mode: str = "domain", ignore: dict[str, list[str]] | None = None) -> DataFrame:
-    """All wanted files below a folder, decoded, sorted by path: the path rules are applied before contents are used."""
+    """All wanted files below a folder, decoded. Path rules come before any use of contents; nothing is sorted here."""
     base = folder.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), rf"^.*\Q{base.removeprefix('file://').rstrip('/')}\E/", "")
@@ -72,7 +72,7 @@ def scan(spark: SparkSession, folder: str, mode: str = "domain", ignore: dict[st
     return rows.select(
         F.concat(F.lit(f"{base}/"), F.col("rel_path")).alias("source"), "rel_path", extension(F.col("rel_path")).alias("ext"),
         F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.md5("content").alias("md5"), decode(F.col("content")).alias("text"),
-    ).orderBy("rel_path")
+    )
 
 
 def csv_tickets(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,8 @@ but counts. State tables (checkpoint, manifests) are small tables of their own,
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -63,6 +65,21 @@ class ChunkStore:
         if not self._fs.rename(aside, self._path(name)):
             raise OSError(f"{name} could not be replaced")
 
+    @contextmanager
+    def staging(self, run_id: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+        """A place for the tables of one run, removed when it ends: stage(rows, name) writes and reads back."""
+        folder = f"staging-{run_id}"
+
+        def stage(rows: DataFrame, name: str) -> DataFrame:
+            path = f"{self.folder}/{folder}/{name}"
+            rows.write.parquet(path)
+            return self.spark.read.schema(rows.schema).parquet(path)
+
+        try:
+            yield stage
+        finally:
+            self._fs.delete(self._path(folder), True)
+
     # chunks
 
     def chunks(self) -> DataFrame:

@@ -111,10 +111,10 @@ def test_api_search(spark, tmp_path, corpus):
     store = f"file://{tmp_path}/db"
     ingest(spark, store, corpus, OPTIONS)
     know = Knowledge(spark, store)
-    best = know.search_knowledge("vlan setup snmp", "nms", k=1).first()
+    best = know.search_knowledge("vlan setup snmp", "nms", k=1, hybrid=False).first()
     assert "vlan setup" in best["text"]
     assert know.search_concepts("VLAN").count() == 1
-    assert "vlan setup" in know.markdown(know.search_knowledge("vlan setup snmp", k=1))
+    assert "vlan setup" in know.markdown(know.search_knowledge("vlan setup snmp", k=2))
     assert know.feed_domain_doc("notes/n.md", "# N\n## X\nfed text", "nms")["files_processed"] == 1
     assert {r.collection for r in know.get_db_stats()["collections"].collect()} == {"nms_domain"}
     assert know.list_repositories().count() >= 1
@@ -195,9 +195,9 @@ def test_redaction_is_stable(spark):
 
 
 def test_concept_join(spark):
-    rows = spark.createDataFrame([("nms", "a vlan"), ("x", "vlan")], "domain string, text string")
+    rows = spark.createDataFrame([("1", "nms", "a vlan"), ("2", "x", "vlan")], "chunk_id string, domain string, text string")
     registry = spark.createDataFrame([("nms", "VLAN", "vlan")], "domain string, keyword string, concept string")
-    assert sorted((r.domain, r.concepts) for r in M.concepts_by_join(rows, registry.withColumnRenamed("domain", "domain")).select(rows["domain"], "concepts").collect()) == [("nms", ["vlan"]), ("x", None)]
+    assert {r.chunk_id: r.concepts for r in M.concepts_by_join(rows, registry).collect()} == {"1": ["vlan"], "2": None}
 
 
 def test_retry_halves_batches():
