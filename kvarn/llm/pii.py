@@ -108,7 +108,7 @@ _DIGITS = {w: str(d) for d, names in enumerate((
     "five cinco cinq fünf", "six seis sechs", "seven siete sept sieben", "eight ocho huit acht", "nine nueve neuf neun",
 )) for w in names.split()}
 _NAMED = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:{_NAMED}|[0-9]+|\+|plus)(?:[\s,.-]{{1,3}}(?:{_NAMED}|[0-9]+)(?!\w)|(?<=\+)(?:{_NAMED}|[0-9]+)(?!\w))+", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:{_NAMED}|[0-9]+|\+|plus)(?:[\s,.-]{{1,3}}(?:{_NAMED}|[0-9]+)(?!\w)|(?<=\+)(?:{_NAMED}|[0-9]+)(?!\w))*", re.I)
 _NAME = re.compile(rf"(?<!\w)(?:{_NAMED}|plus)(?!\w)", re.I)
 _GAP = re.compile(r"(?<=[0-9+])[\s,.-]{1,3}(?=[0-9])")
 #: Words that stand for a dot or an at sign.
@@ -119,6 +119,7 @@ _BRACKETED = re.compile(rf"[(\[{{<]\s{{0,3}}(?:{_DOT_WORD}|{_AT_WORD}|[@.])\s{{0
 _AT = re.compile(rf"[(\[{{<]\s{{0,3}}(?:{_AT_WORD}|@)\s{{0,3}}[)\]}}>]|(?<=\s)(?:{_AT_WORD})(?=\s)|@", re.I)
 _DOT = rf"(?:\s{{0,3}}[(\[{{<]\s{{0,3}}(?:{_DOT_WORD}|\.)\s{{0,3}}[)\]}}>]\s{{0,3}}|\s{{1,3}}(?:{_DOT_WORD}|\.)\s{{1,3}}|\.)"
 _ANY_DOT = re.compile(_DOT, re.I)
+_BEFORE, _AFTER = re.compile(rf"{_DOT}\Z", re.I), re.compile(_DOT, re.I)
 _HEAD = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}\s{{0,3}}\Z", re.I)
 _TAIL = re.compile(rf"\s{{0,3}}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}}", re.I)
 _DOTTED = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?!\w)", re.I)
@@ -177,11 +178,12 @@ def fold_characters(tape: Tape) -> Tape:
 
 
 def spell_out(tape: Tape) -> Tape:
-    """Write runs of spelled digits as digits; a few number words in prose stay words."""
+    """Write runs of spelled digits as digits, and single ones next to a dot mark; other number words stay words."""
     edits = []
     for m in _SPELLED.finditer(tape.text):
         words = list(_NAME.finditer(tape.text, *m.span()))
-        if len(words) < 4:
+        marked = _BEFORE.search(tape.text[max(0, m.start() - 12) : m.start()]) or _AFTER.match(tape.text, m.end())
+        if len(words) < (1 if marked else 2):
             continue
         run = [(w.start(), w.end(), "+" if w[0].lower() == "plus" else _DIGITS[w[0].lower()]) for w in words]
         edits += sorted(run + [(g.start(), g.end(), "") for g in _word_gaps(tape.text, *m.span())])

@@ -110,6 +110,9 @@ def test_base_spans(text):
     ("card four " + "one " * 15, "card", ("four " + "one " * 15).strip()),
     ("192 dot 168 dot 1 dot 20", "ip", "192 dot 168 dot 1 dot 20"),
     ("192[.]168[.]1[.]20", "ip", "192[.]168[.]1[.]20"),
+    ("one nine two dot one six eight dot one dot two", "ip", "one nine two dot one six eight dot one dot two"),
+    ("+1 415 five five five 2671", "phone", "+1 415 five five five 2671"),
+    ("+49 eins fünf eins 1234 567", "phone", "+49 eins fünf eins 1234 567"),
     ("card 4l11 1111 1111 1111", "card", "4l11 1111 1111 1111"),
 ])
 def test_disguises(text, kind, found):
