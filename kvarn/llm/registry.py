@@ -23,4 +23,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_size_tiered_shards": shards.SQL,
     "op7_bit_sliced_topk": topk.SQL,
+    "op10_line_blocks": html_text.SQL,
 }
