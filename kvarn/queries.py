@@ -650,3 +650,29 @@ r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*)::BIGINT AS n FROM r GROUP BY user_id, k""")
 def event_sessions(spark, folder):
     return streams.sessions(read(spark, folder, "events"))
+
+
+# chunkers run in Python on Arrow batches; tests hold them against the plain functions
+
+
+@query()
+def chunked_documents(spark, folder):
+    """All documents as markdown sources, cut into pieces."""
+    from .operators.chunkers import chunk
+
+    docs = read(spark, folder, "documents")
+    sources = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.lit("domain_doc").alias("source_type"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return chunk(sources).select("source", "chunk_index", "text")
+
+
+@query()
+def ingested_chunks(spark, folder):
+    """The whole ingestion plan over the documents: chunks, enrichment and offline vectors."""
+    from .embed import embed_chunks, hashed_words
+    from .plans.ingest import Options, plan
+
+    docs = read(spark, folder, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    sources = docs.select(path.alias("source"), path.alias("rel_path"), F.lit(".txt").alias("ext"), "text")
+    chunks = plan(spark, sources, Options(mode="domain", domain="general", registry=REGISTRY))
+    return embed_chunks(chunks, hashed_words).select("chunk_id", "source", "chunk_index", "repository", "content_type", "concepts", "embedding")
