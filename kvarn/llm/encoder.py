@@ -60,7 +60,7 @@ class _Pieces(dict):
 class Encoder:
     """Encodes texts to bytes of ids; keeps at most two generations of about `room` pieces."""
 
-    def __init__(self, path: str, room: int = 250_000) -> None:
+    def __init__(self, path: str, room: int = 120_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
