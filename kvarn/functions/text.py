@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import tables as T
 
@@ -201,3 +204,25 @@ def parse_rfc_list(text: str) -> list[int]:
 def decode(content: Column) -> Column:
     """Bytes as UTF-8 where they are valid, else as Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
+@F.pandas_udf(StringType())
+def fuzzy_hint(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    """The block of a text most like the wanted lines, where difflib finds it at least 0.4 alike; else null.
+
+    Blocks have as many lines as what is wanted. levenshtein() orders blocks differently, so this one runs in Python.
+    """
+
+    def best(text: str | None, block: str | None) -> str | None:
+        lines, size = (text or "").split("\n"), max(1, len((block or "").split("\n")))
+        blocks = ["\n".join(lines[k : k + size]) for k in range(max(1, len(lines) - size + 1))]
+        matcher = SequenceMatcher(b=block or "", autojunk=False)
+        rated = []
+        for k, candidate in enumerate(blocks):
+            matcher.set_seq1(candidate)
+            if matcher.real_quick_ratio() >= 0.4 and matcher.quick_ratio() >= 0.4:
+                rated.append((matcher.ratio(), -k))
+        top = max(rated, default=(0.0, 0))
+        return blocks[-top[1]] if top[0] >= 0.4 else None
+
+    return pd.Series([best(t, w) for t, w in zip(texts, wanted)])

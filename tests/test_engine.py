@@ -247,3 +247,35 @@ def test_command_line():
     assert (args.command, args.mode, args.k) == ("query", "concept", "3")
     with pytest.raises(SystemExit):
         parser().parse_args(["query", "--mode", "odd"])
+
+
+def test_fuzzy_hint(spark):
+    rows = spark.createDataFrame([("a\ndef f(x):\n  return x\nb", "def f(y):\n  return y"), ("nothing alike", "zzzz"), (None, "x")], "t string, w string")
+    assert [r[0] for r in rows.select(X.fuzzy_hint("t", "w")).collect()] == ["def f(x):\n  return x", None, None]
+
+
+def test_pages_and_listings(spark):
+    rows = spark.createDataFrame([("b", False), ("A", False), ("z", True)], "name string, is_dir boolean")
+    assert [r.name for r in readers.listing(rows).collect()] == ["z", "A", "b"]
+    text = spark.createDataFrame([("Network Working Group " + "x" * 300,), ("<html> rfc " + "x" * 300,), ("rfc 1",)], "t string")
+    assert [r[0] for r in text.select(X.looks_like_rfc(F.col("t"))).collect()] == [True, False, False]
+    assert X.markdown_targets("mxbai-embed-large") == (682, 2048) and X.rfc_targets("nomic-embed-text") == (10922, 32768)
+
+
+def test_render_types(spark):
+    from kvarn.operators import render
+
+    rows = spark.createDataFrame([
+        (1, "code", "x ``` y", {"repository": "r", "relative_path": "a.py", "chunk_name": "f", "chunk_type": "function", "extension": ".py", "dependencies": "os"}),
+        (2, "rfc", "t", {"rfc_number": "1", "section_number": "2", "section_title": "S"}), (3, "customer", "t", {"ticket_id": "T", "has_resolution": "true"}),
+        (4, "mib", "t", {"object_name": "o", "oid_path": "p"}), (5, "community", "t", {}), (6, "other", "t", {}),
+    ], "id int, source_type string, text string, metadata map<string,string>").withColumn("collection", F.lit("c"))
+    got = {r.id: r.shown for r in rows.select("id", render.result().alias("shown")).collect()}
+    assert got[1].endswith("~~~python\nx ``` y\n~~~") and "**File:** r/a.py" in got[1] and "**Component:** f (function)" in got[1]
+    assert got[2] == "### RFC 1 §2: S\n\nt" and got[3] == "### [T] — Resolution: (see body)\n\nt"
+    assert got[4] == "### OID: o (p) — Description\n\nt" and got[5].startswith("### Source: [unknown]") and got[6].startswith("### Result")
+    assert render.joined(rows.filter("false"), render.result(), "id").first()[0] == "No matching chunks found."
+    answer = json.loads(render.as_json(rows, 'q "x"', "semantic", "id").first()[0])
+    assert answer["query"] == 'q "x"' and len(answer["results"]) == 6
+    assert render.by_type(rows, "id").count() == 6
+    assert rows.select(render.compact().alias("c")).first()["c"].startswith("[code] (c)\na.py\n")
