@@ -31,13 +31,25 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/kvarn/{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and survives lost executors."""
+def stash(df: DataFrame, tag: str, done: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut and survives lost executors.
+
+    The path goes to the list done, for tables that a caller discards once nothing depends on them.
+    """
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    if done is not None:
+        done.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, done: list[str]) -> None:
+    """Delete stashed tables that have served their purpose."""
+    for path in done:
+        drop_path(spark, path)
+    done.clear()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any file system Spark knows."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

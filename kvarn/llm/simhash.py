@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import frugal, small_side, stash, table
+from .base import discard, frugal, small_side, stash, table
 from .components import components
 
 BITS = 64
@@ -226,7 +226,9 @@ def _walk(budget: int, lane_budget: int, cap: int):
     return run
 
 
-def hamming_links(nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int) -> DataFrame:
+def hamming_links(
+    nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int, done: list[str] | None = None
+) -> DataFrame:
     """Spanning links (u, v) of the distinct signatures nodes(node, f0, ...) that lie within the budget."""
     lane_budget = budget // lanes
     if parts - lane_budget < match:
@@ -236,7 +238,7 @@ def hamming_links(nodes: DataFrame, lanes: int, budget: int, parts: int, match:
     out, keys = None, ["lane", "path", "key"]
     while True:
         filed = _file(level, parts, match, lanes)
-        full = stash(filed.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys), "simhash-full")
+        full = stash(filed.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys), "simhash-full", done)
         n_full = full.count()
         light = filed.join(small_side(full, n_full), keys, "left_anti") if n_full else filed
         walk = _walk(budget, lane_budget, cap)
@@ -244,7 +246,7 @@ def hamming_links(nodes: DataFrame, lanes: int, budget: int, parts: int, match:
         out = found if out is None else out.unionByName(found)
         if not n_full:
             return out
-        level = stash(filed.join(small_side(full, n_full), keys, "left_semi").drop("key"), "simhash-level")
+        level = stash(filed.join(small_side(full, n_full), keys, "left_semi").drop("key"), "simhash-level", done)
 
 
 def near_duplicates(
@@ -265,14 +267,15 @@ def near_duplicates(
     names = [f"f{lane}" for lane in range(lanes)]
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     prints = stash(signatures(docs, id_col, text_col, words, lanes).withColumn("node", node), "simhash-fp")
-    nodes = stash(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(hamming_links(nodes, lanes, budget, parts, match, cap), "simhash-cc")
+    done: list[str] = []
+    nodes = stash(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")), "simhash-nodes", done)
+    roots = components(hamming_links(nodes, lanes, budget, parts, match, cap, done), "simhash-cc", done)
     if roots is None:
-        classes = nodes.select("node", F.col("least").alias("component_id"))
-    else:
-        rooted = stash(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "simhash-roots")
-        least = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-        classes = stash(rooted.join(least, "root").select("node", "component_id"), "simhash-classes")
+        return prints.join(nodes.select("node", F.col("least").alias("component_id")), "node").select("doc_id", *names, "component_id")
+    rooted = stash(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "simhash-roots", done)
+    least = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least", done)
+    classes = stash(rooted.join(least, "root").select("node", "component_id"), "simhash-classes")
+    discard(docs.sparkSession, done)
     return prints.join(classes, "node").select("doc_id", *names, "component_id")
 
 
