@@ -50,7 +50,8 @@ class Bm25Index:
         words = tokens.select("collection", "sid", F.explode("tokens").alias("term"))
         postings = words.groupBy("collection", "sid", "term").agg(F.count("*").alias("tf"))
         corpus = lengths.groupBy("collection").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-        df = postings.groupBy("collection", "term").agg(F.count("*").alias("df"))
+        seen = tokens.select("collection", F.explode(F.array_distinct("tokens")).alias("term"))
+        df = seen.groupBy("collection", "term").agg(F.count("*").alias("df"))  # combined before its shuffle
         raw = df.join(corpus, "collection").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         floor = raw.groupBy("collection").agg((F.avg("idf") * EPSILON).alias("floor"))
         terms = raw.join(floor, "collection").select(
