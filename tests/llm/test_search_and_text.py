@@ -241,6 +241,21 @@ def test_items_of_the_tables(spark, docs):
     assert {(r.doc_id, r.item_id) for r in D.matches(docs, items).collect()} == want
 
 
+def test_items_in_a_third_of_the_rows(spark):
+    """An item all of whose words stand in a third of the documents is still found, amid other words, and so in tiny tables."""
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [text(30), text(55)]
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for n in (300, 9):
+        held = {k: items[k // 3 % 2] for k in range(0, n, 3)}
+        rows = [(k, f"{text(40 + k % 31)} {held.get(k, '')} {text(60)}") for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in D.matches(docs, frame).collect()} == {(k, k // 3 % 2) for k in held}
+        assert {r.doc_id for r in D.clean(docs, frame).collect()} == set(range(n)) - set(held)
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog while seven wizards"), (2, None), (None, "x y z"), (3, ""), (4, "too short")], "item_id long, text string")
     params = D.Params(common=1.0)
