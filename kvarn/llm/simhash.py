@@ -179,13 +179,60 @@ class Classes:
             i, j = self.label[i], self.label[j]
 
 
-def _walk(budget: int, lane_budget: int, cap: int):
-    """Arrow function over rows sorted by (lane, path, key): spanning links of each file."""
+class Nearest:
+    """Pairs to verify of n items: each item's `most` nearest by distance, and a forest of pairs that spans every class."""
+
+    def __init__(self, n: int, most: int = 4) -> None:
+        self.classes, self.most = Classes(n), most
+        self.rows, self.held, self.forest = [np.zeros((3, 0), dtype=np.int64)], 0, []
+
+    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+        self.rows += [np.stack([i, j, distance]), np.stack([j, i, distance])]
+        self.held += 2 * len(i)
+        if self.held > 10 * _PAIRS:
+            self._prune()
+        while True:
+            a, b = self.classes.label[i], self.classes.label[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            first = np.unique(np.maximum(a, b)[apart], return_index=True)[1]
+            self.forest.append(np.stack([i[first], j[first]]))
+            self.classes.add(i[first], j[first])
+
+    def _prune(self) -> None:
+        rows = np.unique(np.concatenate(self.rows, axis=1), axis=1)
+        rows = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
+        start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, dtype=np.int64)
+        rank = np.arange(rows.shape[1]) - np.repeat(start, np.diff(np.r_[start, rows.shape[1]]))
+        self.rows = [rows[:, rank < self.most]]
+        self.held = 0
+
+    def pairs(self) -> np.ndarray:
+        self._prune()
+        found = np.concatenate([self.rows[0][:2], *self.forest], axis=1)
+        return np.unique(np.sort(found, axis=0), axis=1)
+
+
+def _walk(budget: int, lane_budget: int, cap: int, real: bool = False):
+    """Arrow function over rows sorted by (lane, path, key): spanning links of each file, or (real) met pairs to verify."""
 
     def links(group: np.ndarray, lane: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
         own = sigs[np.arange(len(lane)), lane]
         order = np.lexsort((own, group))
         fps, sigs, node = own[order], sigs[order], node[order]
+        if real:
+            nearest = Nearest(len(fps))
+
+            def meet(i: np.ndarray, j: np.ndarray) -> None:
+                distance = np.bitwise_count(sigs[i] ^ sigs[j]).sum(axis=1, dtype=np.int64)
+                near = distance <= budget
+                nearest.add(i[near], j[near], distance[near])
+
+            trie_links(fps, group, lane_budget, meet)
+            i, j = nearest.pairs()
+            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["u", "v"])
         classes = Classes(len(fps))
 
         def emit(i: np.ndarray, j: np.ndarray) -> None:
@@ -227,9 +274,9 @@ def _walk(budget: int, lane_budget: int, cap: int):
 
 
 def hamming_links(
-    nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int, done: list[str] | None = None
+    nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int, done: list[str] | None = None, real: bool = False
 ) -> DataFrame:
-    """Spanning links (u, v) of the distinct signatures nodes(node, f0, ...) that lie within the budget."""
+    """Spanning links (u, v) of the distinct signatures nodes(node, f0, ...) within the budget; pairs to verify if real."""
     lane_budget = budget // lanes
     if parts - lane_budget < match:
         raise ValueError("a lane within its budget must keep `match` blocks whole")
@@ -241,7 +288,7 @@ def hamming_links(
         full = stash(filed.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys), "simhash-full", done)
         n_full = full.count()
         light = filed.join(small_side(full, n_full), keys, "left_anti") if n_full else filed
-        walk = _walk(budget, lane_budget, cap)
+        walk = _walk(budget, lane_budget, cap, real)
         found = light.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(walk), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not n_full:
@@ -284,14 +331,72 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, words: int = 2, lanes: int = 4, budget: int = 27, parts: int = 8, match: int = 2) -> DataFrame:
+def shingles(text: str | None, words: int = 5) -> frozenset[int]:
+    """Hashes of the word shingles of a text; a shorter text is one shingle, an empty one has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if len(tokens) < words:
+        return frozenset([_HASH(b" ".join(tokens))] if tokens else [])
+    return frozenset(map(_HASH, map(b" ".join, zip(*(tokens[k:] for k in range(words))))))
+
+
+def alike(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The links (u, v) whose texts(h, text) have a Jaccard similarity of five-word shingles of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, frozenset()
+        for batch in batches:
+            keep = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if u != last:
+                    last, left = u, shingles(a.as_py())
+                right = shingles(b.as_py())
+                both = len(left & right)
+                keep.append(both >= least * (len(left) + len(right) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (texts.select(F.col("h").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
+    joined = links.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").sortWithinPartitions("u")
+    return joined.mapInArrow(frugal(run), "u long, v long")
+
+
+def verified_classes(docs: DataFrame, words: int, lanes: int, budget: int, parts: int, match: int, least: float, cap: int = 4096) -> DataFrame:
+    """(doc_id, component_id) with every link of a class verified; texts are named by a 64-bit hash inside.
+
+    Candidates are pairs of signatures within the budget (the nearest of each, and a forest that spans them), and
+    the texts that share a signature, each with one of them.
+    """
+    names, done = [f"f{lane}" for lane in range(lanes)], []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = own.select("doc_id", "h")
+    texts = own.select("h", "text")
+    prints = stash(signatures(own, "h", "text", words, lanes).withColumnRenamed("doc_id", "h").distinct().withColumn("node", F.xxhash64(*names)), "simhash-fp", done)
+    nodes = stash(prints.groupBy("node", *names).agg(F.min("h").alias("rep")), "simhash-nodes", done)
+    met = hamming_links(nodes.drop("rep"), lanes, budget, parts, match, cap, done, real=True).distinct()
+    reps = nodes.select("node", "rep")
+    near = met.join(reps.toDF("u", "a"), "u").join(reps.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = prints.join(reps, "node").filter("h <> rep").select(F.col("h").alias("u"), F.col("rep").alias("v"))
+    links = stash(near.unionByName(same), "simhash-met", done)
+    needed = links.select(F.col("u").alias("h")).union(links.select("v")).distinct()
+    used = stash(texts.join(needed, "h", "left_semi").dropDuplicates(["h"]), "simhash-texts", done)
+    roots = components(stash(alike(links, used, least), "simhash-alike", done), "simhash-cc", done)
+    rooted = ids.withColumn("root", F.col("h")) if roots is None else ids.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    rooted = stash(rooted.select("doc_id", "root"), "simhash-rooted", done)
+    low = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = stash(rooted.join(low, "root").select("doc_id", "component_id"), "simhash-found")
+    discard(docs.sparkSession, done)
+    return found
+
+
+def survivors(
+    docs: DataFrame, words: int = 2, lanes: int = 4, budget: int = 27, parts: int = 8, match: int = 2, least: float = 0.8
+) -> DataFrame:
     """docs without near-duplicates: of each class the row with the smallest id stays.
 
-    256 bits over two-word shingles within 27 bits is what documents with a five-word Jaccard similarity
-    of 0.8 or more measure; see the README for the calibration. Rows with a null id cannot be named and stay;
-    of rows that share an id one stays.
+    256 bits over two-word shingles within 27 bits only propose; every link of a class has a five-word Jaccard
+    similarity of at least `least`. See the README for what the candidates miss. Rows with a null id cannot be
+    named and stay; of rows that share an id one stays.
     """
-    found = stash(near_duplicates(docs, words=words, lanes=lanes, budget=budget, parts=parts, match=match), "simhash-found")
+    found = verified_classes(docs, words, lanes, budget, parts, match, least)
     named = found.filter(F.col("doc_id").isNotNull())
     gone = stash(named.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-gone")
     out = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)

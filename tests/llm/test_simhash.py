@@ -142,3 +142,23 @@ def test_survivors_drop_near_copies_only(spark):
     kept = {r.doc_id for r in S.survivors(frame).collect()}
     assert set(range(40)) <= kept and near == 40
     assert len(kept) <= 42
+
+
+def test_survivors_keep_what_no_verified_link_removes(spark):
+    """Texts within the bit budget whose five-word similarity is under 0.8 both stay; a chain of verified links still removes."""
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(400)]
+        far, near = list(words), list(words)
+        for k in range(5, 400, 44):
+            far[k] = "changed"
+        near[200] = "other"
+        texts = [" ".join(w) for w in (words, far, near)]
+        prints = [S.signature(t, 2, 4) for t in texts]
+        if max(np.bitwise_count(prints[0] ^ p).sum() for p in prints) <= 27:
+            break
+    else:
+        pytest.fail("no pair within the budget")
+    assert jaccard(texts[0], texts[1]) < 0.8 <= jaccard(texts[0], texts[2])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in S.survivors(frame).collect()} == {0, 1}
