@@ -5,7 +5,7 @@ ids of its pieces in a row. Pieces repeat, and looking them up is several times
 again: an unseen piece goes to the library's merge model, known ones come from a bounded two-generation
 store that a worker keeps between tasks. Vocabularies of another kind, and texts with characters outside
 Basic Latin, the letters of Latin-1 and Latin Extended-A/B, where the two regex dialects could cut
-differently, go through the whole tokenizer.
+differently, or with an added token such as "<|endoftext|>", go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -65,11 +65,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         cutter = spec.get("pre_tokenizer") or {}
         plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
         self.by_piece = bool(plain and spec["model"]["type"] == "BPE" and not spec.get("normalizer") and sys.byteorder == "little")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.room, self.known = room, _Pieces(self.tokenizer.model, {})
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -81,7 +81,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif self.by_piece and not _OTHER.search(text):
+            elif self.by_piece and not _OTHER.search(text) and not any(token in text for token in self.added):
                 out.append(b"".join(map(self.known.__getitem__, _PIECE.findall(text))))
             else:
                 out += self._library([text])

@@ -18,19 +18,28 @@ from kvarn.llm.encoder import Encoder, vocabulary_path
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(vocabulary_path())
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 ENCODER = Encoder(vocabulary_path(), room=50)
 
 
-@settings(deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="aé 'st\n\t1²×·ßЖ漢  \x1c<|endoftext|>", max_size=60)))
+@settings(deadline=None, max_examples=1000)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="ab \n", max_size=40), st.text(alphabet="aé 'st\n\t1²×·ßЖ漢  \x1c\xa0\u2003", max_size=60)))
 def test_encoder_equals_library(library, text):
     assert ENCODER.encode([text]) == [library(text)]
 
 
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "\n", "hello", " world", "é", "endoftext"]), max_size=9))
+def test_added_tokens_in_texts(library, parts):
+    assert ENCODER.encode(["".join(parts)]) == [library("".join(parts))]
+
+
+def test_added_token_is_one_id():
+    ids = np.frombuffer(ENCODER.encode(["hello <|endoftext|> world"])[0], dtype="<u4")
+    assert ids.tolist() == [31373, 220, 50256, 995]
+
+
 def test_encoder_on_documents(library, docs):
     texts = [r.text for r in docs.collect()] + [None, "", "it's <|endoftext|> 漢字"]
     assert ENCODER.encode(texts) == [library(t) for t in texts]
