@@ -7,11 +7,12 @@ little-endian. A reader takes the footer and the index first and then only the b
 
 Documents are dealt out by ranges of their id, each task writes its range in ascending order to a file of its
 own under a temporary name and moves it into place, so a repeated or lost task leaves the same file; the
-manifest, written last, lists the files in order with the number of the first id in each.
+manifest, written last, lists the files in order with the number of the first id in each. Ranges are cut by the
+id and a hash of the text, so one id (or no id) on many rows is no single task.
 
 Nulls and edge cases: a null or empty text is a document of the end id alone; rows with a null id come first;
-repeated rows and ties of the id are written as often as they occur, ordered by text; an empty table gives an
-empty manifest. Only the id and text columns are read, so further columns may have any name.
+repeated rows and ties of the id are written as often as they occur, ordered by a hash of the text and the text;
+an empty table gives an empty manifest. Only the id and text columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import scratch, stash, table
+from .base import frugal, scratch, stash, table
 from .encoder import encoder, vocabulary_path
 
 MAGIC = b"KVBP0001"
 _FOOTER = struct.Struct("<QQQQIIB7x8s")  # documents, ids, document table at, index at, block, index crc32, planes, magic
 BLOCK_IDS = 65_536
 FILE_IDS = 1 << 26
+FILE_DOCS = 1 << 20
 MANIFEST = "shard int, part int, path string, n_docs long, n_ids long"
 
 
@@ -213,15 +215,16 @@ def write(
                         temporary = f"{base}/.{uuid4().hex}.tmp"
                         writer = Writer(fs.open_output_stream(temporary), planes, block)
                     writer.add(doc_id, ids + tail)
-                    if writer.n_ids >= file_ids:
+                    if writer.n_ids >= file_ids or len(writer.docs) >= FILE_DOCS:
                         yield close()
                         writer, part = None, part + 1
         if writer is not None:
             yield close()
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, "doc_id")
-    files = stash(ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST), "planes-files")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    files = stash(ordered.select("doc_id", "text").mapInArrow(frugal(run), MANIFEST), "planes-files")
     rows, first = [], 0
     for row in sorted(files.collect(), key=lambda r: (r["shard"], r["part"])):  # one row a file
         rows.append({**row.asDict(), "first_id": first})

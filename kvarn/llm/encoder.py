@@ -1,11 +1,12 @@
-"""Token ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
+"""Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to those of the tokenizers library.
 
 A byte-level BPE never merges across the pieces that its pre-tokeniser cuts, so the ids of a text are the
 ids of its pieces in a row. Pieces repeat, and looking them up is several times faster than merging them
 again: an unseen piece goes to the library's merge model, known ones come from a bounded two-generation
-store that a worker keeps between tasks. Vocabularies of another kind, and texts with characters outside
-Basic Latin, the letters of Latin-1 and Latin Extended-A/B, where the two regex dialects could cut
-differently, or with an added token such as "<|endoftext|>", go through the whole tokenizer.
+store that a worker keeps between tasks. Texts with characters outside Basic Latin, the letters of Latin-1
+and Latin Extended-A/B, where the two regex dialects could cut differently, texts that hold an added token
+such as "<|endoftext|>", and vocabularies of another kind go through the whole tokenizer. Nulls and empty
+texts have no ids.
 """
 
 from __future__ import annotations
@@ -44,23 +45,33 @@ def _byte_letters() -> list[str]:
 class _Pieces(dict):
     """Ids of pieces; an unknown piece is taken from the generation before, or merged by the library's model."""
 
-    def __init__(self, model, old: dict[str, bytes]) -> None:
-        self.merge, self.old = model.tokenize, old
+    def __init__(self, model, old: _Pieces | None = None) -> None:
+        self.model, self.merge, self.old = model, model.tokenize, old or {}
         self.letters = dict(enumerate(_byte_letters()))
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            tokens = self.merge(piece.encode().decode("latin-1").translate(self.letters))
-            ids = array("I", [t.id for t in tokens]).tobytes()
+            if piece.isascii() and piece.isprintable():
+                shown = piece.replace(" ", self.letters[32])
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.merge(shown)]).tobytes()
         self[piece] = ids
         return ids
 
+    def turned(self, room: int) -> _Pieces:
+        """Itself, or the next generation once it holds more than room pieces."""
+        if len(self) <= room:
+            return self
+        self.old = {}
+        return _Pieces(self.model, self)
+
 
 class Encoder:
     """Encodes texts to bytes of ids; keeps at most two generations of about `room` pieces."""
 
-    def __init__(self, path: str, room: int = 120_000) -> None:
+    def __init__(self, path: str, room: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,11 +81,10 @@ class Encoder:
         plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
         self.by_piece = bool(plain and spec["model"]["type"] == "BPE" and not spec.get("normalizer") and sys.byteorder == "little")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.room, self.known = room, _Pieces(self.tokenizer.model, {})
+        self.room, self.known = room, _Pieces(self.tokenizer.model)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
@@ -84,13 +94,12 @@ class Encoder:
             elif self.by_piece and not _OTHER.search(text) and not any(token in text for token in self.added):
                 out.append(b"".join(map(self.known.__getitem__, _PIECE.findall(text))))
             else:
-                out += self._library([text])
-            if len(self.known) > self.room:
-                self.known = _Pieces(self.tokenizer.model, dict(self.known))
+                out.append(self._library(text))
+            self.known = self.known.turned(self.room)
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    return Encoder(path)
+def encoder(path: str, room: int = 500_000) -> Encoder:
+    """One encoder a worker process, vocabulary and size of its store (about 220 bytes a piece and generation)."""
+    return Encoder(path, room)

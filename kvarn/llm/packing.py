@@ -39,12 +39,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (starts[k + 1] if k + 1 < len(starts) else n) - s) for k, s in enumerate(starts)]
 
 
-def pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, room: int) -> DataFrame:
     """One row per piece, with the checksum of its ids."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, room)
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 rows = []
@@ -148,12 +148,13 @@ def pack(
     vocabulary: str | None = None,
     end_id: int = 0,
     buckets: int | None = None,
+    room: int = 500_000,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece. room: see encoder."""
     spark = docs.sparkSession
     if buckets is None:
         buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stash(pieces(docs, capacity, vocabulary or vocabulary_path(), end_id), "pack-pieces")
+    rows = stash(pieces(docs, capacity, vocabulary or vocabulary_path(), end_id, room), "pack-pieces")
     filed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = stash(filed.groupBy("length", "bucket").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
