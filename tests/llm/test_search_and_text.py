@@ -184,6 +184,55 @@ def test_unmarked_page_by_density():
     assert H.main_text(PAGE.format("")) == ""
 
 
+def test_marks_hardly_matter(spark):
+    """Density finds the same lines with and without the article tags."""
+    rows = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    same = [H.main_text(page) == H.main_text(re.sub("</?article>", "", page)) for page in rows]
+    assert sum(same) >= 0.9 * len(rows)
+
+
+def brute_text(found, window, surge):
+    """Stretches by walking over the lines."""
+    total = sum(own if inside or 2 * own >= len(t) else 0 for t, own, inside in [(t, len(t) if i else o, i) for t, o, i in found])
+    within = sum(len(t) for t, _, inside in found if inside)
+    rest = max(0.01, 1 - within / max(1, total))
+    weight = [len(t) / rest if inside else (own * rest if 2 * own >= len(t) else 0) for t, own, inside in found]
+    sums = [sum(weight[k : k + window]) for k in range(len(found))]
+    threshold, out, held, surged = min(surge, max(sums) / 4), [], [], False
+    for k, (t, _, _) in enumerate(found):
+        if sums[k] <= 0:
+            out += held if surged else []
+            held, surged = [], False
+        elif held or weight[k]:
+            held += [t] if t else []
+            surged |= sums[k] > threshold
+    return "\n".join(out + (held if surged else []))
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "ab", "word " * 9, "long " * 40]), st.booleans(), st.booleans()), min_size=1, max_size=25), st.integers(1, 5))
+def test_line_blocks_equal_brute_force(rows, window):
+    tag = {True: "<a href=x>{}</a>", False: "{}"}
+    page = "".join((f"<article><p>{tag[link].format(t)}</p></article>" if marked else f"<p>{tag[link].format(t)}</p>") if t else "<nav>x</nav>" for t, link, marked in rows)
+    found = H.lines(page, window)
+    assert H.main_text(page, window) == (brute_text(found, window, 86) if found else "")
+
+
+def test_marks_are_evidence_only():
+    body = "".join(f"<p>{WORDS}{k}</p>" for k in range(9))
+    teaser = f"<article><a href=/x>Read next</a></article><div class=x9>{body}</div>"
+    assert H.main_text(teaser) == "\n".join(f"{WORDS}{k}" for k in range(9))
+    junk = f"<div class=x9><p>{WORDS}</p></div><article>{body}</article>"
+    assert H.main_text(junk) == "\n".join(f"{WORDS}{k}" for k in range(9))
+    assert H.main_text("<div><p>Short article body here.</p></div>") == "Short article body here."
+    assert H.main_text(f"<article><p>{WORDS}</p><aside>no</aside><p>x</p></article>") == f"{WORDS.strip()}\nx"
+
+
+def test_deep_nesting_takes_linear_time():
+    assert H.main_text("<div>" * 50_000 + "text" + "</section>" * 50_000) == "text"
+    assert H.main_text("<p>a</p><nav></nav>" * 20_000).count("a") > 0
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<article", "<!-- x", "<script>x", "text only", "<article></article>", "<p " + "a='" * 50, "<a" * 2000])
 def test_broken_pages(page):
     assert isinstance(H.main_text(page), str)
