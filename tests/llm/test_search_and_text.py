@@ -68,13 +68,28 @@ def test_search_in_small_cells(spark):
 
 def test_search_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [9.0, 9.0]), (7, [-1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [9.0, 9.0]), (7, [-1.0, 0.0]),
+            (100, [2.0]), (150, []), (151, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in K.search(frame, F.col("vec_id") % 50 == 0).collect())
-    assert got == [(0, 1, 1, 32768), (0, 2, 1, 32768), (0, 3, 7, -65536)]
+    assert got == [(0, 1, 1, 32768), (0, 2, 1, 32768), (0, 3, 7, -65536), (100, 1, 6, 131072), (150, 1, 151, 0)]
     assert K.search(frame.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_repeats_and_large_values(spark):
+    """Repeated queries get their own answers; any finite value is exact, and scores past a long are shown as its end."""
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(1, 40)] + [(50, [1.0, 0.0, 0.0, 0.0])] * 2 + [(60, [3e9, 1.0, 0.0, 0.0]), (61, [1e308, 0.0, 0.0, 0.0]), (100, [-1e12, 2.0, 0.0, 0.0])]
+    got = K.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block_rows=20).collect()
+    exact = {k: K.whole(v, 256) for k, v in rows}
+    score = lambda a, b: min(max(sum(x * y for x, y in zip(exact[a], exact[b])), K.LONG[0]), K.LONG[1])
+    want = []
+    for q, _ in [r for r in rows if r[0] % 50 == 0]:
+        best = sorted(((score(q, i), i) for i, _ in rows if i != q), key=lambda f: (-f[0], f[1]))[:5]
+        want += [(q, rank, i, s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 # personal data
 
 
