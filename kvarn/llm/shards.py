@@ -5,8 +5,10 @@ compaction looks at the sizes of the runs only: runs whose sizes fall in one tie
 `fanout` at a time, oldest first, and all merges of a round are one job whose files have about `target_bytes`;
 rounds repeat until no tier is full, which takes about log(runs) rounds. A manifest version is one file, written
 aside and renamed without overwriting: of two writers that start from one version one fails, and a reader sees a
-whole version or none. Data files are never changed; superseded runs go after the commit that replaced them. The
-rows are moved by DataFrame operations alone; the driver handles file names and sizes.
+whole version or none. Data files are never changed; superseded ones stay readable until vacuum() removes what no kept
+version lists. A merge deals the rows of a group in turn to its files and places each file on a partition of its own,
+so neither repeated rows nor chance put two files on one task. The rows are moved by DataFrame operations alone; the
+driver handles file names and sizes.
 
 Nulls and edge cases: any column may hold nulls (rows whose arrival cannot be told form an arrival of their own);
 repeated rows are kept as often as they occur; an empty table commits a version without runs; columns may have any
@@ -133,30 +135,45 @@ class ShardedTable:
                 tiers.setdefault(self.tier(run), []).append(run)
         return [own[k : k + self.fanout] for own in tiers.values() for k in range(0, len(own) - self.fanout + 1, self.fanout)]
 
-    def compact(self, order_by: str | None = None) -> int:
-        """Merge until no tier is full; returns the version. Superseded runs are deleted after each commit."""
+    def compact(self, order_by: str | None = None, keep: int | None = None) -> int:
+        """Merge until no tier is full; returns the version. With keep, vacuum(keep) follows each round."""
         now = self.manifest()
         while groups := self.plan([Run(**r) for r in now["runs"]]):
             merged = self._merge(groups, now["schema"], order_by)
             gone = {r.name for g in groups for r in g}
             version = self._commit(now["version"], now["schema"], [Run(**r) for r in now["runs"] if r["name"] not in gone] + merged)
-            for name in gone:
-                self._fs.delete(self._path(name), True)
+            if keep:
+                self.vacuum(keep)
             now = self.manifest(version)
         return now["version"]
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Forget all but the newest `keep` versions, and delete the runs that only those listed; returns how many went.
+
+        Runs that no version lists (those of a failed or unfinished writer) are left alone.
+        """
+        known = self.versions()
+        old, kept = known[:-keep], known[-keep:]
+        listed = {r.name for v in kept for r in self.runs(v)}
+        gone = {r.name for v in old for r in self.runs(v)} - listed
+        for version in old:
+            self._fs.delete(self._path(f"manifest/v{version:08d}.json"), False)
+        for name in gone:
+            self._fs.delete(self._path(name), True)
+        return len(gone)
+
     def _merge(self, groups: list[list[Run]], schema: str, order_by: str | None) -> list[Run]:
-        """One job for all groups of a round: rows go to (group, file) by a hash of the whole row."""
+        """One job for all groups of a round: the rows of a group go in turn to its files, one file a partition."""
         files = [max(1, -(-sum(r.bytes for r in group) // self.target_bytes)) for group in groups]
-        places = [(r.name, k, files[k]) for k, group in enumerate(groups) for r in group]
+        places = [(r.name, k, sum(files[:k]), files[k]) for k, group in enumerate(groups) for r in group]
         rows = self._read([r for group in groups for r in group], schema)
-        where = F.pmod(F.xxhash64(*[rows[f"`{c}`"] for c in rows.columns]), F.col("__shard_files")).cast("int")
-        rows = rows.withColumn("__shard_name", F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)/", 1))
-        target = self.spark.createDataFrame(places, f"__shard_name string, {RUN} long, __shard_files long")  # one row a run
-        rows = rows.join(small_side(target, len(places)), "__shard_name").withColumn(FILE, where)
-        keys = [RUN, FILE, *([order_by] if order_by else [])]
-        rows = rows.drop("__shard_name", "__shard_files").repartition(sum(files), RUN, FILE)
-        return self._write(rows.sortWithinPartitions(*keys))
+        named = rows.withColumn("__shard_name", F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)/", 1))
+        named = named.withColumn("__shard_turn", F.monotonically_increasing_id())
+        target = self.spark.createDataFrame(places, f"__shard_name string, {RUN} long, __shard_first int, __shard_files int")  # one row a run
+        rows = named.join(small_side(target, len(places)), "__shard_name")
+        rows = rows.withColumn(FILE, (F.col("__shard_first") + F.pmod("__shard_turn", "__shard_files")).cast("int"))
+        rows = rows.drop("__shard_name", "__shard_turn", "__shard_first", "__shard_files").repartitionById(sum(files), F.col(FILE))
+        return self._write(rows.sortWithinPartitions(RUN, FILE, *([order_by] if order_by else [])))
 
     def snapshot(self, version: int | None = None) -> DataFrame:
         now = self.manifest(version)
@@ -170,7 +187,7 @@ def op3(spark, sf_dir: str, arrivals: int = 20) -> DataFrame:
     shards = ShardedTable(spark, scratch(spark, "shards"))
     docs = table(spark, sf_dir, "documents")
     shards.append(docs, F.pmod("doc_id", F.lit(arrivals)))
-    shards.compact("doc_id")
+    shards.compact("doc_id", keep=1)
     return shards.snapshot().select(
         "doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5")
     )

@@ -50,6 +50,24 @@ def test_old_versions_and_conflicts(made, docs):
     assert made.snapshot().count() == 8
 
 
+def test_snapshots_outlive_compaction_until_vacuum(made, docs):
+    made.append(docs, F.pmod("doc_id", F.lit(16)))
+    reader = made.snapshot(1)
+    made.compact("doc_id")
+    assert made.versions()[-1] > 1 and reader.count() == made.snapshot(1).count() == docs.count()
+    assert made.vacuum(1) > 0 and made.versions() == [made.versions()[-1]]
+    assert made.snapshot().exceptAll(docs).count() == 0 and made.snapshot().count() == docs.count()
+
+
+def test_repeated_rows_fill_all_files(made, spark):
+    rows = spark.range(4000).select(F.lit(7).alias("k"), F.lit("same text " * 40).alias("text"), (F.col("id") % 4).alias("run"))
+    made.target_bytes = 1 << 10
+    made.append(rows.drop("run").withColumn("k", F.lit(7)), F.pmod(F.spark_partition_id(), F.lit(4)))
+    made.compact()
+    sizes = made.snapshot().groupBy(F.input_file_name()).count().collect()
+    assert made.snapshot().count() == 4000 and len(sizes) > 1 and max(r["count"] for r in sizes) <= 4000 / len(sizes) + 8
+
+
 def test_plan_groups_by_size(made):
     runs = [shards.Run(f"r{k}", size, 1) for k, size in enumerate([900, 1000, 70_000, 800, 1100, 70_000, 500])]
     assert [[r.name for r in g] for g in made.plan(runs)] == [["r0", "r1", "r3", "r4"]]
