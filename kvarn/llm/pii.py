@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -120,40 +121,69 @@ _AT = re.compile(rf"[(\[{{<]\s{{0,3}}(?:{_AT_WORD}|@)\s{{0,3}}[)\]}}>]|(?<=\s)(?
 _DOT = rf"(?:\s{{0,3}}[(\[{{<]\s{{0,3}}(?:{_DOT_WORD}|\.)\s{{0,3}}[)\]}}>]\s{{0,3}}|\s{{1,3}}(?:{_DOT_WORD}|\.)\s{{1,3}}|\.)"
 _ANY_DOT = re.compile(_DOT, re.I)
 _BEFORE, _AFTER = re.compile(rf"{_DOT}\Z", re.I), re.compile(_DOT, re.I)
-_HEAD = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}\s{{0,3}}\Z", re.I)
-_TAIL = re.compile(rf"\s{{0,3}}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}}", re.I)
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9_%+-]+")
+_TAIL = re.compile(rf"\s{{0,3}}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I)
 _DOTTED = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?!\w)", re.I)
 _MISREAD = re.compile(r"[0-9][OolI]|[OolI][0-9]")
-_OCR = re.compile(r"(?<![A-Za-z0-9])[0-9OolI][0-9OolI\x20().-]{6,30}[0-9OolI](?![A-Za-z0-9])")
-#: Longest disguised local part that is looked at before an at mark.
-_HEAD_ROOM = 160
+_OCR = re.compile(r"(?<![A-Za-z0-9])[0-9OolI]++(?:[\x20().-]{1,3}[0-9OolI]++)*+")
+#: A dot mark is at most this long: three blanks, bracket, three blanks, word, and the same again.
+_MARK_ROOM = 24
+
+
+def local_start(text: str, floor: int, end: int) -> int:
+    """Where the disguised local part that ends at `end` begins, or `end` if there is none; walks back by whole parts."""
+    at = end
+    while at > floor and end - at < 3 and text[at - 1].isspace():
+        at -= 1
+    start = end
+    while True:
+        word = at
+        while word > floor and _LOCAL_RUN.match(text[word - 1]):
+            word -= 1
+        if word == at:
+            return start
+        start = word
+        mark = _BEFORE.search(text[max(floor, word - _MARK_ROOM) : word])
+        if not mark:
+            return start
+        at = word - len(mark[0])
 
 
 class Tape:
-    """A text and, for each of its characters, the source span it stands for."""
+    """A text and where it comes from: the tape before, and the edits that led here. Memory goes with the edits alone."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
-        self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = [k + 1 for k in self.starts] if ends is None else ends
+    def __init__(self, text: str, before: Tape | None = None, edits: list[tuple[int, int, str]] | None = None) -> None:
+        self.text, self.before, self.edits = text, before, edits or []
+        self.places, shift = [], 0  # where each edit's new text starts
+        for a, b, new in self.edits:
+            self.places.append(a + shift)
+            shift += len(new) - (b - a)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replace [start, end) by other text; each new character stands for the whole of what it replaces."""
         if not edits:
             return self
-        text, starts, ends, at = [], [], [], 0
+        text, at = [], 0
         for a, b, new in edits:
             text += (self.text[at:a], new)
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
-            if b > a:
-                starts += [self.starts[a]] * len(new)
-                ends += [self.ends[b - 1]] * len(new)
             at = b
-        return Tape("".join(text) + self.text[at:], starts + self.starts[at:], ends + self.ends[at:])
+        return Tape("".join(text) + self.text[at:], self, edits)
+
+    def _one(self, at: int) -> Span:
+        """What the character at `at` stands for in the text before."""
+        k = bisect_right(self.places, at) - 1
+        if k < 0:
+            return at, at + 1
+        (a, b, new), past = self.edits[k], at - self.places[k]
+        return (a, b) if past < len(new) else (b + past - len(new), b + past - len(new) + 1)
 
     def source(self, start: int, end: int) -> Span:
-        return self.starts[start], self.ends[end - 1]
+        """The span of the first text that [start, end) stands for."""
+        tape = self
+        while tape.before is not None:
+            start, end = tape._one(start)[0], tape._one(end - 1)[1]
+            tape = tape.before
+        return start, end
 
 
 def fold_characters(tape: Tape) -> Tape:
@@ -204,14 +234,14 @@ def join_marks(tape: Tape) -> Tape:
         tail = _TAIL.match(text, at.end())
         if not tail or at.start() < done:
             continue
-        head = _HEAD.search(text[max(done, at.start() - _HEAD_ROOM) : at.start()])
-        if not head:
+        a = local_start(text, done, at.start())
+        head = text[a : at.start()]
+        if not head.strip():
             continue
         if at[0].lower() in _AT_WORDS and not re.search(r"[(\[{<\s]", tail[0].strip()):
             continue  # "meet me at example.com" is prose
-        a = at.start() - len(head[0])
-        edits += [(a + d.start(), a + d.end(), ".") for d in _ANY_DOT.finditer(head[0])]
-        left, right = len(head[0]) - len(head[0].rstrip()), len(tail[0]) - len(tail[0].lstrip())
+        edits += [(a + d.start(), a + d.end(), ".") for d in _ANY_DOT.finditer(head)]
+        left, right = len(head) - len(head.rstrip()), len(tail[0]) - len(tail[0].lstrip())
         edits.append((at.start() - left, at.end() + right, "@"))
         edits += [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(text, at.end() + right, tail.end())]
         done = tail.end()
@@ -228,11 +258,14 @@ def join_marks(tape: Tape) -> Tape:
 
 def mend_digits(tape: Tape) -> Tape:
     """Read O and l among digits as 0 and 1."""
-    edits = []
-    for m in _OCR.finditer(tape.text):
-        odd = sum(c in "OolI" for c in m[0])
-        if odd and sum(c.isdigit() for c in m[0]) >= 2 * odd + 4:
-            edits += [(m.start() + k, m.start() + k + 1, "0" if c in "Oo" else "1") for k, c in enumerate(m[0]) if c in "OolI"]
+    text, edits = tape.text, []
+    for m in _OCR.finditer(text):
+        shown = m[0]
+        if text[m.end() : m.end() + 1].isalnum():  # the last part belongs to a word
+            shown = shown[: max(map(shown.rfind, " ().-")) + 1]
+        odd = sum(map(shown.count, "OolI"))
+        if odd and sum(map(str.isdigit, shown)) >= 2 * odd + 4:
+            edits += [(m.start() + k, m.start() + k + 1, "0" if c in "Oo" else "1") for k, c in enumerate(shown) if c in "OolI"]
     return tape.rewrite(edits)
 
 

@@ -7,9 +7,9 @@ coordinate has its own learning rate and an L1 proximal step, so most weights ar
 model, at most 2 ** bits weights, is small enough to travel with the scoring tasks.
 
 Nulls and edge cases: a null or empty text has no features and gets the score of the intercept; labels that are
-null are not used, and of several labels for one id the highest counts; without any usable label every score is
-0.5 (nothing is known) and nothing is predicted toxic; repeated rows are scored as often as they occur; an empty
-table gives an empty result. Only the id and text columns are read, so further columns may have any name.
+null are not used, of several labels for one id the highest counts, and of several texts the first in order;
+without any usable label every score is 0.5 (nothing is known) and nothing is predicted toxic; repeated rows are
+scored as often as they occur; an empty table gives an empty result. Only the id and text columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -112,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), trainable: Col
     known = known.filter(~held_out() if trainable is None else trainable)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows)  # at most sample_rows rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row an id, so the bound holds for rows too
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

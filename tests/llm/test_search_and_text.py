@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -136,6 +137,44 @@ def test_disguises(text, kind, found):
     assert pii.mask(text) == text.replace(found, f"[{kind}]")
 
 
+@pytest.mark.parametrize("n", [1, 20, 80, 3000])
+def test_disguises_of_any_length(n):
+    for shown in (f"{'a' * n} (at) example (dot) com", " dot ".join(["part"] * n) + " (at) ex dot co", f"a (at) {' dot '.join(['sub'] * n)} dot com"):
+        text = f"write to: {shown} ! now"
+        spans = pii.all_spans(text, pii.base_spans(text))["email"]
+        assert shown in [text[a:b] for a, b in spans]
+
+
+@given(st.text(alphabet="ab ", max_size=30), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 4), st.text(alphabet="xy", max_size=3)), max_size=5), st.integers(0, 2))
+def test_tape_maps_back_like_a_list(text, cuts, again):
+    """Spans against a list that keeps every character's source."""
+    tape, spans = pii.Tape(text), [(k, k + 1) for k in range(len(text))]
+    for _ in range(again + 1):
+        edits, end = [], 0
+        for a, n, new in sorted(cuts):
+            if a >= end and a + n <= len(tape.text):
+                edits.append((a, a + n, new))
+                end = a + n
+        fresh, at = [], 0
+        for a, b, new in edits:
+            fresh += spans[at:a] + [(spans[a][0], spans[b - 1][1])] * len(new)
+            at = b
+        spans = fresh + spans[at:]
+        tape = tape.rewrite(edits)
+        assert len(tape.text) == len(spans)
+        for a in range(len(spans)):
+            for b in range(a + 1, len(spans) + 1):
+                assert tape.source(a, b) == (spans[a][0], spans[b - 1][1])
+
+
+def test_long_texts_take_little_memory():
+    text = "plain words only " * 200_000 + "john (at) ex (dot) co"
+    tracemalloc.start()
+    assert len(pii.all_spans(text, pii.base_spans(text))["email"]) == 1
+    assert tracemalloc.get_traced_memory()[1] < 16 * len(text)
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("text", ["meet me at example.com", "one two three go", "a b at c d dot e", "in at the end. dot", "version 1.2.3", "10l 5O"])
 def test_prose_is_left_alone(text):
     assert not any(pii.all_spans(text, pii.base_spans(text)).values())
@@ -357,6 +396,39 @@ def test_held_out_accuracy(spark):
     assert right / len(tested) > 0.97 and all(0 <= r.score <= 1 for r in scored)
 
 
+@given(st.lists(st.tuples(st.sets(st.integers(0, 6), min_size=1), st.booleans()), max_size=40), st.sampled_from([0.0, 0.3, 2.0]))
+def test_ftrl_equals_plain_steps(rows, l1):
+    """The vectorised learner against the published per-coordinate rule."""
+    p = toxicity.Params(bits=3, l1=l1, epochs=2)
+    z, n = [0.0] * 9, [0.0] * 9
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - (p.l1 if z[i] > 0 else -p.l1)) / ((p.beta + n[i] ** 0.5) / p.alpha + p.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(rows)):
+            at, label = [*sorted(rows[k][0]), 8], rows[k][1]
+            w = {i: weight(i) for i in at}
+            total = max(-35.0, min(35.0, sum(w.values())))
+            g = (1 / (1 + np.exp(-total)) - label) * (p.positive_weight if label else 1.0)
+            for i in at:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / p.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in range(9) if weight(i)}
+    got = toxicity.train([(np.array(sorted(at), dtype=np.int32), int(label)) for at, label in rows], p)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    rows = spark.createDataFrame(toxic_rows(200), "doc_id long, text string, toxic int")
+    repeated = rows.unionByName(rows.filter("doc_id < 30")).unionByName(rows.filter("doc_id = 6"))
+    assert toxicity.fit(rows, rows) == toxicity.fit(repeated, repeated)
+
+
 def test_training_ignores_held_out_labels(spark):
     rows = spark.createDataFrame(toxic_rows(300), "doc_id long, text string, toxic int")
     flipped = rows.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
