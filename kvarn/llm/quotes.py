@@ -5,8 +5,9 @@ of one level form a passage. Quoted passages, and their single lines for partial
 white space) and hashed, and meet the hashes of what earlier messages of the same conversation say themselves: their
 whole text, paragraphs and lines. The first message that says a passage is its original. A message replies to the
 original that accounts for most words of its shallowest linked level, ties to the later message. Threads follow from
-the reply links by pointer doubling; sorted by conv_id, thread_turn and turn, every message stands after the one it
-replies to, without its quotes and their attribution lines.
+the reply links by pointer doubling. conversations() orders the messages by conv_id, thread_turn and turn, so that
+every message stands after the one it replies to, without its quotes and their attribution lines (a line above a quote
+that opens and closes as mail programs do in English, German, French or Spanish, however long).
 
 Originals are reduced to one row per passage before they are joined, so common lines and long conversations never
 multiply. Nulls and edge cases: a null text is empty; rows with a null conv_id or turn keep their text and link to
@@ -17,14 +18,17 @@ have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import stash, table, text_or_empty
 
 _QUOTED = r"^\s*>"
 _MARKS = r"^(\s*>)+"
-_ATTRIBUTION = r"(?m)^On [^\n]{1,200} wrote:[ \t]*\n(?=[ \t]*>)"
+#: How an attribution line opens and which verb it holds.
+_ATTRIBUTION = (
+    r"(?m)^(?:On [^\n]*?\bwrote|Am [^\n]*?\bschrieb|Le [^\n]*?\ba écrit|El [^\n]*?\bescribió)\b[^\n]*:[ \t]*\n(?=[ \t]*>)"
+)
 _QUOTE_LINES = r"(?m)^[ \t]*>[^\n]*(\n|\z)"
 
 
@@ -42,26 +46,22 @@ def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), r"\s", ""))
 
 
-def quoted_passages(text: Column) -> Column:
-    """Array of (level, passage): runs of lines of one quote level, and the lines of longer runs."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(_level(x).alias("level"), _normal(F.regexp_replace(x, _MARKS, "")).alias("says")))
-    empty = F.array().cast("array<struct<level:int,lines:array<string>>>")
+def quoted_passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, says): runs of lines of one quote level, and the lines of such runs.
 
-    def step(runs: Column, line: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        fresh = F.struct(line["level"].alias("level"), F.array(line["says"]).alias("lines"))
-        longer = F.struct(last["level"].alias("level"), F.concat(last["lines"], F.array(line["says"])).alias("lines"))
-        same = F.coalesce(last["level"] == line["level"], F.lit(False))
-        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(fresh)))
-
-    runs = F.filter(F.aggregate(lines, empty, step), lambda r: r["level"] > 0)
-
-    def parts(run: Column) -> Column:
-        whole = F.trim(F.array_join(F.filter(run["lines"], lambda s: s != ""), " "))
-        says = F.array_distinct(F.filter(F.concat(F.array(whole), run["lines"]), lambda s: s != ""))
-        return F.transform(says, lambda s: F.struct(run["level"].alias("level"), s.alias("says")))
-
-    return F.flatten(F.transform(runs, parts))
+    Lines and runs are columns of their own, so that each message is split once and taken apart in linear time.
+    """
+    line = lambda x: F.struct(_level(x).alias("level"), _normal(F.regexp_replace(x, _MARKS, "")).alias("says"))
+    rows = messages.select("conv_id", "turn", F.transform(F.split("text", "\n"), line).alias("lines"))
+    first = F.transform("lines", lambda x, k: F.when((k == 0) | (x["level"] != F.get("lines", k - 1)["level"]), k))
+    rows = rows.withColumn("starts", F.filter(first, lambda k: k.isNotNull()))
+    rows = rows.withColumn("ends", F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("lines"))))
+    runs = rows.select("conv_id", "turn", "lines", F.explode(F.arrays_zip("starts", "ends")).alias("run"))
+    level = F.get("lines", F.col("run.starts"))["level"]
+    own = F.transform(F.slice("lines", F.col("run.starts") + 1, F.col("run.ends") - F.col("run.starts")), lambda x: x["says"])
+    runs = runs.select("conv_id", "turn", level.alias("level"), F.filter(own, lambda x: x != "").alias("says")).filter("level > 0")
+    whole = F.filter(F.array(F.array_join("says", " ")), lambda x: x != "")
+    return runs.select("conv_id", "turn", "level", F.explode(F.array_distinct(F.concat(whole, "says"))).alias("says"))
 
 
 def own_passages(text: Column) -> Column:
@@ -75,18 +75,10 @@ def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, reply_turn, thread_turn, n_quotes, n_linked, text), one row per message."""
     rows = messages.select("conv_id", "turn", "role", text_or_empty("text").alias("text"))
     quoting = rows.filter(F.col("text").rlike(r"(?m)" + _QUOTED) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quotes = quoting.select("conv_id", "turn", F.explode(quoted_passages(F.col("text"))).alias("q"))
-    quotes = stash(
-        quotes.select("conv_id", "turn", "q.level", F.xxhash64("q.says").alias("hash"), F.size(F.split("q.says", " ")).alias("words")).distinct(),
-        "quotes",
-    )
+    words = F.size(F.split("says", " ")).alias("words")
+    quotes = quoted_passages(quoting).select("conv_id", "turn", "level", F.xxhash64("says").alias("hash"), words).distinct()
+    quotes = stash(quotes, "quotes")
     plain = rows.select("conv_id", "turn", "role", own_text(F.col("text")).alias("text"))
-    if quotes.isEmpty():
-        none = F.lit(None).cast("long")
-        return plain.select(
-            "conv_id", "turn", "role", none.alias("reply_turn"), F.col("turn").alias("thread_turn"),
-            F.lit(0).cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"), "text",
-        )
     said = rows.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
     said = said.select("conv_id", "turn", F.explode(own_passages(F.col("text"))).alias("says"))
     originals = said.groupBy("conv_id", F.xxhash64("says").alias("hash")).agg(F.min("turn").alias("origin"))
@@ -116,5 +108,58 @@ def link(messages: DataFrame) -> DataFrame:
     )
 
 
+def conversations(messages: DataFrame) -> DataFrame:
+    """link() in reading order: threads of a conversation one after the other, each message after what it answers."""
+    return link(messages).orderBy("conv_id", "thread_turn", "turn")
+
+
+def archive(messages: DataFrame) -> DataFrame:
+    """A mail archive made of plain conversations: each turn quotes the one before, every third that one's quote too."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before, older = F.lag("text", 1).over(order), F.lag("text", 2).over(order)
+    mark = lambda c, by: F.concat(F.lit(by), F.regexp_replace(c, "\n", f"\n{by}"), F.lit("\n"))
+    deep = F.when(F.pmod("turn", F.lit(3)) == 2, mark(older, ">> "))
+    text = F.concat(F.coalesce(F.concat(F.lit("On Monday, someone wrote:\n"), F.coalesce(deep, F.lit("")), mark(before, "> ")), F.lit("")), F.col("text"))
+    return messages.select("conv_id", "turn", "role", text.alias("text"))
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"))
+
+
+def archived(spark, sf_dir: str) -> DataFrame:
+    """The operator on the archive made of all conversations, which quotes at two levels."""
+    return conversations(archive(table(spark, sf_dir, "conversations"))).drop("text")
+
+
+_NORMAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'), ' ')"
+_LINES = f"list_transform(string_split({{0}}, chr(10)), lambda x: {_NORMAL.format('x')})"
+SQL = rf"""
+WITH RECURSIVE m AS (
+  SELECT *, lag(text, 1) OVER w AS prev, lag(text, 2) OVER w AS older FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), own AS (
+  SELECT conv_id, turn, unnest(list_concat([{_NORMAL.format('text')}], list_concat({_LINES.format('text')},
+    list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: {_NORMAL.format('x')})))) AS says FROM m
+), originals AS (
+  SELECT conv_id, says, min(turn) AS origin FROM own GROUP BY ALL
+), quotes AS (
+  SELECT DISTINCT * FROM (
+    SELECT conv_id, turn, 1 AS level, unnest(list_concat([{_NORMAL.format('prev')}], {_LINES.format('prev')})) AS says FROM m WHERE prev IS NOT NULL
+    UNION ALL
+    SELECT conv_id, turn, 2, unnest(list_concat([{_NORMAL.format('older')}], {_LINES.format('older')})) FROM m WHERE older IS NOT NULL AND turn % 3 = 2
+  ) WHERE says <> ''
+), met AS (
+  SELECT q.*, len(string_split(says, ' ')) AS words, CASE WHEN o.origin < q.turn THEN o.origin END AS origin FROM quotes q LEFT JOIN originals o USING (conv_id, says)
+), weighed AS (
+  SELECT conv_id, turn, level, origin, count(*) AS n, sum(words)::BIGINT AS words FROM met GROUP BY ALL
+), replies AS (
+  SELECT conv_id, turn, sum(n)::BIGINT AS n_quotes, coalesce(sum(n) FILTER (origin IS NOT NULL), 0)::BIGINT AS n_linked,
+    arg_max(origin, [-level, words, origin]) FILTER (origin IS NOT NULL) AS reply_turn FROM weighed GROUP BY ALL
+), linked AS (
+  SELECT m.conv_id, m.turn, m.role, r.reply_turn, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked FROM m LEFT JOIN replies r USING (conv_id, turn)
+), threads AS (
+  SELECT conv_id, turn, turn AS thread_turn FROM linked WHERE reply_turn IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, t.thread_turn FROM linked l JOIN threads t ON l.conv_id = t.conv_id AND l.reply_turn = t.turn
+)
+SELECT conv_id, turn, role, reply_turn, thread_turn, n_quotes, n_linked FROM linked JOIN threads USING (conv_id, turn)
+"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bitplanes, decontaminate, html_text, packing, pii, quotes, shards, simhash, topk, toxicity
 
 QUERIES = {
@@ -17,11 +15,12 @@ QUERIES = {
     "op8_pii_transducers": pii.op8,
     "op9_ftrl_toxicity": toxicity.op9,
     "op10_line_blocks": html_text.op10,
-    "pipeline": corpus_pipeline.run,
+    "quoted_conversations": quotes.archived,
 }
 
 ORACLES: dict[str, str] = {
     "op3_size_tiered_shards": shards.SQL,
     "op7_bit_sliced_topk": topk.SQL,
     "op10_line_blocks": html_text.SQL,
+    "quoted_conversations": quotes.SQL,
 }

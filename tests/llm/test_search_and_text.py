@@ -474,6 +474,73 @@ def test_quote_links(spark):
     assert quotes.link(frame).count() == 9 and quotes.link(frame.filter("false")).count() == 0
 
 
+def brute_links(rows):
+    """reply_turn by comparing every quoted passage with every earlier message."""
+    norm = lambda t: " ".join(t.lower().split())
+
+    def own(text):
+        kept = [x for x in text.split("\n") if not x.strip().startswith(">")]
+        kept = [x for k, x in enumerate(text.split("\n")) if not x.strip().startswith(">") and not (x.startswith("On ") and text.split("\n")[k + 1 : k + 2] and text.split("\n")[k + 1].strip().startswith(">"))]
+        return "\n".join(kept)
+
+    out = {}
+    for conv, turn, _, text in rows:
+        says = {}
+        for t2, text2 in sorted((t, x) for c, t, _, x in rows if c == conv and t < turn):
+            mine = own(text2)
+            for p in (mine, *re.split(r"\n\s*\n", mine), *mine.split("\n")):
+                says.setdefault(norm(p), t2)
+        runs, last = [], 0
+        for x in text.split("\n"):
+            level = len(re.match(r"(\s*>)*", x)[0].replace(" ", ""))
+            if level:
+                if level != last:
+                    runs.append((level, []))
+                runs[-1][1].append(norm(re.sub(r"^(\s*>)+", "", x)))
+            last = level
+        passages = {(level, p) for level, lines in runs for p in (" ".join(filter(None, lines)), *lines) if p}
+        words = {}
+        for level, p in passages:
+            if p in says:
+                words[level, says[p]] = words.get((level, says[p]), 0) + len(p.split())
+        out[conv, turn] = max(words, key=lambda k: (-k[0], words[k], k[1]))[1] if words else None
+    return out
+
+
+def test_random_threads_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in range(int(rng.integers(2, 14))):
+            text = "\n".join(" ".join(rng.choice(words, rng.integers(1, 5))) for _ in range(rng.integers(1, 4)))
+            whole = text
+            if said and rng.random() < 0.8:
+                quoted = said[int(rng.integers(len(said)))]
+                lines = quoted.split("\n")
+                part = lines if rng.random() < 0.5 else [str(rng.choice(lines))]
+                head = f"On {'some long day ' * int(rng.integers(1, 40))} x wrote:\n" if rng.random() < 0.5 else ""
+                whole = head + "\n".join(f"> {x.upper()}" for x in part) + "\n" + text
+            said.append(whole)
+            rows.append((conv, turn, "user", whole))
+    got = {(r.conv_id, r.turn): r.reply_turn for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == brute_links(rows) and sum(v is not None for v in got.values()) > 50
+
+
+def test_conversations_are_in_reading_order(spark):
+    rows = [(1, 0, "u", "first thing"), (1, 1, "u", "second thing"), (1, 2, "u", "> first thing\nreply a"), (1, 3, "u", "> second thing\nreply b"), (1, 4, "u", "Am Montag schrieb x:\n> reply a\nend")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(r.turn, r.thread_turn, r.text) for r in quotes.conversations(frame).collect()]
+    assert got == [(0, 0, "first thing"), (2, 0, "reply a"), (4, 0, "end"), (1, 1, "second thing"), (3, 1, "reply b")]
+
+
+def test_very_long_message(spark):
+    rows = [(1, 0, "u", "\n".join(f"line {k}" for k in range(4000))), (1, 1, "u", "\n".join(f"{'>' * (1 + k % 2)} line {k}" for k in range(4000)) + "\nok")]
+    got = {r.turn: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].reply_turn, got[1].n_linked, got[1].text) == (0, 4000, "ok")
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "user", "message number 0")] + [(1, k, "user", f"> message number {k - 1}\nmessage number {k}") for k in range(1, 40)]
     got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
