@@ -361,14 +361,41 @@ def test_items_in_a_third_of_the_rows(spark):
 
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog while seven wizards"), (2, None), (None, "x y z"), (3, ""), (4, "too short")], "item_id long, text string")
-    params = D.Params(common=1.0)
-    assert {r.doc_id for r in D.matches(odd_docs, items, params).collect()} == {1, 2, 3}
-    kept = D.clean(odd_docs, items, params)
+    assert {r.doc_id for r in D.matches(odd_docs, items).collect()} == {1, 2, 3}
+    kept = D.clean(odd_docs, items)
     assert kept.columns == odd_docs.columns and kept.count() == 8
     assert D.matches(no_docs, items).count() == 0 and D.clean(no_docs, items).count() == 0
     assert D.clean(odd_docs, items.filter("false")).count() == 11
 
 
+def test_short_items_are_found_word_by_word(spark, docs):
+    items = spark.createDataFrame([(1, "the quick brown"), (2, "Fox!"), (3, "")], "item_id long, text string")
+    rows = [(1, "see The, quick brown end"), (2, "the quick red brown"), (3, "a fox"), (4, "foxes"), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in D.matches(frame, items).collect()} == {(1, 1, "exact"), (3, 2, "exact")}
+    assert D.clean(frame, items).count() == 5
+
+
+@pytest.mark.parametrize("joined", [1, 12])
+def test_paraphrases_at_document_lengths(spark, docs, joined):
+    """Items with a fifth of the words other than the answer's exchanged, in texts of some length."""
+    rng = np.random.default_rng(5)
+    texts = [r.text for r in docs.filter("lang = 'en' and text is not null").collect() if len(r.text.split()) > 60]
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    items = [(r.item_id, D.words_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    known = {w: sum(w.decode() in t.lower() for t in texts) for _, ws in items for w in ws}
+    rows, want = [], set()
+    for k, (item_id, words) in enumerate(items):
+        rare = set(sorted(set(words), key=lambda w: (known[w], w))[: max(3, len(set(words)) // 2)])
+        shown = [w.decode() if w in rare or rng.random() < 0.8 else str(rng.choice(vocabulary)) for w in words]
+        around = " ".join(rng.choice(texts, joined)).split()
+        place = int(rng.integers(len(around)))
+        rows.append((k, " ".join(around[:place] + shown + around[place:])))
+        want.add((k, item_id))
+    found = {(r.doc_id, r.item_id) for r in D.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert len(want & found) >= 0.9 * len(want)
+
+
 # toxicity
 
 
