@@ -273,17 +273,56 @@ def _walk(budget: int, lane_budget: int, cap: int, real: bool = False):
     return run
 
 
+def _neighbours(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Links (u, v) of rows(keys..., node) that stand next to each other in the order of the keys, within each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[int] = []
+        for batch in batches:
+            node = np.r_[np.array(last, dtype=np.int64), batch.column(batch.num_columns - 1).to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(node[1:]), pa.array(node[:-1])], ["u", "v"])
+            last = [int(node[-1])] if len(node) else []
+
+    ordered = rows.select(*keys, "node").repartitionByRange(*keys).sortWithinPartitions(*keys, "node")
+    return ordered.mapInArrow(frugal(run), "u long, v long")
+
+
+def _stars(rows: DataFrame, keys: list[str], done: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of every node of a group to the group's least node; and the rows of those least nodes."""
+    least = stash(rows.groupBy(*keys).agg(F.min("node").alias("least")), "simhash-stars", done)
+    met = rows.join(least, keys)
+    links = met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    return links, met.filter("node = least").select(*rows.columns)
+
+
 def hamming_links(
-    nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int, done: list[str] | None = None, real: bool = False
-) -> DataFrame:
-    """Spanning links (u, v) of the distinct signatures nodes(node, f0, ...) within the budget; pairs to verify if real."""
+    nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int, done: list[str] | None = None, real: bool = False,
+    alike: int = 256, levels: int = 3,
+) -> DataFrame:
+    """Spanning links (u, v) of the distinct signatures nodes(node, f0, ...) within the budget; pairs to verify if real.
+
+    Pairs to verify need not be met one by one where signatures crowd: more than `alike` of them that share a whole
+    lane are proposed to the least of them and to their neighbours in the order of the other lanes, and stand in that
+    lane's files by the least alone; files that are still over the cap after `levels` fillings, whose signatures then
+    agree on more bits than chance explains, are proposed to their least. So no group is multiplied without end.
+    """
     lane_budget = budget // lanes
     if parts - lane_budget < match:
         raise ValueError("a lane within its budget must keep `match` blocks whole")
-    signature_cols = ["node", *(f"f{lane}" for lane in range(lanes))]
-    level = nodes.select(F.explode(F.array(*map(F.lit, range(lanes)))).alias("lane"), F.lit("r").alias("path"), *signature_cols)
-    out, keys = None, ["lane", "path", "key"]
+    names = [f"f{lane}" for lane in range(lanes)]
+    level = nodes.select(F.explode(F.array(*map(F.lit, range(lanes)))).alias("lane"), F.lit("r").alias("path"), "node", *names)
+    out, keys, depth = None, ["lane", "path", "key"], 0
+    if real:
+        owned = level.withColumn("own", F.get(F.array(*names), F.col("lane")))
+        crowded = stash(owned.groupBy("lane", "own").count().filter(F.col("count") > alike).select("lane", "own"), "simhash-crowds", done)
+        if n_crowded := crowded.count():
+            side = small_side(crowded, n_crowded)
+            crowd = stash(owned.join(side, ["lane", "own"], "left_semi"), "simhash-crowd", done)
+            stars, least = _stars(crowd, ["lane", "own"], done)
+            out = stars.unionByName(_neighbours(crowd, ["lane", "own", *names]))
+            level = stash(owned.join(side, ["lane", "own"], "left_anti").unionByName(least).drop("own"), "simhash-level", done)
     while True:
+        depth += 1
         filed = _file(level, parts, match, lanes)
         full = stash(filed.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys), "simhash-full", done)
         n_full = full.count()
@@ -293,7 +332,10 @@ def hamming_links(
         out = found if out is None else out.unionByName(found)
         if not n_full:
             return out
-        level = stash(filed.join(small_side(full, n_full), keys, "left_semi").drop("key"), "simhash-level", done)
+        level = stash(filed.join(small_side(full, n_full), keys, "left_semi"), "simhash-level", done)
+        if real and depth == levels:
+            return out.unionByName(_stars(level, keys, done)[0])
+        level = level.drop("key")
 
 
 def near_duplicates(
@@ -360,7 +402,10 @@ def alike(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def verified_classes(docs: DataFrame, words: int, lanes: int, budget: int, parts: int, match: int, least: float, cap: int = 4096) -> DataFrame:
-    """(doc_id, component_id) with every link of a class verified; texts are named by a 64-bit hash inside.
+    """(doc_id, h, component_id, kept_h): the rows of classes of more than one row, with every link verified.
+
+    Texts are named by a 64-bit hash, h; component_id and kept_h name the row that stands for the class, the one with
+    the smallest id (ties: the smallest hash).
 
     Candidates are pairs of signatures within the budget (the nearest of each, and a forest that spans them), and
     the texts that share a signature, each with one of them.
@@ -380,9 +425,11 @@ def verified_classes(docs: DataFrame, words: int, lanes: int, budget: int, parts
     used = stash(texts.join(needed, "h", "left_semi").dropDuplicates(["h"]), "simhash-texts", done)
     roots = components(stash(alike(links, used, least), "simhash-alike", done), "simhash-cc", done)
     rooted = ids.withColumn("root", F.col("h")) if roots is None else ids.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    rooted = stash(rooted.select("doc_id", "root"), "simhash-rooted", done)
-    low = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = stash(rooted.join(low, "root").select("doc_id", "component_id"), "simhash-found")
+    rooted = stash(rooted.select("doc_id", "h", "root"), "simhash-rooted", done)
+    # null ids come last: a class is named by its smallest id, and by none only where it has none
+    first = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("h"))
+    low = rooted.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    found = stash(rooted.join(low, "root").select("doc_id", "h", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("kept_h")), "simhash-found")
     discard(docs.sparkSession, done)
     return found
 
@@ -390,17 +437,22 @@ def verified_classes(docs: DataFrame, words: int, lanes: int, budget: int, parts
 def survivors(
     docs: DataFrame, words: int = 2, lanes: int = 4, budget: int = 27, parts: int = 8, match: int = 2, least: float = 0.8
 ) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the smallest id stays.
+    """docs without near-duplicates: of each class one row stays, that with the smallest id (null ids last).
 
     256 bits over two-word shingles within 27 bits only propose; every link of a class has a five-word Jaccard
-    similarity of at least `least`. See the README for what the candidates miss. Rows with a null id cannot be
-    named and stay; of rows that share an id one stays.
+    similarity of at least `least`. See the README for what the candidates miss. Rows are told apart by id and text, so
+    a row never goes because another of the same id does; of rows that share both, one stays.
     """
     found = verified_classes(docs, words, lanes, budget, parts, match, least)
-    named = found.filter(F.col("doc_id").isNotNull())
-    gone = stash(named.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-gone")
-    out = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    once = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(out.filter("doc_id is null"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("kept_h"))
+    gone = stash(found.filter(~stays).select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h")).distinct(), "simhash-gone")
+    named = docs.withColumn("__text_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__text_h") == F.col("__gone_h"))
+    out = named.join(small_side(gone, gone.count()), same, "left_anti")
+    repeated = stash(found.filter(stays).groupBy("doc_id", "h").count().filter("count > 1"), "simhash-repeated")
+    if repeated.isEmpty():
+        return out.select(docs.columns)
+    again = repeated.select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h"))
+    again = small_side(again, again.count())
+    once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text_h"])
+    return out.join(again, same, "left_anti").unionByName(once).select(docs.columns)

@@ -162,3 +162,33 @@ def test_survivors_keep_what_no_verified_link_removes(spark):
     assert jaccard(texts[0], texts[1]) < 0.8 <= jaccard(texts[0], texts[2])
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in S.survivors(frame).collect()} == {0, 1}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    frame = spark.createDataFrame([(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b, "w"), (None, a, "v"), (2, b, "z")], "doc_id long, text string, h string")
+    got = sorted((r.doc_id, r.text) for r in S.survivors(frame).collect())
+    assert got == [(1, a), (2, b)]
+
+
+@pytest.mark.parametrize(("alike", "cap", "levels"), [(20, 4096, 3), (10_000, 16, 2), (20, 16, 2)])
+def test_crowded_signatures_end_and_stay_together(spark, alike, cap, levels):
+    """Hundreds of signatures that share a whole lane, or crowd within a few bits, make one class of proposals."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    sigs = {tuple(base)}
+    while len(sigs) < 400:
+        sig = base.copy()
+        for lane in rng.integers(1, 4, 4):
+            sig[lane] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+        sigs.add(tuple(sig))
+    far = [tuple(rng.integers(0, 2**63, 4, dtype=np.uint64)) for _ in range(50)]
+    rows = [(k, *(int(x) for x in np.array(s, dtype=np.uint64).view(np.int64))) for k, s in enumerate([*sigs, *far])]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
+    links = S.hamming_links(nodes, 4, 27, 8, 2, cap, real=True, alike=alike, levels=levels)
+    near = {(r.u, r.v) for r in links.collect() if r.u < 400 and r.v < 400}
+    label = list(range(400))
+    for _ in range(12):
+        for u, v in near:
+            label[u] = label[v] = min(label[u], label[v])
+    assert set(label) == {0} and len(near) < 400 * 40
