@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The setting is read from the session. Only where it is unset (tests, a single machine) is a
-    local folder made and registered.
+    The setting is read from the session. Where it is unset a local folder is made and registered, but only for a
+    local master: on a cluster other machines would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='kvarn-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/kvarn/{tag}-{uuid.uuid4().hex}"
