@@ -55,12 +55,6 @@ def concepts_by_join(chunks: DataFrame, registry: DataFrame, key: str = "chunk_i
     return chunks.join(found, key, "left")
 
 
-_IMPORTS = {
-    "js": [(r"import\s+(?:[\w*{}\s,]+\s+from\s+)?['\"]([^'\"]+)['\"]", 1), (r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", 1),
-           (r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", 1)],
-    "c": [(r"#\s*include\s+[<\"]([^>\"]+)[>\"]", 1)],
-    "java": [(r"(?m)^\s*import\s+([\w.]+)\s*;", 1)],
-}
 _FAMILY = {
     "py": [".py"],
     "js": [".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx"],
@@ -106,13 +100,14 @@ def _python_imports(sources: pd.Series) -> pd.Series:
 def dependencies(text: Column, extension: Column, with_python: bool = True) -> Column:
     """Sorted import names by language, as the rendered field. Only Python sources leave the JVM."""
     ext = F.lower(extension)
-    js = F.transform(F.flatten(F.array(*[_all(text, p, g) for p, g in _IMPORTS["js"]])), _last_part)
-    blocks = F.concat(_all(text, r"(?s)import\s+\(\s*([^)]+)\s*\)"), _all(text, r"import\s+(\"[^\"]+\")"))
+    js = F.transform(F.flatten(F.array(*[_all(text, p, g) for p, g in T.IMPORT_PATTERNS["js"]])), _last_part)
+    blocks = F.concat(*[_all(text, p, g) for p, g in T.IMPORT_PATTERNS["go"]])
     go = F.flatten(F.transform(blocks, lambda b: _all(b, r"\"([^\"]+)\"")))
-    uses = F.flatten(F.transform(_all(text, r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);"), lambda u: F.split(u, ",")))
+    (use, use_group), (mod, mod_group) = T.IMPORT_PATTERNS["rs"]
+    uses = F.flatten(F.transform(_all(text, use, use_group), lambda u: F.split(u, ",")))
     rust = F.filter(F.transform(uses, lambda u: F.trim(F.element_at(F.split(u, "::"), 1))), lambda u: ~u.isin("self", "super", "crate"))
-    rust = F.concat(rust, _all(text, r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)\s*;"))
-    by_family = {"js": js, "c": _all(text, *_IMPORTS["c"][0]), "java": _all(text, *_IMPORTS["java"][0]), "go": go, "rs": rust}
+    rust = F.concat(rust, _all(text, mod, mod_group))
+    by_family = {"js": js, "c": _all(text, *T.IMPORT_PATTERNS["c"][0]), "java": _all(text, *T.IMPORT_PATTERNS["java"][0]), "go": go, "rs": rust}
     if with_python:
         by_family["py"] = _python_imports(text)
     none = F.array().cast("array<string>")

@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+#: Lines that draw: box corners and edges, edges beside a bar, rows of digits.
+DRAWING_EDGES = [r"[+|]\s*[-+]{2,}", r"[-+]{2,}\s*[+|]"]
+DRAWING_CORNERS = [r"\+-", r"-\+", r"\.-"]
+DRAWING_DIGITS = r"^[\d\s]{10,}$"
+
+#: Import statements by language family: pattern and the group that names what is imported.
+IMPORT_PATTERNS = {
+    "js": [(r"import\s+(?:[\w*{}\s,]+\s+from\s+)?['\"]([^'\"]+)['\"]", 1), (r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", 1),
+           (r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", 1)],
+    "c": [(r"#\s*include\s+[<\"]([^>\"]+)[>\"]", 1)],
+    "java": [(r"(?m)^\s*import\s+([\w.]+)\s*;", 1)],
+    "go": [(r"(?s)import\s+\(\s*([^)]+)\s*\)", 1), (r"import\s+(\"[^\"]+\")", 1)],
+    "rs": [(r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);", 1), (r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)\s*;", 1)],
+}
+
 METADATA_KEYS = """
 source source_type domain repository relative_path extension file_size_kb last_modified chunk_strategy chunk_type
 chunk_name chunk_index section subsection content_type concepts ingestion_date ingestion_version rfc_number rfc_title

@@ -181,8 +181,9 @@ def looks_like_rfc(text: Column) -> Column:
 
 def rfc_line_is_diagram(line: Column, compat: bool = False) -> Column:
     """Lines of drawings: box art or rows of digits; with compat also every line indented by three blanks."""
-    art = line.rlike(r"[+|]\s*[-+]{2,}|[-+]{2,}\s*[+|]") | (line.contains("|") & line.rlike(r"\+-|-\+|\.-"))
-    digits = F.trim(line).rlike(r"^[\d\s]{10,}$") & (F.length(F.regexp_replace(line, r"\D", "")) >= 4)
+    any_of = lambda patterns: reduce(lambda a, b: a | b, [line.rlike(p) for p in patterns])
+    art = any_of(T.DRAWING_EDGES) | (line.contains("|") & any_of(T.DRAWING_CORNERS))
+    digits = F.trim(line).rlike(T.DRAWING_DIGITS) & (F.length(F.regexp_replace(line, r"\D", "")) >= 4)
     wide = line.rlike(r"^[ \t]{3,}\S") if compat else F.lit(False)
     return (F.trim(line) != "") & (art | digits | wide)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from ..embed import Embedder, embed_chunks, hashed_words, split_failed
 from ..functions import metadata as M
 from ..functions.text import chunk_id, concept_parts
+from ..operators import stats
 from ..operators.chunkers import chunk, within_limit
-from ..sources.readers import changed, scan
+from ..sources.readers import changed, csv_rows, discover_ignores, scan
 from ..sources.store import ChunkStore
-from .routing import resolve_collection
+from .routing import detect_model, resolve_collection
 from ..functions.tables import SOURCE_TYPE_BY_MODE
 
 
@@ -25,7 +26,7 @@ class Options:
     mode: str = "code"
     domain: str = "general"
     collection: str | None = None
-    model: str = "nomic-embed-text"
+    model: str | None = None
     registry: dict | None = None
     make_embedder: Callable[[], Embedder] = hashed_words
     batch: int = 16
@@ -34,6 +35,15 @@ class Options:
     clean_stale: bool = False
     retry_wait: float = 5.0
     ignore: dict[str, list[str]] = field(default_factory=dict)
+    gitignore: bool = True
+    root: str = ""
+    ticket_filter: str = ""
+    keep_deprecated: bool = False
+    recreate: bool = False
+
+    @property
+    def embedding_model(self) -> str:
+        return self.model or "nomic-embed-text"
 
 
 def enrich(pieces: DataFrame, domain: str, source_type: str, registry: dict | None = None) -> DataFrame:
@@ -57,9 +67,8 @@ def plan(spark: SparkSession, sources: DataFrame, options: Options) -> DataFrame
     """Chunks of sources(source, rel_path, ext, text), without vectors."""
     kind = SOURCE_TYPE_BY_MODE.get(options.mode, "domain_doc")
     typed = within_limit(sources.withColumn("source_type", F.lit(kind)))
-    pieces = chunk(typed, options.model)
-    named = pieces.join(typed.select("source", "rel_path", "ext"), "source")
-    return enrich(named, options.domain, kind, options.registry)
+    pieces = chunk(typed, options.embedding_model, ["rel_path", "ext"], M.parse_ticket_filter(options.ticket_filter), options.keep_deprecated)
+    return enrich(pieces, options.domain, kind, options.registry)
 
 
 def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, options: Options, changes: DataFrame | None = None, head: str | None = None) -> dict:
@@ -67,16 +76,19 @@ def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, opt
     began, run_id = time.time(), uuid4().hex
     store = ChunkStore(spark, store_folder)
     name = resolve_collection(options.mode, options.domain, options.collection)
-    found = scan(spark, sources, options.mode, options.ignore) if isinstance(sources, str) else sources
-    n_gone = 0
-    gone = None
+    options = replace(options, model=detect_model(options.model, store.read_json("config.json", None), None))
+    root = (sources if isinstance(sources, str) else options.root).rstrip("/")
+    if isinstance(sources, str):
+        found_rules = discover_ignores(spark, sources) if options.gitignore else {}
+        sources = scan(spark, sources, options.mode, {**found_rules, **options.ignore})
+    found = csv_rows(sources) if options.mode in ("rally", "customer") else sources
     if changes is not None:
         found, gone_paths = changed(found, changes)
-        gone = store.checkpoint(name).join(gone_paths, F.col("source").endswith(F.col("path")), "left_semi").select("source")
-        n_gone = store.delete_sources(name, gone)
+        gone = gone_paths.select((F.concat(F.lit(f"{root}/"), "path") if root else F.col("path")).alias("source"))
+        removed = gone
     else:
         gone = store.vanished(found, name)
-        n_gone = store.delete_sources(name, gone) if options.clean_stale else 0
+        removed = gone if options.clean_stale else None
     todo = store.unseen(found, name, options.force)
     if options.dry_run:
         return {"collection": name, "files_processed": todo.count(), "chunks": plan(spark, todo, options).count(), "dry_run": True}
@@ -87,14 +99,20 @@ def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, opt
         embedded = embed_chunks(chunks, options.make_embedder, options.batch, wait=options.retry_wait)
         vectors = stage(embedded.withColumn("collection", F.lit(name)), "chunks")
         good, failed = split_failed(vectors)
-        counts = store.upsert(good.join(failed, "source", "left_anti"), run_id, failed)
+        first = good.select(F.size("embedding").alias("n")).head()
+        if first is not None:
+            store.check_dimension(name, first["n"], options.recreate)
+        if removed is not None:
+            removed = stage(removed.select("source"), "removed")
+        counts = store.upsert(name, good.join(failed, "source", "left_anti"), run_id, failed, gone=removed)
+        store.write_json("config.json", {"embedding_model": options.model})
         store.commit_checkpoint(name, done, failed, gone, head)
         record = {
             "ingestion_id": run_id, "mode": options.mode, "domain": options.domain, "collection": name,
             "timestamp": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(began)),
             "files_processed": done.count(), "chunks_created": counts.created, "chunks_updated": counts.updated,
-            "chunks_upserted": counts.created + counts.updated, "chunks_deleted_stale": counts.deleted + n_gone,
-            "concepts_found": [r[0] for r in vectors.select(F.explode("concepts").alias("c")).distinct().orderBy("c").collect()],
+            "chunks_upserted": counts.created + counts.updated, "chunks_deleted_stale": counts.deleted,
+            "concepts_found": [r[0] for r in stats.top_concepts(vectors, 1000).select("concept").orderBy("concept").collect()],
             "content_type_distribution": {r[0]: r[1] for r in vectors.groupBy("content_type").count().collect()},
             "embedding_model": options.model, "duration_seconds": round(time.time() - began, 3), "errors": failed.count(),
         }
@@ -108,6 +126,4 @@ def feed(spark: SparkSession, store_folder: str, source: str, text: str, options
     rows = rows.withColumn("ext", F.lower(F.regexp_extract("rel_path", r"(\.[^.]+)$", 1))).withColumn("md5", F.md5("text"))
     kind = "rfc" if options.mode == "auto" and rows.filter(F.col("rel_path").rlike(r"(?i)rfc\d+.*\.txt$")).count() else options.mode
     options = Options(**{**vars(options), "mode": "domain" if kind == "auto" else kind, "force": True})
-    store = ChunkStore(spark, store_folder)
-    store.delete_sources(resolve_collection(options.mode, options.domain, options.collection), rows.select("source"))
     return ingest(spark, store_folder, rows, options)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+import json
 import re
+import subprocess
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -81,6 +87,62 @@ def csv_tickets(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF(*(c.strip() for c in rows.columns)).na.fill("")
 
 
+def csv_rows(sources: DataFrame) -> DataFrame:
+    """Sources with every CSV file as one source a row: its ticket as JSON, keyed csv:<file>:<id>; others stay."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    names = ["source", "rel_path", "ext", "md5", "text"]
+    schema = StructType([StructField(n, StringType()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, rel_path, ext, md5, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if ext != ".csv":
+                    out.append((source, rel_path, ext, md5, text))
+                    continue
+                for row in csv.DictReader(io.StringIO(text or "")):
+                    ticket = {str(k).strip(): v or "" for k, v in row.items() if k is not None and not isinstance(v, list)}
+                    shown = json.dumps(ticket, ensure_ascii=False)
+                    digest = hashlib.md5(shown.encode("utf-8", "replace")).hexdigest()
+                    ident = next((ticket[n] for n in ("FormattedID", "formatted_id", "ID", "id") if ticket.get(n)), digest[:10])
+                    out.append((f"csv:{source}:{ident}", rel_path, ext, digest, shown))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 5)], names)
+
+    return sources.select(*names).mapInArrow(run, schema)
+
+
+def discover_ignores(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The rules of every .gitignore below a folder, by its relative folder. Ignore files are few and small."""
+    base = folder.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".gitignore").load(base)
+    plain = base.removeprefix("file://").rstrip("/")
+    where = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), rf"^.*\Q{plain}\E/|/?\.gitignore$", "")
+    return {r["folder"]: r["text"].splitlines() for r in files.select(where.alias("folder"), decode(F.col("content")).alias("text")).collect()}
+
+
+def git_changes(spark: SparkSession, repository: str, since: str | None) -> tuple[DataFrame | None, str | None]:
+    """(changes(path, op) since a commit, the head commit) of a local working copy; no changes table means a full scan.
+
+    Falls back from the three-dot to the two-argument form where the histories have no common commit.
+    """
+
+    def git(*args: str) -> str | None:
+        done = subprocess.run(["git", "-C", repository, *args], capture_output=True, text=True, timeout=120, check=False)
+        return done.stdout if done.returncode == 0 else None
+
+    head = (git("rev-parse", "HEAD") or "").strip() or None
+    if not since or not head:
+        return None, head
+    listed = git("diff", "--name-status", "--no-renames", "-z", f"{since}...{head}")
+    if listed is None:
+        listed = git("diff", "--name-status", "--no-renames", "-z", since, head)
+    if listed is None:
+        return None, head
+    parts = listed.split("\0")
+    return spark.createDataFrame(list(zip(parts[1::2], parts[0::2])), "path string, op string"), head
+
+
 def json_tickets(rows: DataFrame, text: str = "text") -> DataFrame:
     """One row per ticket of an object or a list of objects; text that is no JSON becomes a description."""
     col = F.trim(F.col(text))
@@ -113,9 +175,11 @@ def page_filter(rows: DataFrame, label: str | None = None, least: int = 200) ->
 
 
 class Pages(DataSource):
-    """Paged REST results as a batch source: one partition a page. The fetch callable is injected.
+    """Paged REST results as a batch source. The fetch callable is injected.
 
-    Options: `total` and `page_size`; fetch(start, page_size) returns rows of (id, json).
+    With the options `total` and `page_size` each page is a partition. Without a total one partition follows the pages:
+    fetch(start, page_size) returns rows of (id, json), or (rows, next start or cursor, None at the end); plain rows
+    end with the first page that is not full.
     """
 
     fetch: Callable[[int, int], list[tuple[str, str]]] | None = None
@@ -136,12 +200,19 @@ class _PageReader(DataSourceReader):
         self.fetch, self.total, self.page_size = fetch, total, page_size
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(start) for start in range(0, self.total, self.page_size)] or [InputPartition(0)]
+        return [InputPartition(start) for start in range(0, self.total, self.page_size)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
         if self.fetch is None:
             raise RuntimeError("no fetch function: this reader has no network access of its own")
-        yield from self.fetch(partition.value, self.page_size)
+        if partition.value is not None:
+            yield from self.fetch(partition.value, self.page_size)
+            return
+        start = 0
+        while start is not None:
+            page = self.fetch(start, self.page_size)
+            rows, start = page if isinstance(page, tuple) else (page, start + self.page_size if len(page) >= self.page_size else None)
+            yield from rows
 
 
 def changed(sources: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

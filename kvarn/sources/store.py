@@ -1,8 +1,10 @@
 """Collections on Parquet: versioned upsert, stale removal, checkpoint, manifests.
 
-A version is a folder of chunks partitioned by collection; a pointer file names the current one and is replaced
-last, so readers see a whole version or the one before. Joins run on chunk ids and sources; nothing is collected
-but counts. State tables (checkpoint, manifests) are small tables of their own, written after the data.
+Every collection has a folder of chunks of its own; a pointer file names the current one of each and is replaced last,
+in one atomic step, so readers see a whole version or the one before. A write touches its own collection only; folders
+that are no longer named stay until vacuum(). Joins run on chunk ids and sources; nothing is collected but counts. State
+tables (checkpoint, manifests) are small tables of their own, written after the data. A damaged pointer file is an error,
+never an empty store; a damaged checkpoint only means that everything is ingested again.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from hashlib import md5
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,10 @@ class DimensionMismatch(ValueError):
     """Stored vectors have another length than the embedder's."""
 
 
+class DamagedState(ValueError):
+    """A state file cannot be read; going on as if it were empty would lose data."""
+
+
 @dataclass(frozen=True)
 class RunCounts:
     created: int
@@ -43,27 +50,33 @@ class ChunkStore:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def read_json(self, name: str, default):
-        """A small state file, or the default where it is missing or damaged."""
+    def read_json(self, name: str, default, strict: bool = False):
+        """A small state file, or the default where it is missing or damaged; if strict, a damaged one raises DamagedState."""
         if not self._fs.exists(self._path(name)):
             return default
         stream = self._fs.open(self._path(name))
         try:
             return json.loads(bytes(stream.readAllBytes()))
-        except ValueError:
-            return default
+        except ValueError as wrong:
+            if not strict:
+                return default
+            raise DamagedState(f"{self.folder}/{name} is no JSON") from wrong
         finally:
             stream.close()
 
     def write_json(self, name: str, value) -> None:
-        """Write aside, then move into place."""
+        """Write aside, then put it in the place of the old file in one step."""
         aside = self._path(f".{uuid4().hex}.tmp")
         out = self._fs.create(aside, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(aside, self._path(name)):
-            raise OSError(f"{name} could not be replaced")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        files = jvm.org.apache.hadoop.fs.FileContext
+        context = files.getFileContext(aside.toUri(), conf) if aside.toUri().getScheme() else files.getFileContext(conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark._sc._gateway.new_array(rename, 1)
+        how[0] = rename.valueOf("OVERWRITE")
+        context.rename(aside, self._path(name), how)
 
     @contextmanager
     def staging(self, run_id: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
@@ -82,55 +95,79 @@ class ChunkStore:
 
     # chunks
 
-    def chunks(self) -> DataFrame:
-        now = self.read_json("current.json", None)
-        if now is None:
+    def _folders(self) -> dict[str, str]:
+        return self.read_json("current.json", {}, strict=True)
+
+    def chunks(self, collection: str | None = None) -> DataFrame:
+        """All chunks, or those of one collection."""
+        folders = [f for name, f in self._folders().items() if collection in (None, name)]
+        if not folders:
             return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.folder}/{now['version']}")
+        return self.spark.read.schema(CHUNK_SCHEMA).parquet(*(f"{self.folder}/{f}" for f in folders))
+
+    def version(self) -> str:
+        """A name of the current contents."""
+        return md5(json.dumps(self._folders(), sort_keys=True).encode()).hexdigest()
 
-    def _publish(self, rows: DataFrame) -> None:
-        version = f"chunks-{uuid4().hex}"
+    def _publish(self, collection: str, rows: DataFrame) -> None:
+        """Make rows the whole contents of a collection; other collections are carried over by name."""
+        folder = f"chunks-{uuid4().hex}"
         columns = [c.split()[0] for c in CHUNK_SCHEMA.replace("\n", " ").split(", ")]
-        rows.select(*columns).write.partitionBy("collection").parquet(f"{self.folder}/{version}")
-        before = self.read_json("current.json", None)
-        self.write_json("current.json", {"version": version})
-        if before:
-            self._fs.delete(self._path(before["version"]), True)
+        rows.withColumn("collection", F.lit(collection)).select(*columns).write.parquet(f"{self.folder}/{folder}")
+        self.write_json("current.json", self._folders() | {collection: folder})
+
+    def vacuum(self) -> int:
+        """Delete chunk folders that are no longer named; not while readers or writers of older versions are at work."""
+        named = set(self._folders().values())
+        if not self._fs.exists(self._path("")):
+            return 0
+        found = [f.getPath().getName() for f in self._fs.listStatus(self._path(""))]
+        gone = [f for f in found if f.startswith("chunks-") and f not in named]
+        for name in gone:
+            self._fs.delete(self._path(name), True)
+        return len(gone)
 
     def check_dimension(self, collection: str, dimension: int, recreate: bool = False) -> bool:
         """Compare one stored vector with the embedder's length; on a mismatch drop the collection or raise."""
-        row = self.chunks().filter((F.col("collection") == collection) & F.col("embedding").isNotNull()).select(F.size("embedding")).head()
+        row = self.chunks(collection).filter(F.col("embedding").isNotNull()).select(F.size("embedding")).head()
         if row is None or row[0] == dimension:
             return True
         if not recreate:
             raise DimensionMismatch(f"{collection} holds vectors of {row[0]}, the embedder makes {dimension}")
-        self._publish(self.chunks().filter(F.col("collection") != collection))
+        self._publish(collection, self.chunks(collection).limit(0))
         self.write_json("checkpoint.json", {k: v for k, v in self.read_json("checkpoint.json", {}).items() if not k.startswith(f"{collection}::")})
         return False
 
-    def upsert(self, rows: DataFrame, run_id: str, failed: DataFrame | None = None, complete: bool = True) -> RunCounts:
-        """Add or replace chunks by id; of re-ingested sources that did not fail, rows of earlier runs go."""
-        fresh = rows.withColumn("run_id", F.lit(run_id)).dropDuplicates(["collection", "chunk_id"])
-        old = self.chunks()
-        keys = ["collection", "chunk_id"]
-        kept = old.join(fresh.select(*keys), keys, "left_anti")
-        stale = fresh.select("collection", "source").distinct()
+    def upsert(
+        self, collection: str, rows: DataFrame, run_id: str, failed: DataFrame | None = None, complete: bool = True, gone: DataFrame | None = None
+    ) -> RunCounts:
+        """Add or replace chunks of a collection by id; of re-ingested sources that did not fail, rows of earlier runs go.
+
+        The chunks of gone(source) go in the same step.
+        """
+        fresh = rows.withColumn("run_id", F.lit(run_id)).dropDuplicates(["chunk_id"])
+        old = self.chunks(collection)
+        marks = fresh.select("chunk_id").withColumn("hit", F.lit(True))
+        stale = fresh.select("source").distinct() if complete else fresh.select("source").limit(0)
         if failed is not None:
             stale = stale.join(failed.select("source"), "source", "left_anti")
-        n_updated = fresh.join(old.select(*keys), keys, "left_semi").count()
-        n_created = fresh.count() - n_updated
-        n_deleted = 0
-        if complete:
-            n_deleted = kept.join(stale, ["collection", "source"], "left_semi").count()
-            kept = kept.join(stale, ["collection", "source"], "left_anti")
-        self._publish(kept.unionByName(fresh, allowMissingColumns=True))
-        return RunCounts(n_created, n_updated, n_deleted)
+        if gone is not None:
+            stale = stale.unionByName(gone.select("source")).distinct()
+        stale = stale.withColumn("stale", F.lit(True))
+        fate = old.join(marks, "chunk_id", "left").join(stale, "source", "left")
+        counts = fate.select(F.count_if("hit").alias("updated"), F.count_if(F.col("hit").isNull() & F.col("stale")).alias("deleted")).first()
+        kept = fate.filter(F.col("hit").isNull() & F.col("stale").isNull()).drop("hit", "stale")
+        n_fresh = fresh.count()
+        if n_fresh or counts["deleted"]:
+            self._publish(collection, kept.unionByName(fresh, allowMissingColumns=True))
+        return RunCounts(n_fresh - counts["updated"], counts["updated"], counts["deleted"])
 
     def delete_sources(self, collection: str, gone: DataFrame) -> int:
         """Remove the chunks of gone(source) from a collection."""
-        marked = gone.select("source").distinct().withColumn("collection", F.lit(collection))
-        n = self.chunks().join(marked, ["collection", "source"], "left_semi").count()
-        self._publish(self.chunks().join(marked, ["collection", "source"], "left_anti"))
+        marked, rows = gone.select("source").distinct(), self.chunks(collection)
+        n = rows.join(marked, "source", "left_semi").count()
+        if n:
+            self._publish(collection, rows.join(marked, "source", "left_anti"))
         return n
 
     # checkpoint
@@ -154,8 +191,11 @@ class ChunkStore:
         return joined.filter(~F.col("md5").eqNullSafe(F.col("old_md5"))).drop("old_md5")
 
     def vanished(self, sources: DataFrame, collection: str) -> DataFrame:
-        """Recorded sources that are not on disk any more; ticket and web keys are exempt."""
-        return self.checkpoint(collection).filter(~F.col("source").rlike("^(rally:|http)")).join(sources, "source", "left_anti").select("source")
+        """Recorded sources that are not on disk any more; ticket and web keys are exempt, rows of a table go with its file."""
+        seen = self.checkpoint(collection).filter(~F.col("source").rlike("^(rally:|http)"))
+        on_disk = lambda c: F.when(c.startswith("csv:"), F.regexp_extract(c, "^csv:(.*):[^:]*$", 1)).otherwise(c)
+        there = sources.select(on_disk(F.col("source")).alias("file")).distinct()
+        return seen.withColumn("file", on_disk(F.col("source"))).join(there, "file", "left_anti").select("source")
 
     def commit_checkpoint(self, collection: str, done: DataFrame, failed: DataFrame | None = None, gone: DataFrame | None = None, head: str | None = None) -> None:
         """Record done(source, md5) after the data: failed and vanished sources leave, the head moves on clean runs only."""
