@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .embed import Embedder, hashed_words
+from .embed import Embedder, hashed_words, with_retry
 from .operators import render, search, stats
 from .plans import routing
 from .plans.ingest import Options, feed
@@ -26,17 +26,37 @@ class Knowledge:
         self.spark.catalog.clearCache()
         return self
 
-    def _chunks(self, domain: str = "general", search_type: str = "auto", repository: str | None = None) -> DataFrame:
+    def _chunks(self, domain: str = "general", search_type: str = "auto") -> DataFrame:
         rows = ChunkStore(self.spark, self.folder).chunks().withColumn("sid", F.col("chunk_id"))
-        rows = rows.filter(routing.in_domain(F.col("collection"), domain) & routing.for_search(F.col("collection"), search_type))
-        return rows.filter(F.col("repository") == repository) if repository else rows
+        return rows.filter(routing.in_domain(F.col("collection"), domain) & routing.for_search(F.col("collection"), search_type))
+
+    def index(self) -> search.Bm25Index:
+        """The term index of the store's current version: built and saved once, then read."""
+        store = ChunkStore(self.spark, self.folder)
+        path = f"{store.folder}/bm25-{store.version()}"
+        if not store.exists(f"bm25-{store.version()}/terms/_SUCCESS"):
+            search.Bm25Index.build(store.chunks().withColumn("sid", F.col("chunk_id"))).save(path)
+        return search.Bm25Index.load(self.spark, path)
 
     def search_knowledge(self, query: str, domain: str = "general", search_type: str = "auto", k: object = 5,
                          repository: str | None = None, include_dependents: bool = False, hybrid: bool = True) -> DataFrame:
-        """The k best chunks, optionally followed by chunks that depend on them."""
-        n, rows, vector = routing.clamp_k(k), self._chunks(domain, search_type, repository), self.embed([query])[0]
-        if hybrid and query.strip():
-            found = search.hybrid(rows, search.Bm25Index.build(rows), query, vector, n).select("collection", "sid", "rrf")
+        """The k best chunks, optionally followed by chunks that depend on them; mentions such as @docs choose collections.
+
+        Without a vector for the query (the embedder fails) the search goes by words alone.
+        """
+        found = {m for m in ("web", "docs", "codebase") if f"@{m}" in query.lower().split()}
+        search_type = routing.route_mentions(found, search_type)
+        query = " ".join(w for w in query.split() if w.lower() not in {f"@{m}" for m in found})
+        n, everything = routing.clamp_k(k), self._chunks(domain, search_type)
+        rows = everything.filter(F.col("repository") == repository) if repository else everything
+        vector = with_retry(self.embed, [query], tries=2, wait=0.0)[0]
+        wanted = routing.in_domain(F.col("collection"), domain) & routing.for_search(F.col("collection"), search_type)
+        keep = rows.select("sid") if repository else None
+        if vector is None:
+            ranked = self.index().only(wanted).search(query, routing.candidate_cap(n), keep)
+            found = ranked.orderBy(F.desc("bm25"), "collection", "sid").limit(n).select("collection", "sid", "bm25")
+        elif hybrid and query.strip():
+            found = search.hybrid(rows, self.index().only(wanted), query, vector, n, keep=keep).select("collection", "sid", "rrf")
         else:
             found = search.dense_multi(rows, vector, n).select("collection", "sid", "distance")
         hits = rows.join(F.broadcast(found), ["collection", "sid"])  # found has at most k rows

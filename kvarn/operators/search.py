@@ -43,8 +43,14 @@ class Bm25Index:
         self.postings, self.lengths, self.terms = postings, lengths, terms
 
     @classmethod
-    def build(cls, chunks: DataFrame) -> Bm25Index:
-        """Term counts by one shuffle on (collection, sid, term); collection-wide figures are joined as small tables."""
+    def build(cls, chunks: DataFrame, unique: bool = True) -> Bm25Index:
+        """Term counts by one shuffle on (collection, sid, term); collection-wide figures are joined as small tables.
+
+        Chunks of one collection and sid count once: with unique=False their first text in order is taken, otherwise the
+        caller (a store keyed by chunk id) vouches that there are none.
+        """
+        if not unique:
+            chunks = chunks.groupBy("collection", "sid").agg(F.min("text").alias("text"))
         tokens = chunks.select("collection", "sid", tokenize(F.col("text")).alias("tokens"))
         lengths = tokens.select("collection", "sid", F.size("tokens").alias("length"))
         words = tokens.select("collection", "sid", F.explode("tokens").alias("term"))
@@ -60,14 +66,19 @@ class Bm25Index:
         return cls(postings, lengths.join(corpus, "collection"), terms)
 
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").partitionBy("collection").parquet(f"{path}/postings")
+        """Write the index: postings and terms lie in order of their term, so a query reads the row groups of its own."""
+        self.postings.repartitionByRange("term", "collection", "sid").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.terms.write.mode("overwrite").partitionBy("collection").parquet(f"{path}/terms")
+        self.terms.repartitionByRange("term", "collection").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
     @classmethod
     def load(cls, spark, path: str) -> Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")))
 
+    def only(self, keep: Column) -> Bm25Index:
+        """The index of some collections; figures of a collection do not depend on the others."""
+        return Bm25Index(self.postings.filter(keep), self.lengths.filter(keep), self.terms.filter(keep))
+
     def scores(self, query: str) -> DataFrame:
         """BM25 of every document, zero included: (collection, sid, bm25). Repeated query words count repeatedly."""
         wanted = Counter(query.lower().split())
@@ -99,11 +110,16 @@ def fuse(lists: list[tuple[DataFrame, str]], k: int = RRF_K) -> DataFrame:
     return union.groupBy("collection", "sid").agg(F.round(F.sum("part"), 9).alias("rrf"))
 
 
-def hybrid(chunks: DataFrame, index: Bm25Index, query: str, vector: list[float], k: int, cap: object = None) -> DataFrame:
-    """The k best chunks over all collections by fused dense and BM25 ranks, which are taken per collection."""
+def hybrid(
+    chunks: DataFrame, index: Bm25Index, query: str, vector: list[float], k: int, cap: object = None, keep: DataFrame | None = None
+) -> DataFrame:
+    """The k best chunks over all collections by fused dense and BM25 ranks, which are taken per collection.
+
+    keep(sid) limits what is ranked, not what the term weights are counted over.
+    """
     most = candidate_cap(k, cap)
     near = dense(chunks, vector, most).select("collection", "sid", "dense_rank")
-    sparse = index.search(query, most).select("collection", "sid", "bm25_rank")
+    sparse = index.search(query, most, keep).select("collection", "sid", "bm25_rank")
     both = near.join(sparse, ["collection", "sid"], "full_outer")
     part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
     scored = both.withColumn("rrf", F.round(part("dense_rank") + part("bm25_rank"), 9))

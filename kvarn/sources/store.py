@@ -50,6 +50,9 @@ class ChunkStore:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
     def read_json(self, name: str, default, strict: bool = False):
         """A small state file, or the default where it is missing or damaged; if strict, a damaged one raises DamagedState."""
         if not self._fs.exists(self._path(name)):
@@ -117,12 +120,12 @@ class ChunkStore:
         self.write_json("current.json", self._folders() | {collection: folder})
 
     def vacuum(self) -> int:
-        """Delete chunk folders that are no longer named; not while readers or writers of older versions are at work."""
+        """Delete chunk folders and term indexes of older versions; not while readers or writers of older versions are at work."""
         named = set(self._folders().values())
         if not self._fs.exists(self._path("")):
             return 0
         found = [f.getPath().getName() for f in self._fs.listStatus(self._path(""))]
-        gone = [f for f in found if f.startswith("chunks-") and f not in named]
+        gone = [f for f in found if f.startswith(("chunks-", "bm25-")) and f not in named | {f"bm25-{self.version()}"}]
         for name in gone:
             self._fs.delete(self._path(name), True)
         return len(gone)

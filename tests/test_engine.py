@@ -1,5 +1,6 @@
 import json
 import os
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from kvarn.operators import search
 from kvarn.plans import routing
 from kvarn.plans.ingest import Options, ingest
 from kvarn.sources import readers
-from kvarn.sources.store import ChunkStore, DimensionMismatch
+from kvarn.embed import hashed_words
+from kvarn.sources.store import ChunkStore, DamagedState, DimensionMismatch
 from kvarn.streaming.ingest import sessions, tumbling, watch
 
 
@@ -279,3 +281,140 @@ def test_render_types(spark):
     assert answer["query"] == 'q "x"' and len(answer["results"]) == 6
     assert render.by_type(rows, "id").count() == 6
     assert rows.select(render.compact().alias("c")).first()["c"].startswith("[code] (c)\na.py\n")
+
+
+# what a crash, a suffix or a ticket must not do
+
+
+def test_pointer_is_replaced_in_one_step(spark, tmp_path, corpus):
+    """A crash between writing chunks and moving the pointer leaves the version before; a damaged pointer is an error."""
+    store = f"file://{tmp_path}/db"
+    ingest(spark, store, corpus, OPTIONS)
+    kept = ChunkStore(spark, store)
+    n = kept.chunks().count()
+    assert n
+
+    class Crash(ChunkStore):
+        def write_json(self, name, value):
+            raise RuntimeError("crash")
+
+    with pytest.raises(RuntimeError):
+        Crash(spark, store).delete_sources("nms_domain", kept.chunks().select("source"))
+    assert ChunkStore(spark, store).chunks().count() == n
+    assert kept.vacuum() == 1 and kept.chunks().count() == n
+    (tmp_path / "db" / "current.json").write_text("{")
+    (tmp_path / "db" / ".current.json.crc").unlink(missing_ok=True)
+    with pytest.raises(DamagedState):
+        ChunkStore(spark, store).chunks()
+
+
+def test_a_write_keeps_other_collections_as_they_are(spark, tmp_path, corpus):
+    store = f"file://{tmp_path}/db"
+    ingest(spark, store, corpus, OPTIONS)
+    before = ChunkStore(spark, store)._folders()
+    ingest(spark, store, corpus, Options(mode="theory", domain="nms", retry_wait=0.0))
+    after = ChunkStore(spark, store)._folders()
+    assert after["nms_domain"] == before["nms_domain"] and "theory" in after
+
+
+def test_deleted_path_is_no_suffix(spark, tmp_path):
+    folder, store = tmp_path / "src", f"file://{tmp_path}/db"
+    folder.mkdir()
+    for name in ("b.py", "lib_b.py"):
+        (folder / name).write_text(f"def f():\n    return '{name}'\n")
+    options = Options(mode="code", domain="d", retry_wait=0.0)
+    ingest(spark, store, str(folder), options)
+    (folder / "b.py").unlink()
+    ingest(spark, store, str(folder), options, spark.createDataFrame([("b.py", "D")], "path string, op string"))
+    assert {r.source.rpartition("/")[2] for r in ChunkStore(spark, store).chunks().collect()} == {"lib_b.py"}
+
+
+def test_tickets_are_ingested_and_redacted(spark, tmp_path):
+    folder, store = tmp_path / "t", f"file://{tmp_path}/db"
+    folder.mkdir()
+    told = "Box 10.1.2.3 fails, write to jane.doe@corp.example; workaround: reboot"
+    (folder / "a.json").write_text(json.dumps([{"FormattedID": "US1", "Name": "n", "Description": told, "Severity": "1", "State": "Closed"},
+                                               {"FormattedID": "US2", "Name": "m", "Description": "other", "Severity": "4", "State": "Closed"}]))
+    (folder / "b.csv").write_text('FormattedID,Description,Severity,State\nUS3,"told by bob@corp.example, twice",2,closed\nUS4,open one,2,Open\n')
+    options = Options(mode="customer", domain="d", retry_wait=0.0, ticket_filter="severity=1,2,3 state=closed")
+    ingest(spark, store, str(folder), options)
+    rows = ChunkStore(spark, store).chunks().collect()
+    assert sorted(r.extra["ticket_id"] for r in rows) == ["US1", "US3"]
+    assert not any("@corp" in r.text or "10.1.2.3" in r.text for r in rows)
+    assert {r.extra["has_workaround"] for r in rows} == {"true", "false"} and all("rally_id" not in r.extra for r in rows)
+    assert sorted(r.source.startswith("csv:") for r in rows) == [False, True]
+    ingest(spark, store, str(folder), Options(mode="rally", domain="d", retry_wait=0.0))
+    internal = ChunkStore(spark, store).chunks("d_internal").collect()
+    assert sorted(r.extra["rally_id"] for r in internal) == ["US1", "US2", "US3", "US4"] and any("@corp" in r.text for r in internal)
+    (folder / "b.csv").unlink()
+    ingest(spark, store, str(folder), Options(**{**vars(options), "clean_stale": True}))
+    assert {r.extra["ticket_id"] for r in ChunkStore(spark, store).chunks("d_customer").collect()} == {"US1"}
+
+
+def test_other_dimension_is_refused_or_recreated(spark, tmp_path, corpus):
+    store = f"file://{tmp_path}/db"
+    ingest(spark, store, corpus, OPTIONS)
+    wider = Options(**{**vars(OPTIONS), "make_embedder": lambda: hashed_words(32), "force": True})
+    with pytest.raises(DimensionMismatch):
+        ingest(spark, store, corpus, wider)
+    ingest(spark, store, corpus, Options(**{**vars(wider), "recreate": True}))
+    assert {len(r.embedding) for r in ChunkStore(spark, store).chunks("nms_domain").collect()} == {32}
+
+
+def test_ignore_files_are_discovered(spark, tmp_path):
+    folder = tmp_path / "src"
+    (folder / "sub").mkdir(parents=True)
+    for name in ("a.py", "a.log", "sub/b.py", "sub/c.py"):
+        (folder / name).write_text("x = 1\n")
+    (folder / ".gitignore").write_text("*.log\n")
+    (folder / "sub" / ".gitignore").write_text("b.py\n")
+    rules = readers.discover_ignores(spark, str(folder))
+    assert rules == {"": ["*.log"], "sub": ["b.py"]}
+    found = {r.rel_path for r in readers.scan(spark, str(folder), "domain", rules).collect()}
+    assert found == {"a.py", "sub/c.py"}
+
+
+def test_git_changes(spark, tmp_path):
+    def git(*args):
+        return subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *args], capture_output=True, text=True, check=True).stdout
+
+    git("init", "-q")
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("1")
+    git("add", ".")
+    git("commit", "-qm", "1")
+    first = git("rev-parse", "HEAD").strip()
+    (tmp_path / "a.py").write_text("2")
+    (tmp_path / "b.py").unlink()
+    (tmp_path / "c d.py").write_text("3")
+    git("add", "-A")
+    git("commit", "-qm", "2")
+    changes, head = readers.git_changes(spark, str(tmp_path), first)
+    assert {tuple(r) for r in changes.collect()} == {("a.py", "M"), ("b.py", "D"), ("c d.py", "A")} and head != first
+    assert readers.git_changes(spark, str(tmp_path), None) == (None, head)
+    assert readers.git_changes(spark, str(tmp_path), "0" * 40) == (None, head)
+
+
+def test_repeated_ids_count_once(spark):
+    rows = spark.createDataFrame([("c", 1, "a b"), ("c", 1, "a b"), ("c", 2, "b c")], "collection string, sid int, text string")
+    index = search.Bm25Index.build(rows, unique=False)
+    assert index.lengths.count() == 2 and {r.tf for r in index.postings.collect()} == {1}
+
+
+def test_term_index_is_kept(spark, tmp_path, corpus):
+    store = f"file://{tmp_path}/db"
+    ingest(spark, store, corpus, OPTIONS)
+    known = Knowledge(spark, store)
+    first = known.search_knowledge("snmp", "nms").select("sid").collect()
+    assert first
+    built = search.Bm25Index.build
+    search.Bm25Index.build = None
+    try:
+        assert known.search_knowledge("snmp", "nms").select("sid").collect() == first
+    finally:
+        search.Bm25Index.build = built
+
+    def broken(texts):
+        raise RuntimeError("no embedder")
+
+    assert Knowledge(spark, store, broken).search_knowledge("@docs snmp", "nms").count() > 0
