@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,10 @@ from .functions import metadata as M
 from .functions import tables as T
 from .functions import text as X
 from .operators import history, render, search, stats
+from .operators.chunkers import within_limit
 from .plans import routing
 from .sources import readers
+from .sources import store as stores
 from .streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +110,8 @@ sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection O
 _DENSE_CTE = f"""qv AS (SELECT embedding AS v FROM embeddings WHERE vec_id = {VECTOR_ID}),
 near AS (SELECT collection, sid, round(list_sum(list_transform(list_zip(embedding, v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM chunks, qv),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY distance, sid)::INTEGER AS dense_rank FROM near) WHERE dense_rank <= 40)"""
-_HYBRID = f"""WITH {CHUNKS_SQL}, {_BM25_CTE.format(base="chunks")}, {_DENSE_CTE},
+_ALL_SQL = f"docs AS (SELECT {COLLECTION_SQL} AS collection, doc_id AS sid, text FROM documents)"
+_HYBRID = f"""WITH {CHUNKS_SQL}, {_ALL_SQL}, {_BM25_CTE.format(base="docs")}, {_DENSE_CTE},
 both_lists AS (SELECT collection, sid, dense_rank, bm25_rank,
   round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0), 9) AS rrf
   FROM dense FULL JOIN sparse USING (collection, sid))
@@ -117,8 +121,9 @@ ORDER BY rrf DESC, collection, coalesce(bm25_rank, 2147483647), coalesce(dense_r
 
 @query(_HYBRID)
 def hybrid_search(spark, folder):
-    rows = chunks(spark, folder)
-    found = search.hybrid(rows, search.Bm25Index.build(rows), WORDS, vector(spark, folder), 10)
+    """Words are searched in all documents, vectors in those that have one."""
+    index = search.Bm25Index.build(corpus(spark, folder))
+    found = search.hybrid(chunks(spark, folder), index, WORDS, vector(spark, folder), 10)
     return found.select("collection", "sid", "dense_rank", "bm25_rank", "rrf")
 
 
@@ -132,9 +137,6 @@ def dense_multi_collection(spark, folder):
     return search.dense_multi(chunks(spark, folder), vector(spark, folder), 5).select("collection", "sid", "distance")
 
 
-_ALL_SQL = f"docs AS (SELECT {COLLECTION_SQL} AS collection, doc_id AS sid, text FROM documents)"
-
-
 @query(f"WITH {_ALL_SQL}, {_BM25_CTE.format(base='docs')} SELECT collection, sid, bm25, bm25_rank FROM sparse")
 def bm25_search(spark, folder):
     return search.Bm25Index.build(corpus(spark, folder)).search(WORDS, 40).select("collection", "sid", "bm25", "bm25_rank")
@@ -174,9 +176,9 @@ def redact_documents(spark, folder):
     return read(spark, folder, "documents").select("doc_id", X.sanitize(F.col("text")).alias("clean"))
 
 
-@query(f"SELECT doc_id, {_nested('text', [*T.REDACTIONS, ('(?i)licensed', '[customer]'), ('(?i)apache', '[customer]')])} AS clean FROM documents WHERE text ILIKE '%apache%'")
+@query(f"SELECT doc_id, {_nested('text', [*T.REDACTIONS, ('(?i)licensed', '[customer]'), ('(?i)apache', '[customer]')])} AS clean FROM documents")
 def redact_companies(spark, folder):
-    docs = read(spark, folder, "documents").filter(F.lower("text").contains("apache"))
+    docs = read(spark, folder, "documents")
     return docs.select("doc_id", X.sanitize(F.col("text"), companies=["licensed", " Apache "]).alias("clean"))
 
 
@@ -264,24 +266,55 @@ def concept_parts(spark, folder):
     return frame(spark, "id, f", PARTS).select("id", F.array_join(X.concept_parts(F.col("f")), ";").alias("parts"))
 
 
-IMPORTS = [(".js", "import x from 'lib/a.js'; const b = require(\"m-b\")"), (".ts", "import('deep/er/mod')"), (".c", "#include <stdio.h>\n# include \"own.h\""),
-           (".java", "import java.util.List;\nimport a.B;"), (".rs", "pub use std::io;\nuse crate::x;\nmod net;"), (".go", "import \"fmt\""), (".txt", "import x")]
-DEPENDENCIES = [("m-b, a",), ("mod",), ("own.h, stdio.h",), ("a.B, java.util.List",), ("net, std",), ("fmt",), ("",)]
+def coded(spark: SparkSession, folder: str, cases: list[tuple[str, Column]]) -> DataFrame:
+    """Documents as source files: the k-th case (extension, text) for ids that leave k."""
+    docs, which = read(spark, folder, "documents"), F.pmod("doc_id", F.lit(len(cases)))
+    ext, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (extension, body) in enumerate(cases):
+        ext, text = F.when(which == k, extension).otherwise(ext), F.when(which == k, body).otherwise(text)
+    return docs.select("doc_id", ext.alias("ext"), text.alias("code"))
+
 
+def _format(pattern: str) -> Column:
+    """A pattern with {lang}, {source} and {doc_id} filled in from the row."""
+    parts = re.split(r"(\{(?:lang|source|doc_id)\})", pattern)
+    return F.concat(*[F.col(p[1:-1]).cast("string") if re.fullmatch(r"\{\w+\}", p) else F.lit(p) for p in parts if p])
 
-@query(f"SELECT ext, deps FROM {values('ext, deps', [(e, ', '.join(sorted(d[0].split(', ')))) for (e, _), d in zip(IMPORTS, DEPENDENCIES)])}")
+
+IMPORTING = [
+    (".js", "import x from 'lib/{source}.js'; const b = require(\"{lang}\")", "[source, lang]"),
+    (".ts", "import('deep/er/{source}')", "[source]"),
+    (".c", "#include <{source}.h>\n# include \"{lang}.h\"", "[source || '.h', lang || '.h']"),
+    (".java", "import java.{lang}.{source};\nimport a.B;", "['java.' || lang || '.' || source, 'a.B']"),
+    (".rs", "pub use std::{source};\nuse crate::x;\nmod {lang};", "['std', lang]"),
+    (".go", "import \"{source}/{lang}\"", "[source || '/' || lang]"),
+    (".txt", "import {source}", "[]"),
+]
+
+
+def _names_sql(cases: list[tuple[str, str, str]]) -> str:
+    picks = " ".join(f"WHEN {k} THEN {names}::VARCHAR[]" for k, (_, _, names) in enumerate(cases))
+    return f"SELECT doc_id, array_to_string(list_sort(list_distinct(CASE doc_id % {len(cases)} {picks} END)), ', ') AS deps FROM documents"
+
+
+@query(_names_sql(IMPORTING))
 def import_names(spark, folder):
-    return frame(spark, "ext, text", IMPORTS).select("ext", M.dependencies(F.col("text"), F.col("ext"), with_python=False).alias("deps"))
+    rows = coded(spark, folder, [(ext, _format(text)) for ext, text, _ in IMPORTING])
+    return rows.select("doc_id", M.dependencies(F.col("code"), F.col("ext"), with_python=False).alias("deps"))
 
 
-PY_SOURCES = [(1, "import os.path, sys\nfrom a.b import c, d as e\n"), (2, "from . import z\nfrom q import *\n"), (3, "def broken(:\nimport json\nfrom x.y import z\n"), (4, "x = 1")]
-PY_NAMES = [(1, "a, c, d, os, sys"), (2, "q, z"), (3, "from, json, x, z"), (4, "")]
+PYTHON = [
+    (".py", "import os.{lang}, {source}\nfrom a.b import c{doc_id}, d as e\n", "['os', source, 'a', 'c' || doc_id, 'd']"),
+    (".py", "from . import {lang}\nfrom {source} import *\n", "[lang, source]"),
+    (".py", "def broken(:\nimport {source}.x\n", "[source]"),
+    (".py", "{source} = 1", "[]"),
+]
 
 
-@query(f"SELECT id, deps FROM {values('id, deps', PY_NAMES)}")
+@query(_names_sql(PYTHON))
 def python_import_names(spark, folder):
-    rows = frame(spark, "id, text", PY_SOURCES).withColumn("ext", F.lit(".py"))
-    return rows.select("id", M.dependencies(F.col("text"), F.col("ext")).alias("deps"))
+    rows = coded(spark, folder, [(ext, _format(text)) for ext, text, _ in PYTHON])
+    return rows.select("doc_id", M.dependencies(F.col("code"), F.col("ext")).alias("deps"))
 
 
 @query("SELECT url, split_part(p, '/', 1) AS repository, CASE WHEN contains(p, '/') THEN regexp_replace(p, '^[^/]*/', '') ELSE p END AS relative_path FROM (SELECT url, regexp_replace(url, '^https?://', '') AS p FROM pages)")
@@ -301,15 +334,18 @@ def ticket_filter(spark, folder):
     return rows.filter(M.matches_ticket_filter(rules, F.col("severity"), F.col("state"), F.col("priority"))).select("id")
 
 
-LADDER = [(1, "Wiki ", "rfc", None, None, "wiki"), (2, "", "rfc", None, None, "rfc"), (3, None, "mib", "", "", "mib"), (4, None, "x", "US1", None, "rally"),
-          (5, None, "customer_ticket", None, "T1", "customer"), (6, None, "wiki", None, None, "wiki"), (7, None, "community", None, None, "community"),
-          (8, None, "release_notes", None, None, "release_notes"), (9, None, None, None, None, "code")]
+_LADDER = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN upper(lang) || ' ' ELSE '' END AS given, CASE doc_id % 5 WHEN 0 THEN 'my_rfc' WHEN 1 THEN 'Community' WHEN 2 THEN 'customer_ticket' WHEN 3 THEN 'wiki' END AS strategy, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS rally, CASE WHEN doc_id % 2 = 0 THEN lang END AS ticket FROM documents"
 
 
-@query(f"SELECT id, kind FROM {values('id, given, strategy, rally, ticket, kind', LADDER)}")
+@query(f"""SELECT doc_id, CASE WHEN trim(given) <> '' THEN lower(trim(given)) WHEN contains(lower(coalesce(strategy, '')), 'rfc') THEN 'rfc'
+ WHEN coalesce(rally, '') <> '' THEN 'rally' WHEN coalesce(ticket, '') <> '' THEN 'customer' WHEN contains(lower(coalesce(strategy, '')), 'wiki') THEN 'wiki'
+ WHEN contains(lower(coalesce(strategy, '')), 'community') THEN 'community' ELSE 'code' END AS kind FROM ({_LADDER})""")
 def source_types(spark, folder):
-    rows = frame(spark, "id, given, strategy, rally, ticket, kind", LADDER)
-    return rows.select("id", M.infer_source_type(F.col("given"), F.col("strategy"), F.col("rally"), F.col("ticket")).alias("kind"))
+    which = lambda n: F.pmod("doc_id", F.lit(n))
+    names = F.element_at(F.array(F.lit("my_rfc"), F.lit("Community"), F.lit("customer_ticket"), F.lit("wiki"), F.lit(None)), which(5).cast("int") + 1)
+    given, rally = F.when(which(7) == 0, F.concat(F.upper("lang"), F.lit(" "))).otherwise(""), F.when(which(3) == 0, F.col("source")).otherwise("")
+    kind = M.infer_source_type(given, names, rally, F.when(which(2) == 0, F.col("lang")))
+    return read(spark, folder, "documents").select("doc_id", kind.alias("kind"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4046) || chr(10) || chr(10) || '... (truncated for response size) ...' ELSE text END AS shown FROM documents")
@@ -322,49 +358,64 @@ def token_estimates(spark, folder):
     return read(spark, folder, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-FENCES = [(1, "a ``` b", ".py", "~~~", "python"), (2, "x", ".GO", "```", "go"), (3, "x", ".none", "```", "")]
+_TAGS_SQL = " ".join(f"WHEN {sql_text(e)} THEN {sql_text(t)}" for e, t in T.LANGUAGE_TAGS.items())
+_EXTENSIONS = [*T.LANGUAGE_TAGS, ".none", ""]
+_EXT_SQL = f"{_EXTENSIONS}[(doc_id % {len(_EXTENSIONS)} + 1)::INTEGER]"
+_FENCED_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '```') ELSE text END AS t FROM documents"
 
 
-@query(f"SELECT id, fence, tag FROM {values('id, text, ext, fence, tag', FENCES)}")
+@query(f"SELECT doc_id, CASE WHEN contains(t, '```') THEN '~~~' ELSE '```' END AS fence, CASE {_EXT_SQL} {_TAGS_SQL} ELSE '' END AS tag FROM ({_FENCED_SQL})")
 def fences(spark, folder):
-    return frame(spark, "id, text, ext, f, t", FENCES).select("id", X.fence(F.col("text")).alias("fence"), X.language_tag(F.col("ext")).alias("tag"))
+    text = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.replace("text", F.lit(" "), F.lit("```"))).otherwise(F.col("text"))
+    ext = F.element_at(X.literals(_EXTENSIONS), (F.pmod("doc_id", F.lit(len(_EXTENSIONS))) + 1).cast("int"))
+    return read(spark, folder, "documents").select("doc_id", X.fence(text).alias("fence"), X.language_tag(F.upper(ext)).alias("tag"))
 
 
-ASKED = [(1, "@Web find this @docs now", "docs,web", "find this  now"), (2, "none here", "", "none here"), (3, "@codebase @codebase x@web", "codebase,web", "x")]
+_ASKED = {0: "@Web {} @docs now", 1: "{}", 2: "@codebase @codebase {}", 3: "x@web {} @Docs"}
+_ASKED_SQL = " ".join(f"WHEN {k} THEN replace({sql_text(t)}, '{{}}', left(text, 200))" for k, t in _ASKED.items())
 
 
-@query(f"SELECT id, found, cleaned FROM {values('id, text, found, cleaned', ASKED)}")
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(t), '@(web|codebase|docs)\\b', 1))), ',') AS found,
+ regexp_replace(regexp_replace(t, '(?i)@(web|codebase|docs)\\b', '', 'g'), '^\\s+|\\s+$', '', 'g') AS cleaned
+ FROM (SELECT doc_id, CASE doc_id % 4 {_ASKED_SQL} END AS t FROM documents)""")
 def at_mentions(spark, folder):
-    rows = frame(spark, "id, text, a, b", ASKED)
-    return rows.select("id", F.array_join(X.mentions(F.col("text")), ",").alias("found"), X.without_mentions(F.col("text")).alias("cleaned"))
-
+    text = F.lit(None).cast("string")
+    for k, pattern in _ASKED.items():
+        before, _, after = pattern.partition("{}")
+        text = F.when(F.pmod("doc_id", F.lit(4)) == k, F.concat(F.lit(before), F.substring("text", 1, 200), F.lit(after))).otherwise(text)
+    rows = read(spark, folder, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", F.array_join(X.mentions(F.col("t")), ",").alias("found"), X.without_mentions(F.col("t")).alias("cleaned"))
 
-REWRITES = [(1, "Rewritten query: Query:  'vlan setup'\nmore", "raw", "vlan setup"), (2, "  ", "raw", "raw"), (3, "here is the query: \"x y\"", "raw", "x y"),
-            (4, "z" * 501, "raw", "raw"), (5, "plain", "raw", "plain"), (6, None, "raw", "raw")]
 
-
-@query(f"SELECT id, answer FROM {values('id, answer', [(r[0], r[3]) for r in REWRITES])}")
+@query("""SELECT doc_id, CASE WHEN bare = '' OR length(bare) > 500 THEN source ELSE bare END AS answer
+ FROM (SELECT doc_id, source, regexp_replace(trim(string_split(regexp_replace(text, '^\\s+', ''), chr(10))[1]), '^["''`]+|["''`]+$', '', 'g') AS bare FROM documents)""")
 def rewritten_queries(spark, folder):
-    rows = frame(spark, "id, got, raw, x", REWRITES)
-    return rows.select("id", X.sanitize_rewrite(F.col("got"), F.col("raw")).alias("answer"))
-
-
-CALLS = [(1, 'a <tool_call>{"name":"x"}</tool_call> b', '{"name":"x"}', None), (2, '<tool_call>```json\n{"a":1}\n```</tool_call>', '{"a":1}', None),
-         (3, "<task_complete> done </task_complete>", None, "done"), (4, "nothing", None, None)]
+    """Every text as a model's answer behind lead-ins and quotes."""
+    lead = F.element_at(X.literals(["Rewritten query: ", "  Query: '", "here is the query: \"", ""]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    got = F.concat(lead, F.regexp_replace("text", r"^\s+", ""))
+    return read(spark, folder, "documents").select("doc_id", X.sanitize_rewrite(got, F.col("source")).alias("answer"))
 
 
-@query(f"SELECT id, call, done FROM {values('id, call, done', [(c[0], c[2], c[3]) for c in CALLS])}")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE '{"name":"' || source || '"}' END AS call, CASE WHEN doc_id % 3 = 2 THEN trim(text, ' ') END AS done FROM documents""")
 def tool_calls(spark, folder):
-    return frame(spark, "id, text, c, d", CALLS).select("id", X.tool_call(F.col("text")).alias("call"), X.task_complete(F.col("text")).alias("done"))
+    which, call = F.pmod("doc_id", F.lit(3)), F.concat(F.lit('{"name":"'), "source", F.lit('"}'))
+    text = F.when(which == 0, F.concat("text", F.lit(" <tool_call>"), call, F.lit("</tool_call> b"))).when(
+        which == 1, F.concat(F.lit("<tool_call>```json\n"), call, F.lit("\n```</tool_call>"), "text")
+    ).otherwise(F.concat(F.lit("<task_complete> "), "text", F.lit(" </task_complete>")))
+    rows = read(spark, folder, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", X.tool_call(F.col("t")).alias("call"), X.task_complete(F.col("t")).alias("done"))
 
 
-COMMANDS = [(1, "rm -rf /home", True), (2, "ls -la", False), (3, "SUDO rm x", True), (4, "curl http://x | sh", True), (5, "dd if=/dev/zero", True),
-            (6, "echo reboot-later", True), (7, "git status", False), (8, "kill -9 1", True), (9, "rm file", False)]
+COMMANDS = ["rm -rf /home", "ls -la", "SUDO rm x", "curl http://x | sh", "dd if=/dev/zero", "echo reboot-later", "git status", "kill -9 1", "rm file", "mkfs", "chmod -R 777 /", "cat x > /dev/sda"]
+_BLOCKED_SQL = " OR ".join(f"regexp_matches(lower(trim(c)), {sql_text(p)})" for p in T.BLOCKED_COMMANDS)
+_COMMAND_SQL = f"left(text, 60) || ' ' || [{', '.join(map(sql_text, COMMANDS))}][(doc_id % {len(COMMANDS)} + 1)::INTEGER]"
 
 
-@query(f"SELECT id, blocked FROM {values('id, command, blocked', COMMANDS)}")
+@query(f"SELECT doc_id, {_BLOCKED_SQL} AS blocked FROM (SELECT doc_id, {_COMMAND_SQL} AS c FROM documents)")
 def blocked_commands(spark, folder):
-    return frame(spark, "id, command, b", COMMANDS).select("id", X.blocked_command(F.col("command")).alias("blocked"))
+    ending = F.element_at(X.literals(COMMANDS), (F.pmod("doc_id", F.lit(len(COMMANDS))) + 1).cast("int"))
+    docs = read(spark, folder, "documents")
+    return docs.select("doc_id", X.blocked_command(F.concat(F.substring("text", 1, 60), F.lit(" "), ending)).alias("blocked"))
 
 
 @query("SELECT doc_id, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM documents")
@@ -372,33 +423,44 @@ def blockquotes(spark, folder):
     return read(spark, folder, "documents").select("doc_id", X.blockquote(F.col("text")).alias("quoted"))
 
 
-TITLES = [(1, "My: Title, v1.0!", "My_Title_v10", "My_Title_v1_0_.wiki"), (2, "  a  b ", "a_b", "_a_b_.wiki"), (3, "x" * 90, "x" * 80, "x" * 80 + ".wiki")]
-
-
-@query(f"SELECT id, slug, wiki FROM {values('id, title, slug, wiki', TITLES)}")
+@query("""SELECT doc_id, left(regexp_replace(trim(regexp_replace(t, '[^\\w\\s-]', '', 'g'), ' '), '\\s+', '_', 'g'), 80) AS slug,
+ left(regexp_replace(t, '\\W+', '_', 'g'), 80) || '.wiki' AS wiki FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)""")
 def slugs(spark, folder):
-    return frame(spark, "id, title, a, b", TITLES).select("id", X.title_slug(F.col("title")).alias("slug"), X.wiki_slug(F.col("title")).alias("wiki"))
+    docs = read(spark, folder, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("title"))
+    return docs.select("doc_id", X.title_slug(F.col("title")).alias("slug"), X.wiki_slug(F.col("title")).alias("wiki"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda l, k: lpad(k::VARCHAR, 6, ' ') || '| ' || l), chr(10))[1:10000] AS shown FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, k: lpad(k::VARCHAR, 6, ' ') || '| ' || l), chr(10))[1:10000] AS shown FROM documents")
 def numbered_lines(spark, folder):
-    return read(spark, folder, "documents").select("doc_id", X.numbered_lines(F.col("text"), 1, 3).alias("shown"))
+    return read(spark, folder, "documents").select("doc_id", X.numbered_lines(F.col("text")).alias("shown"))
 
 
-DIAGRAMS = [(1, "```mermaid\ngraph TD\nA-->B\n```", "Mermaid Flowchart"), (2, "sequenceDiagram\n A->>B: x", "Mermaid Sequence Diagram"), (3, "@startuml\nx", "PlantUML Diagram"), (4, "text", "")]
+_LABELS_SQL = " ".join(f"WHEN {sql_text(k)} THEN {sql_text(v)}" for k, v in T.DIAGRAM_LABELS.items())
+_WORDS = [*T.DIAGRAM_LABELS, "text"]
+_WORD_SQL = f"[{', '.join(map(sql_text, _WORDS))}][(doc_id % {len(_WORDS)} + 1)::INTEGER]"
 
 
-@query(f"SELECT id, label FROM {values('id, text, label', DIAGRAMS)}")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE {_WORD_SQL} {_LABELS_SQL} ELSE '' END
+ ELSE CASE rtrim(regexp_extract(lower(trim(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1], ' ')), '^[^\\s(\\[\\x7b]*'), ':;') {_LABELS_SQL} ELSE '' END END AS label FROM documents""")
 def diagram_labels(spark, folder):
-    return frame(spark, "id, text, l", DIAGRAMS).select("id", X.diagram_label(F.col("text")).alias("label"))
+    """Even ids open a mermaid fence with every known first word in turn, odd ones are plain texts."""
+    word = F.element_at(X.literals(_WORDS), (F.pmod("doc_id", F.lit(len(_WORDS))) + 1).cast("int"))
+    block = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("```mermaid\n"), word, F.lit(" {\n"), "text")).otherwise(F.col("text"))
+    return read(spark, folder, "documents").select("doc_id", X.diagram_label(block).alias("label"))
 
 
-LINES = [(1, "+--+--+", True), (2, "   plain indented", False), (3, "0 1 2 3 4 5 6 7", True), (4, "", False), (5, "| a +-", True), (6, "words", False)]
+_LINE_SQL = "CASE doc_id % 4 WHEN 0 THEN translate(left(text, 40), 'aeion', '+-|  ') WHEN 1 THEN regexp_replace(left(text, 40), '[a-zA-Z,.]', doc_id::VARCHAR, 'g') WHEN 2 THEN '| ' || left(text, 20) || ' +-' ELSE left(text, 60) END"
 
 
-@query(f"SELECT id, drawn FROM {values('id, line, drawn', LINES)}")
+@query(rf"""SELECT doc_id, trim(l, ' ') <> '' AND (regexp_matches(l, '[+|]\s*[-+]{{2,}}') OR regexp_matches(l, '[-+]{{2,}}\s*[+|]')
+ OR (contains(l, '|') AND (regexp_matches(l, '\+-') OR regexp_matches(l, '-\+') OR regexp_matches(l, '\.-')))
+ OR (regexp_matches(trim(l, ' '), '^[\d\s]{{10,}}$') AND length(regexp_replace(l, '\D', '', 'g')) >= 4)) AS drawn
+ FROM (SELECT doc_id, replace({_LINE_SQL}, chr(10), ' ') AS l FROM documents)""")
 def drawing_lines(spark, folder):
-    return frame(spark, "id, line, d", LINES).select("id", X.rfc_line_is_diagram(F.col("line")).alias("drawn"))
+    which, head = F.pmod("doc_id", F.lit(4)), lambda n: F.substring("text", 1, n)
+    line = F.when(which == 0, F.translate(head(40), "aeion", "+-|  ")).when(which == 1, F.regexp_replace(head(40), F.lit("[a-zA-Z,.]"), F.col("doc_id").cast("string")))
+    line = line.when(which == 2, F.concat(F.lit("| "), head(20), F.lit(" +-"))).otherwise(head(60))
+    return read(spark, folder, "documents").select("doc_id", X.rfc_line_is_diagram(F.replace(line, F.lit("\n"), F.lit(" "))).alias("drawn"))
 
 
 @query("SELECT url, regexp_matches(url, '(?i)(^|/)[^/]*rfc[0-9]+[^/]*[.]txt$') AS is_rfc, lower(regexp_extract(url, '([.][^./]+)$', 1)) AS ext FROM pages")
@@ -463,10 +525,13 @@ def where_language(spark, folder):
     return read(spark, folder, "documents").filter(routing.where(clause)).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE source = 'src3' AND quality = 0")
+@query(f"""WITH {_ALL_SQL}, {_BM25_CTE.format(base='docs')} SELECT collection, sid, bm25, bm25_rank FROM (SELECT s.collection, s.sid, bm25,
+ row_number() OVER (PARTITION BY s.collection ORDER BY bm25 DESC, s.sid)::INTEGER AS bm25_rank FROM scored s JOIN documents d ON d.doc_id = s.sid WHERE d.source = 'src3') WHERE bm25_rank <= 40""")
 def repository_post_filter(spark, folder):
-    docs = read(spark, folder, "documents").filter(F.col("source") == "src3")
-    return docs.join(read(spark, folder, "labels").filter("quality = 0"), "doc_id").select("doc_id")
+    """The repository limits what is ranked; term weights stay those of the whole corpus."""
+    rows = corpus(spark, folder)
+    found = search.Bm25Index.build(rows).search(WORDS, 40, rows.filter(F.col("repository") == "src3"))
+    return found.select("collection", "sid", "bm25", "bm25_rank")
 
 
 # dependents
@@ -544,15 +609,14 @@ def clean_history(spark, folder):
     return history.sanitize_history(read(spark, folder, "conversations")).select("conv_id", "turn", "role", "text")
 
 
-TALK = [(1, 0, "user", "a", True), (1, 1, "user", "b", True), (1, 2, "assistant", "c", True), (1, 3, "assistant", "d", False), (1, 4, "assistant", "e", True),
-        (2, 0, "user", "x", True), (2, 1, "user", "y", True), (2, 2, "user", "z", True)]
-MERGED = [(1, 0, "user", "a\n---\nb"), (1, 2, "assistant", "c"), (1, 3, "assistant", "d"), (1, 4, "assistant", "e"), (2, 0, "user", "x\n---\ny\n---\nz")]
-
-
-@query(f"SELECT * FROM {values('conv_id, turn, role, text', MERGED)}")
+@query("""WITH r AS (SELECT conv_id, turn, text, CASE WHEN turn % 4 < 2 THEN 'user' ELSE 'assistant' END AS role, turn % 7 <> 3 AS plain FROM conversations),
+f AS (SELECT *, CASE WHEN lag(role) OVER w = role AND plain AND lag(plain) OVER w THEN 0 ELSE 1 END AS starts FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f)
+SELECT conv_id, min(turn) AS turn, any_value(role) AS role, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS text FROM g GROUP BY conv_id, run""")
 def merged_roles(spark, folder):
-    rows = frame(spark, "conv_id, turn, role, text, plain_message", TALK)
-    return history.merge_roles(rows, is_plain=F.col("plain_message")).select("conv_id", "turn", "role", "text")
+    role = F.when(F.pmod("turn", F.lit(4)) < 2, "user").otherwise("assistant")
+    rows = read(spark, folder, "conversations").withColumn("role", role)
+    return history.merge_roles(rows, is_plain=F.pmod("turn", F.lit(7)) != 3).select("conv_id", "turn", "role", "text")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN '[Tool Result: x] ' || text ELSE text END AS text, CASE WHEN role = 'assistant' THEN 'user' ELSE role END AS role, role = 'assistant' AS tool FROM conversations),
@@ -580,52 +644,65 @@ def recent_context(spark, folder):
 def unseen_sources(spark, folder):
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("source"), F.md5("text").alias("md5"))
     marks = read(spark, folder, "labels").select(F.col("doc_id").alias("source"), (F.col("doc_id") % 2).alias("odd")).join(docs, "source")
-    seen = marks.select("source", F.when(F.col("odd") == 0, F.col("md5")).otherwise("old").alias("old_md5"))
-    return docs.join(seen, "source", "left").filter(~F.col("md5").eqNullSafe(F.col("old_md5"))).select("source", "md5")
+    seen = marks.select("source", F.when(F.col("odd") == 0, F.col("md5")).otherwise("old").alias("md5"))
+    return stores.unseen(docs, seen).select("source", "md5")
 
 
 @query("SELECT doc_id AS source FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def vanished_sources(spark, folder):
-    return read(spark, folder, "labels").join(read(spark, folder, "documents").filter("lang = 'en'"), "doc_id", "left_anti").select(F.col("doc_id").alias("source"))
+    seen = read(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("source"))
+    there = read(spark, folder, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("source"))
+    return stores.vanished(seen, there).select(F.col("source").cast("long"))
 
 
-@query("""SELECT CASE WHEN l.doc_id IS NULL THEN 'created' ELSE 'updated' END AS kind, count(*)::BIGINT AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1""")
+@query("""WITH old AS (SELECT doc_id, doc_id % 50 AS source FROM labels GROUP BY doc_id), fresh AS (SELECT doc_id, doc_id % 50 AS source FROM documents WHERE lang = 'en'),
+gone AS (SELECT DISTINCT source FROM fresh)
+SELECT o.doc_id AS sid, CASE WHEN f.doc_id IS NOT NULL THEN 'replaced' WHEN g.source IS NOT NULL THEN 'stale' ELSE 'kept' END AS fate
+FROM old o LEFT JOIN fresh f ON o.doc_id = f.doc_id LEFT JOIN gone g ON o.source = g.source""")
 def upsert_counts(spark, folder):
-    fresh, old = read(spark, folder, "documents"), read(spark, folder, "labels").select("doc_id").distinct().withColumn("stored", F.lit(True))
-    kind = F.when(F.col("stored"), "updated").otherwise("created")
-    return fresh.join(old, "doc_id", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """What an upsert does to each stored chunk."""
+    source = F.pmod("doc_id", F.lit(50)).alias("source")
+    old = read(spark, folder, "labels").select(F.col("doc_id").alias("chunk_id"), source).distinct()
+    fresh = read(spark, folder, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), source)
+    return stores.fates(old, fresh, fresh.select("source").distinct()).select(F.col("chunk_id").alias("sid"), "fate")
 
 
-PATHS = [("a/x.py",), ("node_modules/y.js",), ("a/b/build/z.c",), ("img/p.PNG",), ("m/IF.mib",), ("top.md",), ("build",)]
+FOLDERS = ["src", "node_modules", "a/build", "docs", "x/dist/y", "buildx"]
+ENDINGS = [".py", ".js", ".PNG", ".mib", ".md", "", ".lock"]
+_PATH_SQL = f"{FOLDERS}[(doc_id % {len(FOLDERS)} + 1)::INTEGER] || '/' || source || {ENDINGS}[(doc_id % {len(ENDINGS)} + 1)::INTEGER]"
 
 
-@query(f"SELECT path FROM {values('path', [p for p in PATHS if p[0] in ('a/x.py', 'm/IF.mib', 'top.md', 'build')])}")
-def code_scan_filter(spark, folder):
-    return frame(spark, "path", PATHS).filter(readers.wanted(F.col("path"), "code")).select("path")
+def paths(spark: SparkSession, folder: str) -> DataFrame:
+    pick = lambda names: F.element_at(X.literals(names), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int"))
+    return read(spark, folder, "documents").select("doc_id", F.concat(pick(FOLDERS), F.lit("/"), "source", pick(ENDINGS)).alias("path"))
 
 
-IGNORED = [("a.log", True), ("sub/b.log", True), ("keep.log", False), ("out/x.txt", True), ("docs/out.md", False), ("src/tmp1.py", True), ("src/tmp.py", False)]
+@query(f"""SELECT doc_id, path FROM (SELECT doc_id, {_PATH_SQL} AS path FROM documents)
+ WHERE NOT list_has_any(string_split(path, '/')[:-2], {T.IGNORED_FOLDERS}) AND NOT list_contains({T.IGNORED_EXTENSIONS}, lower(regexp_extract(path, '([.][^./]+)$', 1)))""")
+def code_scan_filter(spark, folder):
+    return paths(spark, folder).filter(readers.wanted(F.col("path"), "code")).select("doc_id", "path")
 
 
-@query(f"SELECT path, gone FROM {values('path, gone', IGNORED)}")
+@query(f"""SELECT doc_id, path, CASE WHEN starts_with(path, 'src/src1') AND regexp_matches(path, '^src/src1[^/][.]py(/.*)?$') THEN true WHEN regexp_matches(path, '(^|/)build/') THEN true
+ WHEN regexp_matches(path, '(^|/)src2[.]md(/.*)?$') THEN false ELSE regexp_matches(path, '[.]md(/.*)?$') END AS gone FROM (SELECT doc_id, {_PATH_SQL} AS path FROM documents)""")
 def gitignore_rules(spark, folder):
-    rules = ["# comment", "*.log", "!keep.log", "out/", "/src/tmp?.py"]
-    return frame(spark, "path, g", IGNORED).select("path", readers.nested_ignored(F.col("path"), {"": rules}).alias("gone"))
-
-
-JSON_ROWS = [(1, '{"FormattedID":"US1","Name":"n"}'), (2, '[{"id":"7"},{"ID":"8"}]'), (3, "not json"), (4, '{"formatted_id":"F"}')]
-JSON_TICKETS = [(1, 0, "US1"), (2, 0, "7"), (2, 1, "8"), (4, 0, "F")]
+    rules = ["# comment", "*.md", "!src2.md", "build/", "/src/src1?.py"]
+    return paths(spark, folder).select("doc_id", "path", readers.nested_ignored(F.col("path"), {"": rules}).alias("gone"))
 
 
-@query(f"SELECT id, position, ticket FROM {values('id, position, ticket', JSON_TICKETS)}")
+@query("""WITH t AS (SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN [{'p': 0, 'i': source}] WHEN 1 THEN [{'p': 0, 'i': doc_id::VARCHAR}, {'p': 1, 'i': lang}] WHEN 3 THEN [{'p': 0, 'i': 'F' || doc_id}] ELSE [] END) AS r FROM documents)
+SELECT doc_id, r.p::INTEGER AS position, r.i AS ticket FROM t""")
 def json_ticket_rows(spark, folder):
-    rows = readers.json_tickets(frame(spark, "id, text", JSON_ROWS))
-    return rows.filter(~F.map_contains_key("ticket", "Description")).select("id", "position", readers.ticket_id(F.col("ticket")).alias("ticket"))
+    cases = ['{"FormattedID":"{source}","Name":"n"}', '[{"id":"{doc_id}"},{"ID":"{lang}"}]', "no {lang} json", '{"formatted_id":"F{doc_id}"}']
+    rows = readers.json_tickets(coded(spark, folder, [("", _format(c)) for c in cases]), "code")
+    return rows.filter(~F.map_contains_key("ticket", "Description")).select("doc_id", "position", readers.ticket_id(F.col("ticket")).alias("ticket"))
 
 
-@query("SELECT doc_id FROM documents WHERE strlen(text) <= 2 * 1024 AND doc_id % 2 = 0")
+@query("SELECT doc_id FROM documents WHERE strlen(text) <= 2 * 1024")
 def size_limit(spark, folder):
-    return read(spark, folder, "documents").filter((F.octet_length("text") <= 2 * 1024) & (F.col("doc_id") % 2 == 0)).select("doc_id")
+    """The limit of standards documents, in kilobytes where sources have megabytes."""
+    rows = read(spark, folder, "documents").select("doc_id", "text", F.lit("rfc").alias("source_type"), F.col("source"))
+    return within_limit(rows, unit=1024).select("doc_id")
 
 
 @query("""SELECT doc_id, '### ' || source || chr(10) || '*Source: ' || doc_id || '*' || chr(10) || chr(10) ||

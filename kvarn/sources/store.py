@@ -39,6 +39,27 @@ class RunCounts:
     deleted: int
 
 
+def unseen(sources: DataFrame, seen: DataFrame) -> DataFrame:
+    """Sources whose content hash is not the one in seen(source, md5)."""
+    joined = sources.join(seen.select("source", F.col("md5").alias("old_md5")), "source", "left")
+    return joined.filter(~F.col("md5").eqNullSafe(F.col("old_md5"))).drop("old_md5")
+
+
+def vanished(seen: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sources of seen that are not there any more; ticket and web keys are exempt, rows of a table go with its file."""
+    on_disk = lambda c: F.when(c.startswith("csv:"), F.regexp_extract(c, "^csv:(.*):[^:]*$", 1)).otherwise(c)
+    there = sources.select(on_disk(F.col("source")).alias("file")).distinct()
+    known = seen.filter(~F.col("source").rlike("^(rally:|http)")).withColumn("file", on_disk(F.col("source")))
+    return known.join(there, "file", "left_anti").select("source")
+
+
+def fates(old: DataFrame, fresh: DataFrame, stale: DataFrame) -> DataFrame:
+    """old with what becomes of each row: replaced (its chunk_id is fresh), stale (its source is), or kept."""
+    marks = fresh.select("chunk_id").distinct().withColumn("hit", F.lit(True))
+    joined = old.join(marks, "chunk_id", "left").join(stale.select("source").distinct().withColumn("stale", F.lit(True)), "source", "left")
+    return joined.withColumn("fate", F.when(F.col("hit"), "replaced").when(F.col("stale"), "stale").otherwise("kept")).drop("hit", "stale")
+
+
 class ChunkStore:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -150,16 +171,14 @@ class ChunkStore:
         """
         fresh = rows.withColumn("run_id", F.lit(run_id)).dropDuplicates(["chunk_id"])
         old = self.chunks(collection)
-        marks = fresh.select("chunk_id").withColumn("hit", F.lit(True))
         stale = fresh.select("source").distinct() if complete else fresh.select("source").limit(0)
         if failed is not None:
             stale = stale.join(failed.select("source"), "source", "left_anti")
         if gone is not None:
             stale = stale.unionByName(gone.select("source")).distinct()
-        stale = stale.withColumn("stale", F.lit(True))
-        fate = old.join(marks, "chunk_id", "left").join(stale, "source", "left")
-        counts = fate.select(F.count_if("hit").alias("updated"), F.count_if(F.col("hit").isNull() & F.col("stale")).alias("deleted")).first()
-        kept = fate.filter(F.col("hit").isNull() & F.col("stale").isNull()).drop("hit", "stale")
+        fate = fates(old, fresh, stale)
+        counts = fate.select(F.count_if(F.col("fate") == "replaced").alias("updated"), F.count_if(F.col("fate") == "stale").alias("deleted")).first()
+        kept = fate.filter("fate = 'kept'").drop("fate")
         n_fresh = fresh.count()
         if n_fresh or counts["deleted"]:
             self._publish(collection, kept.unionByName(fresh, allowMissingColumns=True))
@@ -189,16 +208,11 @@ class ChunkStore:
         """Sources whose content hash is not the recorded one; all with force."""
         if force:
             return sources
-        seen = self.checkpoint(collection).withColumnRenamed("md5", "old_md5")
-        joined = sources.join(seen, "source", "left")
-        return joined.filter(~F.col("md5").eqNullSafe(F.col("old_md5"))).drop("old_md5")
+        return unseen(sources, self.checkpoint(collection))
 
     def vanished(self, sources: DataFrame, collection: str) -> DataFrame:
         """Recorded sources that are not on disk any more; ticket and web keys are exempt, rows of a table go with its file."""
-        seen = self.checkpoint(collection).filter(~F.col("source").rlike("^(rally:|http)"))
-        on_disk = lambda c: F.when(c.startswith("csv:"), F.regexp_extract(c, "^csv:(.*):[^:]*$", 1)).otherwise(c)
-        there = sources.select(on_disk(F.col("source")).alias("file")).distinct()
-        return seen.withColumn("file", on_disk(F.col("source"))).join(there, "file", "left_anti").select("source")
+        return vanished(self.checkpoint(collection), sources)
 
     def commit_checkpoint(self, collection: str, done: DataFrame, failed: DataFrame | None = None, gone: DataFrame | None = None, head: str | None = None) -> None:
         """Record done(source, md5) after the data: failed and vanished sources leave, the head moves on clean runs only."""
