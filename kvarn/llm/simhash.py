@@ -180,7 +180,7 @@ class Classes:
 
 
 class Nearest:
-    """Pairs to verify of n items: each item's `most` nearest by distance, and a forest of pairs that spans every class."""
+    """Pairs to verify of n items: each item's `most` nearest by distance, and what else it takes to span every class."""
 
     def __init__(self, n: int, most: int = 4) -> None:
         self.classes, self.most = Classes(n), most
@@ -211,24 +211,56 @@ class Nearest:
 
     def pairs(self) -> np.ndarray:
         self._prune()
-        found = np.concatenate([self.rows[0][:2], *self.forest], axis=1)
-        return np.unique(np.sort(found, axis=0), axis=1)
-
-
-def _walk(budget: int, lane_budget: int, cap: int, real: bool = False):
-    """Arrow function over rows sorted by (lane, path, key): spanning links of each file, or (real) met pairs to verify."""
+        near = self.rows[0][:2]
+        spanned, bridges = Classes(len(self.classes.label)), []
+        spanned.add(*near)
+        for pairs in self.forest:
+            apart = spanned.label[pairs[0]] != spanned.label[pairs[1]]
+            bridges.append(pairs[:, apart])
+            spanned.add(*pairs[:, apart])
+        return np.unique(np.sort(np.concatenate([near, *bridges], axis=1), axis=0), axis=1)
+
+
+def first_met(apart: np.ndarray, lane: int, path: str, lane_budget: int, parts: int, match: int) -> np.ndarray:
+    """Which pairs, given the bits in which they differ, meet in no file before that of lane and path."""
+    fresh = np.ones(len(apart), dtype=bool)
+    for before in range(lane):
+        fresh &= np.bitwise_count(apart[:, before]) > lane_budget
+    steps = tuple(map(int, path.split(".")[1:]))
+    for depth, k in enumerate(steps):
+        for mask in _masks(steps[:depth], parts, match)[:k]:
+            fresh &= (apart[:, lane] & np.uint64(mask)) != 0
+    return fresh
+
+
+def _walk(budget: int, lane_budget: int, cap: int, parts: int, match: int, real: bool = False):
+    """Arrow function over rows sorted by (lane, path, key): spanning links of each file, or (real) met pairs to verify.
+
+    A pair meets in many files; to be verified it counts in the first of them alone, so it is emitted once, and each
+    signature's nearest are among the nearest of some file.
+    """
 
-    def links(group: np.ndarray, lane: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+    def links(group: np.ndarray, lane: np.ndarray, path: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
         own = sigs[np.arange(len(lane)), lane]
         order = np.lexsort((own, group))
-        fps, sigs, node = own[order], sigs[order], node[order]
+        fps, sigs, node, lane, path = own[order], sigs[order], node[order], lane[order], path[order]
         if real:
             nearest = Nearest(len(fps))
 
+            kinds = [(int(a), b) for a, b in sorted({(int(a), b) for a, b in zip(lane, path)})]
+            kind = np.zeros(len(fps), dtype=np.int64)
+            for code, (a, b) in enumerate(kinds):
+                kind[(lane == a) & (path == b)] = code
+
             def meet(i: np.ndarray, j: np.ndarray) -> None:
-                distance = np.bitwise_count(sigs[i] ^ sigs[j]).sum(axis=1, dtype=np.int64)
-                near = distance <= budget
-                nearest.add(i[near], j[near], distance[near])
+                apart = sigs[i] ^ sigs[j]
+                distance = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+                keep = distance <= budget
+                i, j, distance, apart = i[keep], j[keep], distance[keep], apart[keep]
+                for code in np.unique(kind[i]):
+                    here = np.flatnonzero(kind[i] == code)
+                    here = here[first_met(apart[here], *kinds[code], lane_budget, parts, match)]
+                    nearest.add(i[here], j[here], distance[here])
 
             trie_links(fps, group, lane_budget, meet)
             i, j = nearest.pairs()
@@ -245,11 +277,11 @@ def _walk(budget: int, lane_budget: int, cap: int, real: bool = False):
         moved = np.flatnonzero(classes.label != np.arange(len(fps)))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[classes.label[moved]])], ["u", "v"])
 
-    def parts(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    def taken(rows: pa.Table) -> tuple[np.ndarray, ...]:
         lane, path, key, node = (rows.column(k).to_numpy() for k in range(4))
         sigs = np.stack([rows.column(k).to_numpy() for k in range(4, rows.num_columns)], axis=1).view(np.uint64)
         starts = np.r_[True, (lane[1:] != lane[:-1]) | (path[1:] != path[:-1]) | (key[1:] != key[:-1])]
-        return starts, lane, node, sigs
+        return starts, lane, path, node, sigs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -258,17 +290,17 @@ def _walk(budget: int, lane_budget: int, cap: int, real: bool = False):
             held = fresh if held is None else pa.concat_tables([held, fresh])
             if held.num_rows < cap:
                 continue
-            starts, lane, node, sigs = parts(held)
+            starts, lane, path, node, sigs = taken(held)
             bounds = np.flatnonzero(starts)
             at, whole = 0, int(bounds[-1])
             while at < whole:  # slabs of whole files
                 nxt = int(bounds[max(np.searchsorted(bounds, at + cap, "right") - 1, np.searchsorted(bounds, at, "right"))])
-                yield links(np.cumsum(starts[at:nxt]), lane[at:nxt], node[at:nxt], sigs[at:nxt])
+                yield links(np.cumsum(starts[at:nxt]), lane[at:nxt], path[at:nxt], node[at:nxt], sigs[at:nxt])
                 at = nxt
             held = held.slice(whole)
         if held is not None and held.num_rows:
-            starts, lane, node, sigs = parts(held)
-            yield links(np.cumsum(starts), lane, node, sigs)
+            starts, lane, path, node, sigs = taken(held)
+            yield links(np.cumsum(starts), lane, path, node, sigs)
 
     return run
 
@@ -297,7 +329,7 @@ def _stars(rows: DataFrame, keys: list[str], done: list[str] | None) -> tuple[Da
 
 def hamming_links(
     nodes: DataFrame, lanes: int, budget: int, parts: int, match: int, cap: int, done: list[str] | None = None, real: bool = False,
-    alike: int = 256, levels: int = 3,
+    alike: int = 4096, levels: int = 3,
 ) -> DataFrame:
     """Spanning links (u, v) of the distinct signatures nodes(node, f0, ...) within the budget; pairs to verify if real.
 
@@ -327,7 +359,7 @@ def hamming_links(
         full = stash(filed.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys), "simhash-full", done)
         n_full = full.count()
         light = filed.join(small_side(full, n_full), keys, "left_anti") if n_full else filed
-        walk = _walk(budget, lane_budget, cap, real)
+        walk = _walk(budget, lane_budget, cap, parts, match, real)
         found = light.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(walk), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not n_full:
@@ -414,12 +446,10 @@ def verified_classes(docs: DataFrame, words: int, lanes: int, budget: int, parts
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ids = own.select("doc_id", "h")
     texts = own.select("h", "text")
-    prints = stash(signatures(own, "h", "text", words, lanes).withColumnRenamed("doc_id", "h").distinct().withColumn("node", F.xxhash64(*names)), "simhash-fp", done)
-    nodes = stash(prints.groupBy("node", *names).agg(F.min("h").alias("rep")), "simhash-nodes", done)
-    met = hamming_links(nodes.drop("rep"), lanes, budget, parts, match, cap, done, real=True).distinct()
-    reps = nodes.select("node", "rep")
-    near = met.join(reps.toDF("u", "a"), "u").join(reps.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = prints.join(reps, "node").filter("h <> rep").select(F.col("h").alias("u"), F.col("rep").alias("v"))
+    prints = stash(signatures(own, "h", "text", words, lanes).withColumnRenamed("doc_id", "h").distinct(), "simhash-fp", done)
+    nodes = stash(prints.groupBy(*names).agg(F.min("h").alias("node")), "simhash-nodes", done)  # a signature goes by one of its texts
+    near = hamming_links(nodes.select("node", *names), lanes, budget, parts, match, cap, done, real=True).distinct()
+    same = prints.join(nodes, names).filter("h <> node").select(F.col("h").alias("u"), F.col("node").alias("v"))
     links = stash(near.unionByName(same), "simhash-met", done)
     needed = links.select(F.col("u").alias("h")).union(links.select("v")).distinct()
     used = stash(texts.join(needed, "h", "left_semi").dropDuplicates(["h"]), "simhash-texts", done)
@@ -429,7 +459,10 @@ def verified_classes(docs: DataFrame, words: int, lanes: int, budget: int, parts
     # null ids come last: a class is named by its smallest id, and by none only where it has none
     first = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("h"))
     low = rooted.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    found = stash(rooted.join(low, "root").select("doc_id", "h", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("kept_h")), "simhash-found")
+    # a class may hold a third of all rows: its rows meet eight copies of its name
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    salted = rooted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(8)).cast("int"))
+    found = stash(salted.join(low, ["root", "salt"]).select("doc_id", "h", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("kept_h")), "simhash-found")
     discard(docs.sparkSession, done)
     return found
 
