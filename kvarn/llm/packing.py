@@ -148,7 +148,7 @@ def pack(
     vocabulary: str | None = None,
     end_id: int = 0,
     buckets: int | None = None,
-    room: int = 500_000,
+    room: int = 200_000,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece. room: see encoder."""
     spark = docs.sparkSession
