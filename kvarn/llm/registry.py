@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontaminate, html_text, packing, pii, quotes, shards, simhash, topk, toxicity
+from . import bitplanes, decontaminate, html_text, lexical, packing, pii, quotes, shards, simhash, topk, toxicity, url_rules, yinyang
 
 QUERIES = {
     "op1_latent_decontamination": decontaminate.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii_transducers": pii.op8,
     "op9_ftrl_toxicity": toxicity.op9,
     "op10_line_blocks": html_text.op10,
+    "op11_yinyang_clusters": yinyang.op11,
+    "op12_lexical_search": lexical.op12,
+    "op13_url_rules": url_rules.op13,
     "quoted_conversations": quotes.archived,
 }
 
@@ -22,5 +25,8 @@ ORACLES: dict[str, str] = {
     "op3_size_tiered_shards": shards.SQL,
     "op7_bit_sliced_topk": topk.SQL,
     "op10_line_blocks": html_text.SQL,
+    "op11_yinyang_clusters": yinyang.SQL,
+    "op12_lexical_search": lexical.SQL,
+    "op13_url_rules": url_rules.SQL,
     "quoted_conversations": quotes.SQL,
 }
