@@ -76,38 +76,56 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def shard_rows(shard: int, docs: list[tuple[int | None, Counter]]) -> pa.RecordBatch:
-    """The index rows of one shard; docs: (id, occurrences of each term) of documents with terms."""
-    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
-    known: dict[bytes, int] = {}
-    which, doc, tf = array("q"), array("q"), array("q")
-    for place, (_, counts) in enumerate(docs):
-        which.extend([known.setdefault(t, len(known)) for t in counts])
-        tf.extend(counts.values())
-        doc.extend([place] * len(counts))
-    which, doc, tf = (np.frombuffer(a, dtype=np.int64) if a else np.zeros(0, dtype=np.int64) for a in (which, doc, tf))
-    words = sorted(known)
-    rank = np.empty(len(words), dtype=np.int64)
-    rank[[known[w] for w in words]] = np.arange(len(words))
-    order = np.argsort(rank[which], kind="stable")
-    by, doc, tf = rank[which][order], doc[order], tf[order]
-    first = np.flatnonzero(np.diff(by, prepend=-1))
-    gaps = np.diff(doc, prepend=0)
-    gaps[first] = doc[first]
-    data, size = pack(np.stack([gaps, tf], axis=1).reshape(-1))
-    df = np.bincount(by, minlength=len(words))
-    lengths = np.array([sum(c.values()) for _, c in docs], dtype=np.int64)
-    ids = np.array([d for d, _ in docs if d is not None], dtype="<i8")
-    head, head_size = pack(lengths)
-    columns = [
-        pa.array([shard] * (len(words) + 1), pa.int64()),
-        pa.array([b"", *words], pa.binary()),
-        pa.array(np.concatenate([[len(docs)], df]), pa.int64()),
-        pa.array(np.concatenate([[lengths.sum()], np.add.reduceat(tf, first)]), pa.int64()),
-        pa.concat_arrays([_binary(head, head_size.sum(keepdims=True)), _binary(data, np.add.reduceat(size, 2 * first))]),
-        pa.array([ids.tobytes(), *[None] * len(words)], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
+class ShardBuilder:
+    """Collects the documents of one shard as numbers: each term once, twenty-four bytes for each document that holds it."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.which, self.tf, self.counts, self.ids, self.size = array("q"), array("q"), array("q"), [], 0
+
+    def add(self, doc_id: int | None, text: bytes) -> None:
+        """A document without terms leaves nothing behind."""
+        counts, known = Counter(terms(text)), self.known
+        if counts:
+            self.which.extend([known.setdefault(t, len(known)) for t in counts])
+            self.tf.extend(counts.values())
+            self.counts.append(len(counts))
+            self.ids.append(doc_id)
+            self.size += len(text)
+
+    def rows(self, shard: int) -> pa.RecordBatch:
+        """The index rows of the shard, its documents in order of their ids, those without id last."""
+        words, n = sorted(self.known), len(self.ids)
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[[self.known[w] for w in words]] = np.arange(len(words))
+        order = np.array(sorted(range(n), key=lambda d: (self.ids[d] is None, self.ids[d] or 0)), dtype=np.int64)
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        by, tf = rank[np.frombuffer(self.which, dtype=np.int64)], np.frombuffer(self.tf, dtype=np.int64)
+        given = np.repeat(np.arange(n), np.frombuffer(self.counts, dtype=np.int64))
+        lengths = np.bincount(given, weights=tf, minlength=n).astype(np.int64)[order]
+        doc = place[given]
+        sort = np.lexsort((doc, by))
+        by, doc, tf = by[sort], doc[sort], tf[sort]
+        first = np.flatnonzero(np.diff(by, prepend=-1))
+        gaps = np.diff(doc, prepend=0)
+        gaps[first] = doc[first]
+        data, size = pack(np.stack([gaps, tf], axis=1).reshape(-1))
+        ids = np.array([self.ids[d] for d in order.tolist() if self.ids[d] is not None], dtype="<i8")
+        head, head_size = pack(lengths)
+        columns = [
+            pa.array([shard] * (len(words) + 1), pa.int64()),
+            pa.array([b"", *words], pa.binary()),
+            pa.array(np.concatenate([[n], np.bincount(by, minlength=len(words))])),
+            pa.array(np.concatenate([[lengths.sum()], np.add.reduceat(tf, first)])),
+            pa.concat_arrays([_binary(head, head_size.sum(keepdims=True)), _binary(data, np.add.reduceat(size, 2 * first))]),
+            pa.array([ids.tobytes(), *[None] * len(words)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
+
+
+def _slices(rows: pa.RecordBatch, most: int = 8192) -> Iterator[pa.RecordBatch]:
+    return (rows.slice(at, most) for at in range(0, rows.num_rows, most))
 
 
 def build(docs: DataFrame, shard_bytes: int = 32 << 20, tag: str = "postings", done: list[str] | None = None) -> DataFrame:
@@ -115,19 +133,15 @@ def build(docs: DataFrame, shard_bytes: int = 32 << 20, tag: str = "postings", d
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+        shard, number = ShardBuilder(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                found = Counter(terms(text))
-                if not found:
-                    continue
-                if held and size + len(text) > shard_bytes:
-                    yield shard_rows(number, held)
-                    held, size, number = [], 0, number + 1
-                held.append((doc_id, found))
-                size += len(text)
-        if held:
-            yield shard_rows(number, held)
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                if shard.ids and shard.size + text.as_buffer().size > shard_bytes:
+                    yield from _slices(shard.rows(number))
+                    shard, number = ShardBuilder(), number + 1
+                shard.add(doc_id.as_py(), text.as_py())
+        if shard.ids:
+            yield from _slices(shard.rows(number))
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"))
     return stash(texts.mapInArrow(run, INDEX), tag, done)

@@ -157,10 +157,10 @@ def test_bytes_of_numbers_round_trip():
 
 def test_lists_of_frequent_words_are_skipped():
     lists = {b"often": list(range(5000)), b"rare": [17, 400, 4999]}
-    from collections import Counter
-
-    docs = [(n, Counter({t: 1 for t in lists if n in set(lists[t])} | {b"pad": 1})) for n in range(5000)]
-    rows = lexical.shard_rows(0, docs).to_pylist()
+    builder = lexical.ShardBuilder()
+    for n in range(5000):
+        builder.add(n, b"often pad" + b" rare" * (n in lists[b"rare"]))
+    rows = builder.rows(0).to_pylist()
     shard = lexical.Shard(rows[0]["ids"], rows[0]["postings"], 5000, 10_003, {r["term"]: (r["df"], r["postings"]) for r in rows[1:]})
     found = shard.best([(b"often", 1), (b"rare", 9000)], 3)
     assert sorted(place for _, place in found) == [17, 400, 4999]
