@@ -14,7 +14,7 @@ from .api import Knowledge
 from .plans.ingest import Options, ingest
 from .plans.routing import resolve_collection
 from .sources.readers import git_changes
-from .sources.store import ChunkStore, DimensionMismatch
+from .sources.store import Busy, ChunkStore, DimensionMismatch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +38,8 @@ def parser() -> argparse.ArgumentParser:
     put.add_argument("--concepts", help="JSON file with a concept registry")
     put.add_argument("--batch-size", type=int, default=16)
     put.add_argument("--retry-wait", type=float, default=5.0)
+    put.add_argument("--exclusive", action="store_true", help="refuse to start while another run holds the collection")
+    put.add_argument("--legacy-checkpoint", help="JSON file with {source: md5} of an older store, taken over once")
     put.add_argument("--vacuum", action="store_true", help="delete what older versions held")
     ask = sub.add_parser("query")
     ask.add_argument("text", nargs="?", default="")
@@ -59,14 +61,16 @@ def put_in(args: argparse.Namespace, spark) -> int:
     options = Options(
         mode=args.mode, domain=args.domain, collection=args.collection, model=args.model, registry=registry, batch=args.batch_size,
         force=args.force, dry_run=args.dry_run, clean_stale=args.clean_stale, retry_wait=args.retry_wait, gitignore=not args.no_gitignore,
-        ticket_filter=args.ticket_filter, keep_deprecated=args.include_deprecated, recreate=args.recreate,
+        ticket_filter=args.ticket_filter, keep_deprecated=args.include_deprecated, recreate=args.recreate, exclusive=args.exclusive,
     )
     store = ChunkStore(spark, args.db_path)
     name = resolve_collection(options.mode, options.domain, options.collection)
+    if args.legacy_checkpoint:
+        store.migrate_checkpoint(json.loads(Path(args.legacy_checkpoint).read_text(encoding="utf-8")), name)
     changes, head = git_changes(spark, args.source, store.git_head(name)) if args.incremental else (None, None)
     try:
         print(json.dumps(ingest(spark, args.db_path, args.source, options, changes, head)))
-    except DimensionMismatch as wrong:
+    except (DimensionMismatch, Busy) as wrong:
         print(wrong, file=sys.stderr)
         return 2
     if args.vacuum:

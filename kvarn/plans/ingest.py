@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field, replace
 from uuid import uuid4
 
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from ..embed import Embedder, embed_chunks, hashed_words, split_failed
 from ..functions import metadata as M
 from ..functions.text import chunk_id, concept_parts
-from ..operators import stats
 from ..operators.chunkers import chunk, within_limit
 from ..sources.readers import changed, csv_rows, discover_ignores, scan
 from ..sources.store import ChunkStore
@@ -40,6 +40,7 @@ class Options:
     ticket_filter: str = ""
     keep_deprecated: bool = False
     recreate: bool = False
+    exclusive: bool = False
 
     @property
     def embedding_model(self) -> str:
@@ -72,12 +73,19 @@ def plan(spark: SparkSession, sources: DataFrame, options: Options) -> DataFrame
 
 
 def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, options: Options, changes: DataFrame | None = None, head: str | None = None) -> dict:
-    """Run one ingestion; returns its manifest record. Only new or changed sources are chunked and embedded."""
+    """Run one ingestion; returns its manifest record. Only new or changed sources are chunked and embedded.
+
+    A folder is looked through whole, so recorded sources below it that are not there have vanished: they leave the
+    record, with clean_stale their chunks too. Sources given as rows say nothing of others, unless options.root names
+    the folder of which they are all.
+    """
     began, run_id = time.time(), uuid4().hex
     store = ChunkStore(spark, store_folder)
     name = resolve_collection(options.mode, options.domain, options.collection)
-    options = replace(options, model=detect_model(options.model, store.read_json("config.json", None), None))
-    root = (sources if isinstance(sources, str) else options.root).rstrip("/")
+    state = store.state()
+    stored = state["collections"].get(name, {}).get("dimension")
+    options = replace(options, model=detect_model(options.model, state["config"], stored))
+    root = sources.rstrip("/") if isinstance(sources, str) else options.root.rstrip("/") or None
     if isinstance(sources, str):
         found_rules = discover_ignores(spark, sources) if options.gitignore else {}
         sources = scan(spark, sources, options.mode, {**found_rules, **options.ignore})
@@ -87,34 +95,37 @@ def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, opt
         gone = gone_paths.select((F.concat(F.lit(f"{root}/"), "path") if root else F.col("path")).alias("source"))
         removed = gone
     else:
-        gone = store.vanished(found, name)
+        gone = store.vanished(found, name, root)
         removed = gone if options.clean_stale else None
     todo = store.unseen(found, name, options.force)
     if options.dry_run:
         return {"collection": name, "files_processed": todo.count(), "chunks": plan(spark, todo, options).count(), "dry_run": True}
     # what a run works on and what it has embedded are written down, so that lost executors never embed twice
-    with store.staging(run_id) as stage:
-        done = stage(todo.select("source", "md5"), "sources")
+    with store.hold(name, run_id) if options.exclusive else nullcontext(), store.staging(run_id) as stage:
+        done = stage(todo.select("source", "md5"), "sources", n=F.count(F.lit(1)))
         chunks = plan(spark, todo, options)
         embedded = embed_chunks(chunks, options.make_embedder, options.batch, wait=options.retry_wait)
-        vectors = stage(embedded.withColumn("collection", F.lit(name)), "chunks")
+        vectors = stage(embedded.withColumn("collection", F.lit(name)), "chunks", width=F.max(F.size("embedding")))
         good, failed = split_failed(vectors)
-        first = good.select(F.size("embedding").alias("n")).head()
-        if first is not None:
-            store.check_dimension(name, first["n"], options.recreate)
-        if removed is not None:
-            removed = stage(removed.select("source"), "removed")
-        counts = store.upsert(name, good.join(failed, "source", "left_anti"), run_id, failed, gone=removed)
-        store.write_json("config.json", {"embedding_model": options.model})
-        store.commit_checkpoint(name, done, failed, gone, head)
+        failed = stage(failed, "failed", n=F.count(F.lit(1)))
+        width = stage.seen["chunks"]["width"]
+        width = width if width and width > 0 else None
+        if width:
+            store.check_dimension(name, width, options.recreate)
+        gone = stage(gone.select("source"), "gone")
+        counts = store.upsert(
+            name, good.join(failed, "source", "left_anti"), run_id, failed, gone=gone if removed is not None else None,
+            seen=done, forget=gone, head=head, config={"embedding_model": options.model}, dimension=width,
+        )
+        store.compact(name)
         record = {
             "ingestion_id": run_id, "mode": options.mode, "domain": options.domain, "collection": name,
             "timestamp": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(began)),
-            "files_processed": done.count(), "chunks_created": counts.created, "chunks_updated": counts.updated,
+            "files_processed": stage.seen["sources"]["n"], "chunks_created": counts.created, "chunks_updated": counts.updated,
             "chunks_upserted": counts.created + counts.updated, "chunks_deleted_stale": counts.deleted,
-            "concepts_found": [r[0] for r in stats.top_concepts(vectors, 1000).select("concept").orderBy("concept").collect()],
+            "concepts_found": [r[0] for r in vectors.select(F.explode("concepts").alias("c")).distinct().orderBy("c").collect()],  # names of a registry
             "content_type_distribution": {r[0]: r[1] for r in vectors.groupBy("content_type").count().collect()},
-            "embedding_model": options.model, "duration_seconds": round(time.time() - began, 3), "errors": failed.count(),
+            "embedding_model": options.model, "duration_seconds": round(time.time() - began, 3), "errors": stage.seen["failed"]["n"],
         }
     store.append_run(record)
     return record

@@ -648,11 +648,35 @@ def unseen_sources(spark, folder):
     return stores.unseen(docs, seen).select("source", "md5")
 
 
-@query("SELECT doc_id AS source FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("""SELECT d.lang || '/' || doc_id AS source FROM labels l JOIN documents d USING (doc_id) WHERE d.lang IN ('fr', 'de') AND d.source <> 'src1'
+ AND (d.lang = 'fr' OR d.source = 'src2') GROUP BY ALL""")
 def vanished_sources(spark, folder):
-    seen = read(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("source"))
-    there = read(spark, folder, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("source"))
-    return stores.vanished(seen, there).select(F.col("source").cast("long"))
+    """Two folders are looked through, each for its own: all of fr/ but src1 has gone, of de/src2 too, and en/ was not looked at."""
+    docs = read(spark, folder, "documents").select("doc_id", "lang", "source")
+    named = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"))
+    seen = read(spark, folder, "labels").select("doc_id").distinct().join(docs, "doc_id").select(named.alias("source"))
+    there = docs.filter("source = 'src1' OR (lang = 'de' AND source <> 'src2')").select(named.alias("source"))
+    return stores.vanished(seen, there, "fr").unionByName(stores.vanished(seen, there, "de/"))
+
+
+@query("""WITH r AS (SELECT doc_id, doc_id % 3 AS seq, lang, row_number() OVER () AS n FROM documents UNION ALL SELECT doc_id, 3 AS seq, lang, 0 AS n FROM documents WHERE source = 'src1'),
+k AS (SELECT doc_id, 1 AS seq, lang FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, 3 AS seq, lang FROM documents WHERE source = 'src1' OR source = 'src2')
+SELECT doc_id AS sid, seq, lang AS collection FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = r.doc_id AND k.lang = r.lang AND k.seq > r.seq)""")
+def merged_runs(spark, folder):
+    """Merge on read: rows of four runs less those that later runs replace or remove."""
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("collection"), "source")
+    again = docs.filter("source = 'src1'").withColumn("seq", F.lit(3).cast("long"))
+    rows = docs.withColumn("seq", F.pmod("chunk_id", F.lit(3))).unionByName(again)
+    kills = docs.filter("collection = 'fr'").withColumn("seq", F.lit(1)).unionByName(docs.filter("source IN ('src1', 'src2')").withColumn("seq", F.lit(3)))
+    return stores.live(rows, kills).select(F.col("chunk_id").alias("sid"), "seq", "collection")
+
+
+@query("""WITH s AS (SELECT lang AS collection, source, md5(text) AS md5, doc_id AS seq FROM documents)
+SELECT collection, source, CASE WHEN max(seq) % 2 = 0 THEN NULL ELSE arg_max(md5, seq) END AS md5, max(seq) AS seq FROM s GROUP BY ALL""")
+def latest_sources(spark, folder):
+    """The checkpoint as the last run's word on each source; a null hash takes a source out."""
+    docs = read(spark, folder, "documents").select(F.col("lang").alias("collection"), "source", F.col("doc_id").alias("seq"), F.md5("text").alias("md5"))
+    return stores.latest(docs.withColumn("md5", F.when(F.col("seq") % 2 != 0, F.col("md5"))))
 
 
 @query("""WITH old AS (SELECT doc_id, doc_id % 50 AS source FROM labels GROUP BY doc_id), fresh AS (SELECT doc_id, doc_id % 50 AS source FROM documents WHERE lang = 'en'),

@@ -136,7 +136,8 @@ def discover_ignores(spark: SparkSession, folder: str) -> dict[str, list[str]]:
 def git_changes(spark: SparkSession, repository: str, since: str | None) -> tuple[DataFrame | None, str | None]:
     """(changes(path, op) since a commit, the head commit) of a local working copy; no changes table means a full scan.
 
-    Falls back from the three-dot to the two-argument form where the histories have no common commit.
+    The working copy may be a folder of a repository: paths are those below it. Falls back from the three-dot to the
+    two-argument form where the histories have no common commit.
     """
 
     def git(*args: str) -> str | None:
@@ -146,9 +147,9 @@ def git_changes(spark: SparkSession, repository: str, since: str | None) -> tupl
     head = (git("rev-parse", "HEAD") or "").strip() or None
     if not since or not head:
         return None, head
-    listed = git("diff", "--name-status", "--no-renames", "-z", f"{since}...{head}")
+    listed = git("diff", "--relative", "--name-status", "--no-renames", "-z", f"{since}...{head}")
     if listed is None:
-        listed = git("diff", "--name-status", "--no-renames", "-z", since, head)
+        listed = git("diff", "--relative", "--name-status", "--no-renames", "-z", since, head)
     if listed is None:
         return None, head
     parts = listed.split("\0")

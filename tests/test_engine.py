@@ -101,7 +101,7 @@ def test_dimension_check(spark, tmp_path, corpus):
 
 def test_state_files(spark, tmp_path):
     kept = ChunkStore(spark, f"file://{tmp_path}/db")
-    kept.write_json("x.json", {"a": 1})
+    assert kept._put("x.json", {"a": 1}) and not kept._put("x.json", {"a": 2})
     assert kept.read_json("x.json", None) == {"a": 1}
     (tmp_path / "db/y.json").write_text("{broken")
     assert kept.read_json("y.json", {}) == {}
@@ -286,8 +286,8 @@ def test_render_types(spark):
 # what a crash, a suffix or a ticket must not do
 
 
-def test_pointer_is_replaced_in_one_step(spark, tmp_path, corpus):
-    """A crash between writing chunks and moving the pointer leaves the version before; a damaged pointer is an error."""
+def test_a_version_is_seen_whole_or_not_at_all(spark, tmp_path, corpus):
+    """A crash between writing chunks and the commit leaves the version before; a damaged version is an error."""
     store = f"file://{tmp_path}/db"
     ingest(spark, store, corpus, OPTIONS)
     kept = ChunkStore(spark, store)
@@ -295,15 +295,14 @@ def test_pointer_is_replaced_in_one_step(spark, tmp_path, corpus):
     assert n
 
     class Crash(ChunkStore):
-        def write_json(self, name, value):
+        def commit(self, change):
             raise RuntimeError("crash")
 
     with pytest.raises(RuntimeError):
         Crash(spark, store).delete_sources("nms_domain", kept.chunks().select("source"))
     assert ChunkStore(spark, store).chunks().count() == n
-    assert kept.vacuum() == 1 and kept.chunks().count() == n
-    (tmp_path / "db" / "current.json").write_text("{")
-    (tmp_path / "db" / ".current.json.crc").unlink(missing_ok=True)
+    assert kept.vacuum() == 0 and kept.vacuum(grace=0) == 1 and kept.chunks().count() == n
+    (tmp_path / "db" / "versions" / f"{kept.state()['version']:012d}.json").write_text("{")
     with pytest.raises(DamagedState):
         ChunkStore(spark, store).chunks()
 
@@ -311,9 +310,9 @@ def test_pointer_is_replaced_in_one_step(spark, tmp_path, corpus):
 def test_a_write_keeps_other_collections_as_they_are(spark, tmp_path, corpus):
     store = f"file://{tmp_path}/db"
     ingest(spark, store, corpus, OPTIONS)
-    before = ChunkStore(spark, store)._folders()
+    before = ChunkStore(spark, store).state()["collections"]
     ingest(spark, store, corpus, Options(mode="theory", domain="nms", retry_wait=0.0))
-    after = ChunkStore(spark, store)._folders()
+    after = ChunkStore(spark, store).state()["collections"]
     assert after["nms_domain"] == before["nms_domain"] and "theory" in after
 
 
@@ -393,6 +392,12 @@ def test_git_changes(spark, tmp_path):
     assert {tuple(r) for r in changes.collect()} == {("a.py", "M"), ("b.py", "D"), ("c d.py", "A")} and head != first
     assert readers.git_changes(spark, str(tmp_path), None) == (None, head)
     assert readers.git_changes(spark, str(tmp_path), "0" * 40) == (None, head)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "e.py").write_text("4")
+    git("add", "-A")
+    git("commit", "-qm", "3")
+    below, _ = readers.git_changes(spark, str(tmp_path / "sub"), first)
+    assert {tuple(r) for r in below.collect()} == {("e.py", "A")}
 
 
 def test_repeated_ids_count_once(spark):
