@@ -38,6 +38,14 @@ class Knowledge:
             search.Bm25Index.build(store.chunks().withColumn("sid", F.col("chunk_id"))).save(path)
         return search.Bm25Index.load(self.spark, path)
 
+    def vectors(self) -> search.VectorIndex:
+        """The cells of the store's current version: filed once, then read."""
+        store = ChunkStore(self.spark, self.folder)
+        path = f"{store.folder}/cells-{store.version()}"
+        if not store.exists(f"cells-{store.version()}/cells/_SUCCESS"):
+            return search.VectorIndex.build(store.chunks().withColumn("sid", F.col("chunk_id")), path)
+        return search.VectorIndex(self.spark, path)
+
     def search_knowledge(self, query: str, domain: str = "general", search_type: str = "auto", k: object = 5,
                          repository: str | None = None, include_dependents: bool = False, hybrid: bool = True) -> DataFrame:
         """The k best chunks, optionally followed by chunks that depend on them; mentions such as @docs choose collections.
@@ -56,9 +64,11 @@ class Knowledge:
             ranked = self.index().only(wanted).search(query, routing.candidate_cap(n), keep)
             found = ranked.orderBy(F.desc("bm25"), "collection", "sid").limit(n).select("collection", "sid", "bm25")
         elif hybrid and query.strip():
-            found = search.hybrid(rows, self.index().only(wanted), query, vector, n, keep=keep).select("collection", "sid", "rrf")
+            near = self.vectors().search(vector, routing.candidate_cap(n), wanted, keep)
+            found = search.hybrid(rows, self.index().only(wanted), query, vector, n, keep=keep, near=near).select("collection", "sid", "rrf")
         else:
-            found = search.dense_multi(rows, vector, n).select("collection", "sid", "distance")
+            near = self.vectors().search(vector, n, wanted, keep)
+            found = near.orderBy("distance", "collection", "sid").limit(n).select("collection", "sid", "distance")
         hits = rows.join(F.broadcast(found), ["collection", "sid"])  # found has at most k rows
         if search_type == "troubleshoot":
             hits = hits.filter(routing.troubleshoot_only(F.col("content_type")))

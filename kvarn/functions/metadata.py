@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..session import stash
 from . import tables as T
 from .text import format_concepts, format_dependencies, literals
 
@@ -41,18 +45,97 @@ def concepts(text: Column, domain: str, registry: dict[str, dict[str, str]] | No
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*pairs)))) if pairs else none
 
 
-def concepts_by_join(chunks: DataFrame, registry: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Concepts from a registry table (domain, keyword, concept), which must be small: it is counted before it is sent.
+#: Multiplier of the rolling hash over code points, modulo 2^64.
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
 
-    Only keys and found concepts are shuffled, never the texts twice.
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+
+
+def _rolled(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes of all runs of that many code points), one step from each length to the next."""
+    hashes = codes + np.uint64(1)
+    for length in range(1, min(longest, len(codes)) + 1):
+        if length > 1:
+            hashes = hashes[:-1] * _ROLL + codes[length - 1 :] + np.uint64(1)
+        yield length, hashes
+
+
+class _Anchors:
+    """Hashes of the keywords' first code points, by their number; a table of bits answers most places of a text at once."""
+
+    BITS = 22
+
+    def __init__(self, by_length: dict[int, np.ndarray]) -> None:
+        self.by_length = {n: np.sort(h) for n, h in by_length.items()}
+        self.maybe = {}
+        for n, h in self.by_length.items():
+            self.maybe[n] = np.zeros(1 << self.BITS, dtype=bool)
+            self.maybe[n][h >> np.uint64(64 - self.BITS)] = True
+
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, hashes) where a text holds an anchor."""
+        for n, h in _rolled(codes, max(self.by_length, default=0)):
+            if n in self.by_length and len(self.by_length[n]):
+                at = np.flatnonzero(self.maybe[n][h >> np.uint64(64 - self.BITS)])
+                known, seen = self.by_length[n], h[at]
+                place = np.minimum(np.searchsorted(known, seen), len(known) - 1)
+                sure = known[place] == seen
+                yield n, at[sure], seen[sure]
+
+
+def concepts_by_join(
+    chunks: DataFrame, registry: DataFrame, key: str = "chunk_id", text: str = "text", anchor: int = 8, words_at_once: int = 4_000_000
+) -> DataFrame:
+    """Concepts from a registry table (domain, keyword, concept) of any size, joined on rolling hashes of the keywords' beginnings.
+
+    A keyword's anchor is its first `anchor` code points, or all if it has fewer. One pass over a text rolls a hash over all
+    runs of each length up to that and keeps the places where an anchor begins; each gives a row with the text from there,
+    as far as the longest keyword reaches. These meet the keywords of the same hash and domain in an equality join, where the
+    whole keyword is compared. Texts are read once and never shuffled. The anchors' hashes travel with the tasks, eight bytes
+    a keyword, words_at_once of them in a pass; a larger registry takes more passes. Null texts and empty keywords hold nothing.
     """
-    size = registry.count()
-    if size > 10_000:
-        raise ValueError(f"a registry of {size} keywords is too large for a substring search")
-    words = registry.select(F.col("domain").alias("__domain"), F.lower("keyword").alias("__word"), "concept")
-    hit = (F.col("domain") == F.col("__domain")) & F.contains(F.lower(F.col(text)), F.col("__word"))
-    found = chunks.join(F.broadcast(words), hit).groupBy(key).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
-    return chunks.join(found, key, "left")
+    spark = chunks.sparkSession
+    words = registry.filter("keyword <> '' AND concept IS NOT NULL").select("domain", F.lower("keyword").alias("word"), "concept").distinct()
+    words = words.withColumn("head", F.substring("word", 1, anchor))
+
+    def hash_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch["head"].to_pylist()
+            last = [next(h for n, h in _rolled(_codes(t), len(t)) if n == len(t))[0].astype(np.int64) for t in heads]
+            sizes = pa.array([len(t) for t in heads], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["domain"], batch["word"], batch["concept"], sizes, pa.array(last, pa.int64())], ["domain", "word", "concept", "size", "hash"])
+
+    words = stash(words.mapInArrow(hash_heads, "domain string, word string, concept string, size int, hash long"), "keywords")
+    heads = words.select("size", "hash").distinct()
+    total, longest = heads.count(), words.agg(F.max(F.char_length("word"))).first()[0] or 0
+    none = chunks.select(F.col(key), F.lit(None).cast("array<string>").alias("concepts"))
+    if not total:
+        return chunks.join(none.limit(0), key, "left")
+    kind = chunks.schema[key].dataType.simpleString()
+    found = None
+    for part in range(passes := -(-total // words_at_once)):
+        mine = heads if passes == 1 else heads.filter(F.pmod(F.col("hash"), F.lit(passes)) == part)
+        held = mine.toPandas()
+        anchors = _Anchors({int(n): g["hash"].to_numpy().view(np.uint64) for n, g in held.groupby("size")})
+
+        def places(batches: Iterator[pa.RecordBatch], anchors: _Anchors = anchors) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: list[tuple] = []
+                for k, low in enumerate(batch["low"].to_pylist()):
+                    for n, at, hashes in anchors.hits(_codes(low)):
+                        rows += {(k, n, h, low[p : p + longest]) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist())}
+                which = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+                columns = [pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.string()))]
+                yield pa.RecordBatch.from_arrays([which["id"], which["domain"], *columns], ["id", "domain", "size", "hash", "seen"])
+
+        given = chunks.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), "domain", F.lower(text).alias("low"))
+        spots = given.mapInArrow(places, f"id {kind}, domain string, size int, hash long, seen string")
+        hit = spots.join(words, ["domain", "size", "hash"]).filter(F.col("seen").startswith(F.col("word"))).select("id", "concept")
+        found = hit if found is None else found.unionByName(hit)
+    sets = found.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+    return chunks.join(sets, key, "left")
 
 
 _FAMILY = {

@@ -14,6 +14,7 @@ from .functions import text as X
 from .operators import history, render, search, stats
 from .operators.chunkers import within_limit
 from .plans import routing
+from .session import scratch
 from .sources import readers
 from .sources import store as stores
 from .streaming import ingest as streams
@@ -132,6 +133,13 @@ def dense_search(spark, folder):
     return search.dense(chunks(spark, folder), vector(spark, folder), 40).select("collection", "sid", "distance", "dense_rank")
 
 
+@query(f"WITH {CHUNKS_SQL}, {_DENSE_CTE} SELECT collection, sid, distance, dense_rank FROM dense")
+def dense_cells(spark, folder):
+    """The same neighbours from an index of cells."""
+    index = search.VectorIndex.build(chunks(spark, folder), scratch(spark, "vectors"), cells=64)
+    return index.search(vector(spark, folder), 40)
+
+
 @query(f"WITH {CHUNKS_SQL}, {_DENSE_CTE} SELECT collection, sid, distance FROM dense WHERE dense_rank <= 5 ORDER BY distance, collection, sid LIMIT 5")
 def dense_multi_collection(spark, folder):
     return search.dense_multi(chunks(spark, folder), vector(spark, folder), 5).select("collection", "sid", "distance")
@@ -552,6 +560,17 @@ def dependent_stems(spark, folder):
     return search.stems(frame(spark, _GRAPH_COLUMNS, GRAPH))
 
 
+@query(rf"""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS word FROM benchmark)
+SELECT doc_id, string_agg(word, ' ' ORDER BY word) AS concepts FROM documents JOIN w ON contains(lower(text), word) GROUP BY doc_id""")
+def keyword_concepts(spark, folder):
+    """Every word of the benchmark items is a keyword, looked for in all documents at once."""
+    words = read(spark, folder, "benchmark").select(F.explode(X.tokenize(F.col("text"))).alias("keyword"))
+    registry = words.select(F.lit("general").alias("domain"), "keyword", F.col("keyword").alias("concept"))
+    docs = read(spark, folder, "documents").select("doc_id", "text", F.lit("general").alias("domain"))
+    found = M.concepts_by_join(docs, registry, "doc_id").filter("concepts IS NOT NULL")
+    return found.select("doc_id", F.array_join("concepts", " ").alias("concepts"))
+
+
 # aggregates
 
 

@@ -386,7 +386,7 @@ class ChunkStore:
         state = self.state()
         named = {r["token"] for c in state["collections"].values() for r in c["runs"]}
         gone = [f"data/{f}" for f, age in self._names("data") if f not in named and age >= grace]
-        gone += [f for f, age in self._names("") if f.startswith("bm25-") and f != f"bm25-{self.version()}" and age >= grace]
+        gone += [f for f, age in self._names("") if f.startswith(("bm25-", "cells-")) and not f.endswith(f"-{self.version()}") and age >= grace]
         for name in gone:
             self._fs.delete(self._path(name), True)
         for name, age in self._names("versions"):

@@ -404,6 +404,7 @@ def test_repeated_ids_count_once(spark):
     rows = spark.createDataFrame([("c", 1, "a b"), ("c", 1, "a b"), ("c", 2, "b c")], "collection string, sid int, text string")
     index = search.Bm25Index.build(rows, unique=False)
     assert index.lengths.count() == 2 and {r.tf for r in index.postings.collect()} == {1}
+    assert {r.tf for r in search.Bm25Index(index.blocks, index.lengths, index.terms).postings.collect()} == {1}
 
 
 def test_term_index_is_kept(spark, tmp_path, corpus):
