@@ -153,3 +153,45 @@ RFC_MARKERS = ["network working group", "internet engineering task force", "requ
 RELEASE_DATE = r"(?i)(?:released?|published|date)[:.\s]+(\d{4}-\d{2}-\d{2}|\d{1,2}\s+\w+\s+\d{4}|\w+\s+\d{1,2},?\s+\d{4})"
 VERSION_HEADING = r"(?m)^(#{1,3}\s*v?[\d.]+[^\n]*|Version\s+[\d.]+[^\n]*|#\s*[\d.]+[^\n]*)"
 MIB_OBJECT = "OBJECT-TYPE|NOTIFICATION-TYPE|MODULE-IDENTITY|TEXTUAL-CONVENTION"
+
+#: Object types of a MIB: the first rule whose pattern is found in the kind, the name or the whole definition decides.
+MIB_TYPE_RULES = [
+    ("kind", "^NOTIFICATION-TYPE$", "notification"),
+    ("kind", "^MODULE-IDENTITY$", "identity"),
+    ("kind", "^TEXTUAL-CONVENTION$", "textual_convention"),
+    ("name", "(?i)^(?!.*TABLE).*ENTRY", "row"),
+    ("name", "(?i)TABLE", "table"),
+    ("block", "INDEX", "table"),
+    ("block", "(?is)^(?=.*SEQUENCE)(?=.*OF)", "table"),
+    ("block", "(?i)AUGMENTS|COLUMN", "column"),
+]
+MIB_OTHER_TYPE = "scalar"
+
+#: Metadata of a ticket, and the fields that may hold it, the first filled one counts.
+TICKET_FIELDS = {
+    "chunk_name": ["Name", "title"],
+    "rally_id": ["FormattedID", "id"],
+    "artifact_type": ["_type", "artifact_type"],
+    "state": ["State", "state"],
+    "priority": ["Priority", "priority"],
+    "severity": ["Severity", "severity"],
+    "iteration": ["Iteration"],
+    "release": ["Release"],
+    "created_date": ["CreationDate", "created"],
+    "closed_date": ["ClosedDate", "closed"],
+    "tags": ["Tags", "tags"],
+}
+TICKET_TEXTS = {
+    "description": ["Description", "description"],
+    "resolution": ["Resolution", "resolution"],
+    "discussion": ["Discussion", "discussion"],
+}
+CUSTOMER_FIELDS = {"ticket_id": ["ticket_id", "FormattedID"], "product_version": ["product_version"], "related_rally": ["related_rally"]}
+
+#: Signs of a release section, its category and the content type that it stands for.
+RELEASE_KINDS = [
+    ("known issue", "Known Issues", "edge_case"),
+    ("breaking", "Breaking Changes", "constraint"),
+    ("bug fix", "Bug Fixes", "general"),
+    ("new feature", "New Features", "general"),
+]

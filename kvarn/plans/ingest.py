@@ -68,7 +68,7 @@ def plan(spark: SparkSession, sources: DataFrame, options: Options) -> DataFrame
     """Chunks of sources(source, rel_path, ext, text), without vectors."""
     kind = SOURCE_TYPE_BY_MODE.get(options.mode, "domain_doc")
     typed = within_limit(sources.withColumn("source_type", F.lit(kind)))
-    pieces = chunk(typed, options.embedding_model, ["rel_path", "ext"], M.parse_ticket_filter(options.ticket_filter), options.keep_deprecated)
+    pieces = chunk(typed, options.embedding_model, ["rel_path", "ext"], M.parse_ticket_filter(options.ticket_filter), options.keep_deprecated, [kind])
     return enrich(pieces, options.domain, kind, options.registry)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import metadata as M
 from .functions import tables as T
 from .functions import text as X
-from .operators import history, render, search, stats
+from .operators import cutting, history, render, search, stats
 from .operators.chunkers import within_limit
 from .plans import routing
 from .session import scratch
@@ -772,6 +772,77 @@ def event_sessions(spark, folder):
     return streams.sessions(read(spark, folder, "events"))
 
 
+# cutting by expressions
+
+
+_TICKET_SQL = {
+    "name": "'Mail bob' || c_custkey || '@corp.com'",
+    "told": "'<p>Box 10.1.' || c_custkey % 200 || '.7 of ' || c_name || ' fails; workaround known</p>'",
+    "tags": "c_mktsegment || ' 00:1A:2B:3C:4D:' || lpad((c_custkey % 100)::VARCHAR, 2, '0')",
+    "iteration": "'555-123-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')",
+}
+_CLEAN = {k: _nested(f"({v})", T.REDACTIONS) for k, v in _TICKET_SQL.items()}
+
+
+@query(f"""SELECT c_custkey AS id, {_CLEAN['name']} AS chunk_name, {_CLEAN['tags']} AS tags, {_CLEAN['iteration']} AS iteration, 'US' || c_custkey AS ticket_id, 'true' AS has_workaround,
+ {_CLEAN['name']} || chr(10) || chr(10) || trim(regexp_replace({_CLEAN['told']}, '<[^>]+>', ' ', 'g') || chr(10) || chr(10) || 'Resolution:', chr(10)) || chr(10) || chr(10) || 'Discussion:' AS text
+ FROM customer""")
+def customer_ticket_rows(spark, folder):
+    """Tickets of customers: every value is redacted before it becomes text or metadata."""
+    number = lambda n, w: F.lpad(F.pmod("c_custkey", F.lit(n)).cast("string"), w, "0")
+    ticket = F.struct(
+        F.concat(F.lit("US"), "c_custkey").alias("FormattedID"), F.concat(F.lit("Mail bob"), "c_custkey", F.lit("@corp.com")).alias("Name"),
+        F.concat(F.lit("<p>Box 10.1."), F.pmod("c_custkey", F.lit(200)), F.lit(".7 of "), "c_name", F.lit(" fails; workaround known</p>")).alias("Description"),
+        F.concat("c_mktsegment", F.lit(" 00:1A:2B:3C:4D:"), number(100, 2)).alias("Tags"), F.concat(F.lit("555-123-"), number(10_000, 4)).alias("Iteration"),
+    )
+    sources = read(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("source"), F.to_json(ticket).alias("text"))
+    rows = cutting.tickets(sources, True, None, [])
+    meta = [F.col("chunk_meta")[k].alias(k) for k in ("chunk_name", "tags", "iteration", "ticket_id", "has_workaround")]
+    return rows.select(F.col("source").cast("long").alias("id"), *meta, "text")
+
+
+_OBJECTS = [("Scalar", "INTEGER"), ("Entry", "INTEGER"), ("Table", "SEQUENCE OF X"), ("Map", "INDEX"), ("Old", "INTEGER")]
+
+
+@query(f"""WITH o AS (SELECT p_partkey, p_size, p_name, unnest({[(n, s) for n, s in _OBJECTS]}) AS o FROM part)
+SELECT p_partkey AS id, 'p' || p_partkey || o[1] AS object_name, o[2] AS syntax, 'base ' || p_size AS oid_path, 'M' || p_partkey || '-MIB' AS section,
+ CASE o[1] WHEN 'Entry' THEN 'row' WHEN 'Table' THEN 'table' WHEN 'Map' THEN 'table' ELSE 'scalar' END AS object_type, p_name AS told
+FROM o WHERE o[1] <> 'Old'""")
+def mib_objects(spark, folder):
+    """One module a part, with an object of each type and a deprecated one."""
+    part = F.col("p_partkey").cast("string")
+    defined = [F.concat(F.lit("\np"), part, F.lit(f"{n} OBJECT-TYPE\n  SYNTAX {s}\n  MAX-ACCESS read-only\n  STATUS {'deprecated' if n == 'Old' else 'current'}\n  DESCRIPTION \""),
+                        "p_name", F.lit('"\n  ::= { base '), "p_size", F.lit(" }\n")) for n, s in _OBJECTS]
+    text = F.concat(F.lit("M"), part, F.lit("-MIB DEFINITIONS ::= BEGIN\n"), *defined, F.lit("END"))
+    sources = read(spark, folder, "part").select(part.alias("source"), text.alias("text"))
+    rows = cutting.exploded(sources, cutting.mib_pieces(F.col("text"), F.col("source")), [])
+    meta = [F.col("chunk_meta")[k].alias(k) for k in ("object_name", "syntax", "oid_path", "section", "object_type")]
+    return rows.select(F.col("source").cast("long").alias("id"), *meta, F.regexp_extract("text", 'DESCRIPTION "([^"]*)"', 1).alias("told"))
+
+
+def _after_last(mark: str, low: int, most: int) -> str:
+    zone = f"substring(body, start + {low + 1}, {most - low})"
+    return f"CASE WHEN contains({zone}, {mark}) THEN {low} + length({zone}) - strpos(reverse({zone}), reverse({mark})) + 1 END"
+
+
+@query(rf"""WITH RECURSIVE b AS (SELECT doc_id, body, length(body) AS n FROM (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS body FROM documents)),
+w(doc_id, body, n, start, stop, k) AS (
+  SELECT doc_id, body, n, 0::BIGINT, CASE WHEN n <= 1000 THEN n ELSE coalesce({_after_last("chr(10) || chr(10)", 200, 1000)}, {_after_last("'. '", 333, 1000)}, 1000) END, 0
+  FROM (SELECT *, 0 AS start FROM b WHERE n > 0)
+  UNION ALL
+  SELECT doc_id, body, n, start, CASE WHEN n - start <= 1000 THEN n ELSE start + coalesce({_after_last("chr(10) || chr(10)", 200, 1000)}, {_after_last("'. '", 333, 1000)}, 1000) END, k
+  FROM (SELECT doc_id, body, n, CASE WHEN near > 0 THEN after + near + 1 ELSE after END AS start, k + 1 AS k
+        FROM (SELECT *, strpos(substring(body, after + 1, 450), chr(10) || chr(10)) AS near FROM (SELECT *, greatest(start + 1, stop - 150) AS after FROM w WHERE stop < n)))
+  WHERE start < n
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS position, regexp_replace(substring(body, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS piece
+FROM w WHERE trim(substring(body, start + 1, stop - start), chr(10) || ' ' || chr(9)) <> ''""")
+def char_windows(spark, folder):
+    """All documents in overlapping windows of at most 1000 characters."""
+    docs = read(spark, folder, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return docs.select("doc_id", F.posexplode(cutting.windows(F.col("text"), 1000)).alias("position", "piece"))
+
+
 # chunkers run in Python on Arrow batches; tests hold them against the plain functions
 
 
