@@ -188,18 +188,17 @@ def rfc_line_is_diagram(line: Column, compat: bool = False) -> Column:
     return (F.trim(line) != "") & (art | digits | wide)
 
 
-def parse_rfc_list(text: str) -> list[int]:
+def rfc_numbers(text: Column) -> Column:
     """Sorted distinct numbers of a list such as '793,7680 8200-8210'; a reversed range is an error."""
-    out: set[int] = set()
-    for part in re.split(r"[,\s]+", text.strip()):
-        if not part:
-            continue
-        low, _, high = part.partition("-")
-        a, b = int(low), int(high or low)
-        if a > b:
-            raise ValueError(f"reversed range {part}")
-        out.update(range(a, b + 1))
-    return sorted(out)
+
+    def numbers(part: Column) -> Column:
+        low = F.substring_index(part, "-", 1).cast("int")
+        high = F.substring_index(part, "-", -1).cast("int")
+        wrong = F.raise_error(F.concat(F.lit("reversed range "), part)).cast("array<int>")
+        return F.when(low > high, wrong).otherwise(F.sequence(low, high))
+
+    parts = F.filter(F.split(F.trim(text), r"[,\s]+"), lambda x: x != "")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))
 
 
 def decode(content: Column) -> Column:

@@ -335,7 +335,12 @@ def stems(hits: DataFrame) -> DataFrame:
 
 
 def dependents(chunks: DataFrame, names: DataFrame, most: int) -> DataFrame:
-    """Chunks whose dependencies hold one of names(stem): exploded and joined on equality, never compared pairwise."""
-    needs = chunks.select("sid", F.explode(F.split("dependencies", ", ")).alias("stem"))
-    found = needs.join(names, "stem", "left_semi").select("sid").distinct()
-    return chunks.join(found, "sid", "left_semi").orderBy("collection", "sid").limit(max(1, min(20, most)))
+    """Chunks whose dependencies hold one of names(stem): exploded and joined on equality, never compared pairwise.
+
+    At most `most` (20 at most) of each collection are looked at, and as many are returned.
+    """
+    limit = max(1, min(20, most))
+    needs = chunks.select("collection", "sid", F.explode(F.split("dependencies", ", ")).alias("stem"))
+    found = needs.join(names, "stem", "left_semi").select("collection", "sid").distinct()
+    few = ranked(found, [F.col("sid")], limit, "position").orderBy("collection", "sid").limit(limit).select("collection", "sid")
+    return chunks.join(F.broadcast(few), ["collection", "sid"], "left_semi")  # a handful of rows

@@ -53,21 +53,6 @@ def sql_text(value) -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
 
-def values(columns: str, rows: list[tuple]) -> str:
-    """Rows as a SQL table for the comparing engine."""
-    body = ", ".join("(" + ", ".join(map(sql_text, r)) + ")" for r in rows)
-    return f"(SELECT * FROM (VALUES {body}) AS fixture({columns}))"
-
-
-def frame(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    """The same rows as a DataFrame; a column is text unless its first filled value is a number."""
-    kinds = []
-    for k, name in enumerate(columns.split(", ")):
-        first = next((r[k] for r in rows if r[k] is not None), "")
-        kinds.append(f"{name} {'boolean' if isinstance(first, bool) else 'int' if isinstance(first, int) else 'string'}")
-    return spark.createDataFrame(rows, ", ".join(kinds))
-
-
 # chunks of the test tables
 
 COLLECTION_SQL = "CASE WHEN lang = 'en' THEN 'en_code' ELSE lang || '_domain' END"
@@ -226,14 +211,16 @@ def content_type_custom(spark, folder):
     return read(spark, folder, "documents").select("doc_id", M.content_type(F.col("text"), SIGNALS).alias("content_type"))
 
 
-SENTENCES = [(1, "Known issue: this debug API crashes; workaround below"), (2, "How to get rapid results, step by step"),
-             (3, "The algorithm computes the flow"), (4, "plain words"), (5, "That's why we chose this trade-off instead of that"),
-             (6, "Interface contract: depends on upstream"), (7, "must be restricted; cannot"), (8, "workaround"), (9, None)]
+SENTENCES = ["Known issue: this debug API crashes; workaround below ", "How to get rapid results, step by step ", "The algorithm computes the flow ", "",
+             "That's why we chose this trade-off instead of that ", "Interface contract: depends on upstream ", "must be restricted; cannot ", "workaround "]
+_SENTENCE_SQL = f"[{', '.join(map(sql_text, SENTENCES))}][(doc_id % {len(SENTENCES)} + 1)::INTEGER] || text"
 
 
-@query(f"SELECT id, CASE WHEN ({_signal_sql(T.CONTENT_SIGNALS)}).s > 0 THEN ({_signal_sql(T.CONTENT_SIGNALS)}).n ELSE 'general' END AS content_type FROM {values('id, text', SENTENCES)}")
+@query(f"SELECT doc_id, CASE WHEN b.s > 0 THEN b.n ELSE 'general' END AS content_type FROM (SELECT doc_id, {_signal_sql(T.CONTENT_SIGNALS)} AS b FROM (SELECT doc_id, {_SENTENCE_SQL} AS text FROM documents))")
 def content_type_default(spark, folder):
-    return frame(spark, "id, text", SENTENCES).select("id", M.content_type(F.col("text")).alias("content_type"))
+    """All documents, each behind a sentence that has signals."""
+    lead = F.element_at(X.literals(SENTENCES), (F.pmod("doc_id", F.lit(len(SENTENCES))) + 1).cast("int"))
+    return read(spark, folder, "documents").select("doc_id", M.content_type(F.concat(lead, "text")).alias("content_type"))
 
 
 _FOUND = ", ".join(f"CASE WHEN contains(lower(text), {sql_text(k.lower())}) THEN {sql_text(v)} END" for k, v in REGISTRY["general"].items())
@@ -265,13 +252,12 @@ def top_concepts(spark, folder):
     return stats.top_concepts(tagged(spark, folder))
 
 
-PARTS = [(1, "|b|a|"), (2, "x, y ,,z"), (3, ""), (4, "|snmp,agent|vlan|"), (5, "one")]
-
-
-@query(f"""SELECT id, array_to_string(list_filter(list_transform(string_split(f, CASE WHEN starts_with(f, '|') THEN '|' ELSE ',' END),
- lambda p: trim(p)), lambda p: p <> ''), ';') AS parts FROM {values('id, f', PARTS)}""")
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(f, CASE WHEN starts_with(f, '|') THEN '|' ELSE ',' END), lambda p: trim(p)), lambda p: p <> ''), ';') AS parts
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '|' || source || '|' || lang || ',x|' WHEN 1 THEN lang || ' ,, ' || source || ',' || doc_id WHEN 2 THEN '' ELSE source END AS f FROM documents)""")
 def concept_parts(spark, folder):
-    return frame(spark, "id, f", PARTS).select("id", F.array_join(X.concept_parts(F.col("f")), ";").alias("parts"))
+    which = F.pmod("doc_id", F.lit(4))
+    field = F.when(which == 0, _format("|{source}|{lang},x|")).when(which == 1, _format("{lang} ,, {source},{doc_id}")).when(which == 2, "").otherwise(F.col("source"))
+    return read(spark, folder, "documents").select("doc_id", F.array_join(X.concept_parts(field), ";").alias("parts"))
 
 
 def coded(spark: SparkSession, folder: str, cases: list[tuple[str, Column]]) -> DataFrame:
@@ -331,15 +317,13 @@ def repository_paths(spark, folder):
     return read(spark, folder, "pages").select("url", M.repository(path).alias("repository"), M.relative_path(path).alias("relative_path"))
 
 
-TICKETS = [(1, "1", "Closed", "High"), (2, "4", "closed", "low"), (3, None, "Open", "HIGHEST"), (4, "2", None, "high"), (5, "", "CLOSED", "very high")]
-
-
-@query(f"""SELECT id FROM {values('id, severity, state, priority', TICKETS)} WHERE (coalesce(severity, '') = '' OR severity IN ('1', '2', '3'))
- AND lower(coalesce(state, '')) = 'closed' AND contains(lower(priority), 'high')""")
+@query("""SELECT o_orderkey AS id FROM orders WHERE (o_custkey % 5 = 0 OR o_custkey % 5 IN (1, 2, 3)) AND o_orderstatus = 'F' AND contains(o_orderpriority, 'HIGH')""")
 def ticket_filter(spark, folder):
-    rows = frame(spark, "id, severity, state, priority", TICKETS)
-    rules = M.parse_ticket_filter("severity=1,2,3 state=closed priority=High")
-    return rows.filter(M.matches_ticket_filter(rules, F.col("severity"), F.col("state"), F.col("priority"))).select("id")
+    """Orders as tickets: a severity that may be blank, a state and a priority."""
+    rules = M.parse_ticket_filter("severity=1,2,3 state=f priority=High")
+    severity = F.pmod("o_custkey", F.lit(5)).cast("string")
+    keep = M.matches_ticket_filter(rules, F.when(severity != "0", severity), F.col("o_orderstatus"), F.col("o_orderpriority"))
+    return read(spark, folder, "orders").filter(keep).select(F.col("o_orderkey").alias("id"))
 
 
 _LADDER = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN upper(lang) || ' ' ELSE '' END AS given, CASE doc_id % 5 WHEN 0 THEN 'my_rfc' WHEN 1 THEN 'Community' WHEN 2 THEN 'customer_ticket' WHEN 3 THEN 'wiki' END AS strategy, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS rally, CASE WHEN doc_id % 2 = 0 THEN lang END AS ticket FROM documents"
@@ -380,7 +364,7 @@ def fences(spark, folder):
 
 
 _ASKED = {0: "@Web {} @docs now", 1: "{}", 2: "@codebase @codebase {}", 3: "x@web {} @Docs"}
-_ASKED_SQL = " ".join(f"WHEN {k} THEN replace({sql_text(t)}, '{{}}', left(text, 200))" for k, t in _ASKED.items())
+_ASKED_SQL = " ".join(f"WHEN {k} THEN replace({sql_text(t)}, '{{}}', text)" for k, t in _ASKED.items())
 
 
 @query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(t), '@(web|codebase|docs)\\b', 1))), ',') AS found,
@@ -390,7 +374,7 @@ def at_mentions(spark, folder):
     text = F.lit(None).cast("string")
     for k, pattern in _ASKED.items():
         before, _, after = pattern.partition("{}")
-        text = F.when(F.pmod("doc_id", F.lit(4)) == k, F.concat(F.lit(before), F.substring("text", 1, 200), F.lit(after))).otherwise(text)
+        text = F.when(F.pmod("doc_id", F.lit(4)) == k, F.concat(F.lit(before), "text", F.lit(after))).otherwise(text)
     rows = read(spark, folder, "documents").select("doc_id", text.alias("t"))
     return rows.select("doc_id", F.array_join(X.mentions(F.col("t")), ",").alias("found"), X.without_mentions(F.col("t")).alias("cleaned"))
 
@@ -416,14 +400,14 @@ def tool_calls(spark, folder):
 
 COMMANDS = ["rm -rf /home", "ls -la", "SUDO rm x", "curl http://x | sh", "dd if=/dev/zero", "echo reboot-later", "git status", "kill -9 1", "rm file", "mkfs", "chmod -R 777 /", "cat x > /dev/sda"]
 _BLOCKED_SQL = " OR ".join(f"regexp_matches(lower(trim(c)), {sql_text(p)})" for p in T.BLOCKED_COMMANDS)
-_COMMAND_SQL = f"left(text, 60) || ' ' || [{', '.join(map(sql_text, COMMANDS))}][(doc_id % {len(COMMANDS)} + 1)::INTEGER]"
+_COMMAND_SQL = f"text || ' ' || [{', '.join(map(sql_text, COMMANDS))}][(doc_id % {len(COMMANDS)} + 1)::INTEGER]"
 
 
 @query(f"SELECT doc_id, {_BLOCKED_SQL} AS blocked FROM (SELECT doc_id, {_COMMAND_SQL} AS c FROM documents)")
 def blocked_commands(spark, folder):
     ending = F.element_at(X.literals(COMMANDS), (F.pmod("doc_id", F.lit(len(COMMANDS))) + 1).cast("int"))
     docs = read(spark, folder, "documents")
-    return docs.select("doc_id", X.blocked_command(F.concat(F.substring("text", 1, 60), F.lit(" "), ending)).alias("blocked"))
+    return docs.select("doc_id", X.blocked_command(F.concat("text", F.lit(" "), ending)).alias("blocked"))
 
 
 @query("SELECT doc_id, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM documents")
@@ -457,18 +441,20 @@ def diagram_labels(spark, folder):
     return read(spark, folder, "documents").select("doc_id", X.diagram_label(block).alias("label"))
 
 
-_LINE_SQL = "CASE doc_id % 4 WHEN 0 THEN translate(left(text, 40), 'aeion', '+-|  ') WHEN 1 THEN regexp_replace(left(text, 40), '[a-zA-Z,.]', doc_id::VARCHAR, 'g') WHEN 2 THEN '| ' || left(text, 20) || ' +-' ELSE left(text, 60) END"
+_LINE_SQL = "CASE (doc_id + k) % 4 WHEN 0 THEN translate(x, 'aeion', '+-|  ') WHEN 1 THEN regexp_replace(x, '[a-zA-Z,.]', doc_id::VARCHAR, 'g') WHEN 2 THEN '| ' || x || ' +-' ELSE x END"
 
 
-@query(rf"""SELECT doc_id, trim(l, ' ') <> '' AND (regexp_matches(l, '[+|]\s*[-+]{{2,}}') OR regexp_matches(l, '[-+]{{2,}}\s*[+|]')
+@query(rf"""SELECT doc_id, line, trim(l, ' ') <> '' AND (regexp_matches(l, '[+|]\s*[-+]{{2,}}') OR regexp_matches(l, '[-+]{{2,}}\s*[+|]')
  OR (contains(l, '|') AND (regexp_matches(l, '\+-') OR regexp_matches(l, '-\+') OR regexp_matches(l, '\.-')))
  OR (regexp_matches(trim(l, ' '), '^[\d\s]{{10,}}$') AND length(regexp_replace(l, '\D', '', 'g')) >= 4)) AS drawn
- FROM (SELECT doc_id, replace({_LINE_SQL}, chr(10), ' ') AS l FROM documents)""")
+ FROM (SELECT doc_id, k::INTEGER AS line, {_LINE_SQL} AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents))""")
 def drawing_lines(spark, folder):
-    which, head = F.pmod("doc_id", F.lit(4)), lambda n: F.substring("text", 1, n)
-    line = F.when(which == 0, F.translate(head(40), "aeion", "+-|  ")).when(which == 1, F.regexp_replace(head(40), F.lit("[a-zA-Z,.]"), F.col("doc_id").cast("string")))
-    line = line.when(which == 2, F.concat(F.lit("| "), head(20), F.lit(" +-"))).otherwise(head(60))
-    return read(spark, folder, "documents").select("doc_id", X.rfc_line_is_diagram(F.replace(line, F.lit("\n"), F.lit(" "))).alias("drawn"))
+    """Every line of all documents, in turn made into drawings, digits and half-drawn lines."""
+    lines = read(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    which = F.pmod(F.col("doc_id") + F.col("line"), F.lit(4))
+    drawn = F.when(which == 0, F.translate("x", "aeion", "+-|  ")).when(which == 1, F.regexp_replace("x", F.lit("[a-zA-Z,.]"), F.col("doc_id").cast("string")))
+    drawn = drawn.when(which == 2, F.concat(F.lit("| "), "x", F.lit(" +-"))).otherwise(F.col("x"))
+    return lines.select("doc_id", "line", X.rfc_line_is_diagram(drawn).alias("drawn"))
 
 
 @query("SELECT url, regexp_matches(url, '(?i)(^|/)[^/]*rfc[0-9]+[^/]*[.]txt$') AS is_rfc, lower(regexp_extract(url, '([.][^./]+)$', 1)) AS ext FROM pages")
@@ -476,9 +462,12 @@ def path_kinds(spark, folder):
     return read(spark, folder, "pages").select("url", X.is_rfc_file(F.col("url")).alias("is_rfc"), readers.extension(F.col("url")).alias("ext"))
 
 
-@query("SELECT n::INTEGER AS rfc FROM (SELECT unnest(list_concat([793, 7680], range(8200, 8211))) AS n)")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct([doc_id + 1, doc_id % 7 + 9000, doc_id % 7 + 9001, doc_id % 7 + 9002, doc_id + 3])), ',') AS rfcs FROM documents""")
 def rfc_list(spark, folder):
-    return readers.rfc_numbers(spark, "793,7680 8200-8210,793")
+    """A list with single numbers, a range and a repeat for every document."""
+    low = F.pmod("doc_id", F.lit(7)) + 9000
+    text = F.concat_ws(" ", F.concat(F.col("doc_id") + 1, F.lit(","), F.col("doc_id") + 1), F.concat(low, F.lit("-"), low + 2), (F.col("doc_id") + 3).cast("string"))
+    return read(spark, folder, "documents").select("doc_id", F.array_join(X.rfc_numbers(text), ",").alias("rfcs"))
 
 
 # metadata, routing
@@ -491,34 +480,40 @@ def metadata_rows(spark, folder):
     return M.finalize(rows).select("source", "domain", "repository", "chunk_index", "subsection", "dependencies")
 
 
-MODES = [(m, "nms") for m in [*T.COLLECTION_BY_MODE, "other"]]
+MODES = [*T.COLLECTION_BY_MODE, "other"]
+_MODE_SQL = f"{MODES}[(doc_id % {len(MODES)} + 1)::INTEGER]"
+
+
+def moded(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a mode each in turn, their language as domain."""
+    mode = F.element_at(X.literals(MODES), (F.pmod("doc_id", F.lit(len(MODES))) + 1).cast("int"))
+    return read(spark, folder, "documents").select("doc_id", mode.alias("mode"), F.col("lang").alias("domain"))
+
 
+_ROUTED_SQL = f"""(SELECT doc_id, mode, CASE mode WHEN 'code' THEN lang || '_code' WHEN 'domain' THEN lang || '_domain' WHEN 'rfc' THEN 'rfc' WHEN 'rally' THEN lang || '_internal'
+ WHEN 'customer' THEN lang || '_customer' WHEN 'mib' THEN lang || '_mib' WHEN 'wiki' THEN lang || '_wiki' WHEN 'release-notes' THEN lang || '_releases'
+ WHEN 'theory' THEN 'theory' WHEN 'community' THEN 'community' ELSE lang || '_misc' END AS collection FROM (SELECT *, {_MODE_SQL} AS mode FROM documents))"""
 
-@query(f"""SELECT mode, CASE mode WHEN 'code' THEN 'nms_code' WHEN 'domain' THEN 'nms_domain' WHEN 'rfc' THEN 'rfc' WHEN 'rally' THEN 'nms_internal'
- WHEN 'customer' THEN 'nms_customer' WHEN 'mib' THEN 'nms_mib' WHEN 'wiki' THEN 'nms_wiki' WHEN 'release-notes' THEN 'nms_releases'
- WHEN 'theory' THEN 'theory' WHEN 'community' THEN 'community' ELSE 'nms_misc' END AS collection,
- CASE mode WHEN 'domain' THEN 'domain_doc' WHEN 'release-notes' THEN 'release_notes' WHEN 'other' THEN 'domain_doc' ELSE mode END AS source_type
- FROM {values('mode, domain', MODES)}""")
+
+@query(f"""SELECT doc_id, collection, CASE mode WHEN 'domain' THEN 'domain_doc' WHEN 'release-notes' THEN 'release_notes' WHEN 'other' THEN 'domain_doc' ELSE mode END AS source_type
+ FROM {_ROUTED_SQL}""")
 def collection_routes(spark, folder):
-    rows = frame(spark, "mode, domain", MODES)
-    return rows.select("mode", routing.collection_of(F.col("mode"), F.col("domain")).alias("collection"), routing.source_type_of(F.col("mode")).alias("source_type"))
+    rows = moded(spark, folder)
+    return rows.select("doc_id", routing.collection_of(F.col("mode"), F.col("domain")).alias("collection"), routing.source_type_of(F.col("mode")).alias("source_type"))
 
 
 _KINDS = ["auto", "code", "domain", "troubleshoot", "reference", "odd"]
-_NAMES = [(n,) for n in ("nms_code", "nms_domain", "rfc", "theory", "community", "x_customer", "x_internal", "x_mib", "x_releases", "nms_misc")]
 
 
-@query(f"""SELECT kind, name FROM {values('name', _NAMES)} n CROSS JOIN (SELECT unnest({_KINDS}) AS kind) k WHERE CASE kind
- WHEN 'code' THEN name LIKE '%\\_code' ESCAPE '\\' WHEN 'domain' THEN contains(name, '_domain') OR name = 'theory'
- WHEN 'troubleshoot' THEN contains(name, '_domain') OR contains(name, 'community') OR contains(name, '_customer') OR contains(name, '_internal')
- WHEN 'reference' THEN name IN ('rfc', 'theory') OR contains(name, '_mib') OR ends_with(name, '_releases') ELSE true END""")
+@query(f"""SELECT kind, collection, count(*)::BIGINT AS n FROM {_ROUTED_SQL} n JOIN (SELECT unnest({_KINDS}) AS kind) k ON CASE kind
+ WHEN 'code' THEN collection LIKE '%\\_code' ESCAPE '\\' WHEN 'domain' THEN contains(collection, '_domain') OR collection = 'theory'
+ WHEN 'troubleshoot' THEN contains(collection, '_domain') OR contains(collection, 'community') OR contains(collection, '_customer') OR contains(collection, '_internal')
+ WHEN 'reference' THEN collection IN ('rfc', 'theory') OR contains(collection, '_mib') OR ends_with(collection, '_releases') ELSE true END GROUP BY ALL""")
 def search_routes(spark, folder):
-    rows = frame(spark, "name", _NAMES)
-    parts = [rows.filter(routing.for_search(F.col("name"), k)).select(F.lit(k).alias("kind"), "name") for k in _KINDS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Documents that each search type reaches, by collection."""
+    rows = moded(spark, folder).select(routing.collection_of(F.col("mode"), F.col("domain")).alias("collection"))
+    takes = F.array(*[F.when(routing.for_search(F.col("collection"), k), k) for k in _KINDS])
+    return rows.select("collection", F.explode(F.array_compact(takes)).alias("kind")).groupBy("kind", "collection").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT collection, count(*)::BIGINT AS n FROM (SELECT {COLLECTION_SQL} AS collection FROM documents) WHERE contains(collection, 'fr') GROUP BY 1")
@@ -544,31 +539,30 @@ def repository_post_filter(spark, folder):
 
 # dependents
 
-GRAPH = [("a", 1, "src/os.py", "os", "", "os"), ("a", 2, "src/use.py", "use", "os, sys", ""), ("a", 3, "src/oslo.py", "oslo", "oslo, sys", ""),
-         ("b", 4, "x/y.py", "y", "json, os", ""), ("b", 5, "x/z.py", "z", "z", "")]
-_GRAPH_COLUMNS = "collection, sid, relative_path, chunk_name, dependencies, tag"
+_GRAPH_SQL = f"""g AS (SELECT {COLLECTION_SQL} AS collection, doc_id AS sid, source || '/m' || doc_id % 40 || '.py' AS relative_path, 'f' || doc_id % 30 AS chunk_name,
+ 'm' || (doc_id * 7) % 40 || ', ' || lang || ', f' || (doc_id * 3) % 90 AS dependencies, source FROM documents)"""
+
+
+def graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files that define a name and depend on others."""
+    part = lambda mark, times, n: F.concat(F.lit(mark), F.pmod(F.col("sid") * times, F.lit(n)))
+    rows = corpus(spark, folder).withColumn("relative_path", F.concat("repository", F.lit("/"), part("m", 1, 40), F.lit(".py")))
+    lang = read(spark, folder, "documents").select(F.col("doc_id").alias("sid"), "lang")
+    needs = F.concat_ws(", ", part("m", 7, 40), "lang", part("f", 3, 90))
+    return rows.join(lang, "sid").withColumn("chunk_name", part("f", 1, 30)).withColumn("dependencies", needs)
 
 
-@query(f"SELECT collection, sid FROM {values(_GRAPH_COLUMNS, GRAPH)} WHERE list_contains(string_split(dependencies, ', '), 'os') ORDER BY 1, 2 LIMIT 10")
+@query(f"""WITH {_GRAPH_SQL}, s AS (SELECT 'm' || sid % 40 AS stem FROM g WHERE source = 'src1' UNION SELECT chunk_name FROM g WHERE source = 'src1')
+SELECT collection, sid FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY sid) AS r FROM g WHERE list_has_any(string_split(dependencies, ', '), (SELECT list(stem) FROM s)))
+WHERE r <= 10 ORDER BY collection, sid LIMIT 10""")
 def dependents(spark, folder):
-    rows = frame(spark, _GRAPH_COLUMNS, GRAPH)
-    return search.dependents(rows, search.stems(rows.filter("tag = 'os'")), 10).select("collection", "sid")
+    rows = graph(spark, folder)
+    return search.dependents(rows, search.stems(rows.filter("repository = 'src1'")), 10).select("collection", "sid")
 
 
-@query(f"""SELECT DISTINCT s AS stem FROM (SELECT unnest([regexp_extract(relative_path, '([^/]+?)(\\.[^./]*)?$', 1), chunk_name]) AS s FROM {values(_GRAPH_COLUMNS, GRAPH)})""")
+@query(f"WITH {_GRAPH_SQL} SELECT DISTINCT unnest(['m' || sid % 40, chunk_name]) AS stem FROM g WHERE source IN ('src1', 'src2')")
 def dependent_stems(spark, folder):
-    return search.stems(frame(spark, _GRAPH_COLUMNS, GRAPH))
-
-
-@query(rf"""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS word FROM benchmark)
-SELECT doc_id, string_agg(word, ' ' ORDER BY word) AS concepts FROM documents JOIN w ON contains(lower(text), word) GROUP BY doc_id""")
-def keyword_concepts(spark, folder):
-    """Every word of the benchmark items is a keyword, looked for in all documents at once."""
-    words = read(spark, folder, "benchmark").select(F.explode(X.tokenize(F.col("text"))).alias("keyword"))
-    registry = words.select(F.lit("general").alias("domain"), "keyword", F.col("keyword").alias("concept"))
-    docs = read(spark, folder, "documents").select("doc_id", "text", F.lit("general").alias("domain"))
-    found = M.concepts_by_join(docs, registry, "doc_id").filter("concepts IS NOT NULL")
-    return found.select("doc_id", F.array_join("concepts", " ").alias("concepts"))
+    return search.stems(graph(spark, folder).filter("repository IN ('src1', 'src2')"))
 
 
 # aggregates

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import tables as T
-from ..functions.text import decode, literals, parse_rfc_list
+from ..functions.text import decode, literals
+from ..functions.text import rfc_numbers as parse_rfc_numbers
 
 SOURCE_COLUMNS = ["source", "rel_path", "ext", "size", "mtime", "md5", "text"]
 
@@ -235,7 +236,7 @@ def changed(sources: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def rfc_numbers(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in parse_rfc_list(text)], "rfc int")
+    return spark.createDataFrame([(text,)], "text string").select(F.explode(parse_rfc_numbers(F.col("text"))).alias("rfc"))
 
 
 def listing(rows: DataFrame) -> DataFrame:

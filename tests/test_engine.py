@@ -183,10 +183,11 @@ def test_routing_scalars():
     assert routing.route_mentions({"docs"}, "auto") == "domain"
 
 
-def test_rfc_list():
-    assert X.parse_rfc_list("5 3-4,3") == [3, 4, 5]
-    with pytest.raises(ValueError):
-        X.parse_rfc_list("9-3")
+def test_rfc_list(spark):
+    assert [r.rfc for r in readers.rfc_numbers(spark, " 5 3-4,3,").collect()] == [3, 4, 5]
+    assert readers.rfc_numbers(spark, "").count() == 0
+    with pytest.raises(Exception, match="reversed range 9-3"):
+        readers.rfc_numbers(spark, "9-3").collect()
 
 
 def test_redaction_is_stable(spark):
