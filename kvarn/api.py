@@ -96,7 +96,14 @@ class Knowledge:
         rows = self._chunks().withColumn("ingested", F.col("run_id"))
         return {"collections": stats.status(rows), "concepts": stats.top_concepts(rows, 20), "content_types": stats.content_types(rows)}
 
-    def markdown(self, hits: DataFrame) -> str:
+    @staticmethod
+    def _with_metadata(hits: DataFrame) -> DataFrame:
         base = F.create_map(F.lit("source"), F.col("source"), F.lit("repository"), F.col("repository"), F.lit("dependencies"), F.col("dependencies"))
-        rows = hits.withColumn("metadata", F.map_concat(F.map_filter("extra", lambda k, _: ~k.isin("source", "repository", "dependencies")), base))
-        return render.joined(rows, render.result(), "sid").first()["answer"]
+        return hits.withColumn("metadata", F.map_concat(F.map_filter("extra", lambda k, _: ~k.isin("source", "repository", "dependencies")), base))
+
+    def markdown(self, hits: DataFrame) -> str:
+        return render.joined(self._with_metadata(hits), render.result(), "sid").first()["answer"]
+
+    def plain(self, hits: DataFrame) -> str:
+        """The compact form: a head line, the place and the text of each hit."""
+        return render.joined(self._with_metadata(hits), render.compact(), "sid").first()["answer"]

@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     put.add_argument("--model")
     put.add_argument("--concepts", help="JSON file with a concept registry")
     put.add_argument("--batch-size", type=int, default=16)
+    put.add_argument("--concurrency", type=int, default=4, help="batches that each task has in flight at the embedder")
     put.add_argument("--retry-wait", type=float, default=5.0)
     put.add_argument("--exclusive", action="store_true", help="refuse to start while another run holds the collection")
     put.add_argument("--legacy-checkpoint", help="JSON file with {source: md5} of an older store, taken over once")
@@ -59,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
 def put_in(args: argparse.Namespace, spark) -> int:
     registry = json.loads(Path(args.concepts).read_text(encoding="utf-8")) if args.concepts else None
     options = Options(
-        mode=args.mode, domain=args.domain, collection=args.collection, model=args.model, registry=registry, batch=args.batch_size,
+        mode=args.mode, domain=args.domain, collection=args.collection, model=args.model, registry=registry, batch=args.batch_size, concurrency=args.concurrency,
         force=args.force, dry_run=args.dry_run, clean_stale=args.clean_stale, retry_wait=args.retry_wait, gitignore=not args.no_gitignore,
         ticket_filter=args.ticket_filter, keep_deprecated=args.include_deprecated, recreate=args.recreate, exclusive=args.exclusive,
     )
@@ -82,7 +83,7 @@ def answer(args: argparse.Namespace, spark) -> str | None:
     """What a query prints, or None where nothing was found."""
     store = Knowledge(spark, args.db_path)
     if args.mode == "status":
-        parts = ["\n".join([name, *rows.limit(50).toJSON().collect()]) for name, rows in store.get_db_stats().items()]
+        parts = ["\n".join([name, *rows.toJSON().toLocalIterator()]) for name, rows in store.get_db_stats().items()]
         return "\n".join(parts)
     if args.mode == "concept":
         hits = store.search_concepts(args.text)
@@ -94,7 +95,7 @@ def answer(args: argparse.Namespace, spark) -> str | None:
         return None
     if args.format == "json":
         return "\n".join(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in rows)
-    return "\n\n".join(r["text"] for r in rows) if args.format == "plain" else store.markdown(hits)
+    return store.plain(hits) if args.format == "plain" else store.markdown(hits)
 
 
 def main(argv: list[str] | None = None) -> int:

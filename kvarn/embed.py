@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +48,30 @@ def with_retry(embed: Embedder, texts: list[str], tries: int = 5, wait: float =
     return with_retry(embed, texts[:half], tries, wait) + with_retry(embed, texts[half:], tries, wait)
 
 
-def embed_chunks(chunks: DataFrame, make: Callable[[], Embedder], batch: int = 16, tries: int = 5, wait: float = 5.0) -> DataFrame:
-    """chunks with an `embedding` column, null where the text could not be embedded; text is the only input."""
+def embed_chunks(
+    chunks: DataFrame, make: Callable[[], Embedder], batch: int = 16, tries: int = 5, wait: float = 5.0, concurrency: int = 4
+) -> DataFrame:
+    """chunks with an `embedding` column, null where the text could not be embedded; text is the only input.
+
+    Each task keeps up to `concurrency` batches in flight, each thread with an embedder of its own, and takes the answers
+    in order; a batch that fails is tried again and halved by itself, so it holds up no other.
+    """
     at = chunks.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = make()
-        for rows in batches:
-            texts = rows.column(at).to_pylist()
-            vectors: list = []
-            for k in range(0, len(texts), batch):
-                vectors += with_retry(embed, texts[k : k + batch], tries, wait)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], [*rows.schema.names, "embedding"])
+        own = threading.local()
+
+        def call(texts: list[str]) -> list[list[float] | None]:
+            if not hasattr(own, "embed"):
+                own.embed = make()
+            return with_retry(own.embed, texts, tries, wait)
+
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for rows in batches:
+                texts = rows.column(at).to_pylist()
+                answers = pool.map(call, (texts[k : k + batch] for k in range(0, len(texts), batch)))
+                vectors = [v for answer in answers for v in answer]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], [*rows.schema.names, "embedding"])
 
     return chunks.mapInArrow(run, chunks.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
 

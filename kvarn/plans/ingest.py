@@ -30,6 +30,7 @@ class Options:
     registry: dict | None = None
     make_embedder: Callable[[], Embedder] = hashed_words
     batch: int = 16
+    concurrency: int = 4
     force: bool = False
     dry_run: bool = False
     clean_stale: bool = False
@@ -104,7 +105,7 @@ def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, opt
     with store.hold(name, run_id) if options.exclusive else nullcontext(), store.staging(run_id) as stage:
         done = stage(todo.select("source", "md5"), "sources", n=F.count(F.lit(1)))
         chunks = plan(spark, todo, options)
-        embedded = embed_chunks(chunks, options.make_embedder, options.batch, wait=options.retry_wait)
+        embedded = embed_chunks(chunks, options.make_embedder, options.batch, wait=options.retry_wait, concurrency=options.concurrency)
         vectors = stage(embedded.withColumn("collection", F.lit(name)), "chunks", width=F.max(F.size("embedding")))
         good, failed = split_failed(vectors)
         failed = stage(failed, "failed", n=F.count(F.lit(1)))

@@ -14,7 +14,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions import tables as T
 from ..functions.text import decode, literals
@@ -193,7 +193,7 @@ class Pages(DataSource):
 
     With the options `total` and `page_size` each page is a partition. Without a total one partition follows the pages:
     fetch(start, page_size) returns rows of (id, json), or (rows, next start or cursor, None at the end); plain rows
-    end with the first page that is not full.
+    end with the first page that is not full. As a stream each page is a micro-batch, and the checkpoint knows the next.
     """
 
     fetch: Callable[[int, int], list[tuple[str, str]]] | None = None
@@ -205,6 +205,9 @@ class Pages(DataSource):
     def schema(self) -> str:
         return "id string, payload string"
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _PageStream(type(self).fetch, int(self.options.get("page_size", 100)))
+
     def reader(self, schema) -> DataSourceReader:
         return _PageReader(type(self).fetch, int(self.options.get("total", 0)), int(self.options.get("page_size", 100)))
 
@@ -229,6 +232,53 @@ class _PageReader(DataSourceReader):
             yield from rows
 
 
+class _PageStream(SimpleDataSourceStreamReader):
+    """One page a micro-batch. The offset is where the next page starts, a number or a cursor, so after a broken fetch the
+    stream goes on with the page that failed."""
+
+    def __init__(self, fetch, page_size: int) -> None:
+        self.fetch, self.page_size = fetch, page_size
+
+    def initialOffset(self) -> dict:
+        return {"next": 0}
+
+    def _page(self, start) -> tuple[list, object]:
+        if self.fetch is None:
+            raise RuntimeError("no fetch function: this reader has no network access of its own")
+        page = self.fetch(start, self.page_size)
+        return page if isinstance(page, tuple) else (page, start + self.page_size if len(page) >= self.page_size else None)
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str, str]], dict]:
+        if start["next"] is None:
+            return iter(()), start
+        rows, following = self._page(start["next"])
+        return iter(rows), {"next": following}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str, str]]:
+        return iter(()) if start == end else iter(self._page(start["next"])[0])
+
+
+def ticket_sources(rows: DataFrame) -> DataFrame:
+    """Fetched tickets(id, payload) as sources: those of severity 1-3 that are no duplicates and have a description."""
+    kept = rows.filter(ticket_api_filter(F.from_json("payload", "map<string,string>")))
+    key = F.concat(F.lit("rally:"), "id")
+    return kept.select(key.alias("source"), key.alias("rel_path"), F.lit(".json").alias("ext"), F.md5("payload").alias("md5"), F.col("payload").alias("text"))
+
+
+_PAGE_FIELDS = {"page_title": "title", "space": "space", "labels": "labels", "author": "author", "page_url": "url", "last_modified": "last_modified"}
+
+
+def page_sources(rows: DataFrame, label: str | None = None) -> DataFrame:
+    """Fetched wiki pages(id, payload) as sources: current pages with the label, their fields as front matter."""
+    fields = ["status", "body", *_PAGE_FIELDS.values()]
+    page = F.from_json("payload", ", ".join(f"{f} string" for f in fields))
+    told = page_filter(rows.select("id", "payload", page.alias("p")).select("id", "payload", "p.*"), label)
+    head = [F.concat(F.lit(f"{k}: "), F.regexp_replace(F.coalesce(F.col(v), F.lit("")), r"\s+", " ")) for k, v in _PAGE_FIELDS.items()]
+    text = F.concat(F.lit("---\n"), F.concat_ws("\n", *head), F.lit("\n---\n"), "body")
+    key = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat(F.lit("https:page/"), "id"))
+    return told.select(key.alias("source"), key.alias("rel_path"), F.lit(".wiki").alias("ext"), F.md5(text).alias("md5"), text.alias("text"))
+
+
 def changed(sources: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sources named as modified in changes(path, op), and the paths named as deleted."""
     modified = sources.join(changes.filter("op <> 'D'"), sources["rel_path"] == changes["path"], "left_semi")

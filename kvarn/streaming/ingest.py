@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import decode
 from ..plans.ingest import Options, ingest
-from ..sources.readers import extension, wanted
+from ..sources.readers import extension, page_sources, ticket_sources, wanted
 
 
 def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, options: Options) -> StreamingQuery:
@@ -31,6 +31,22 @@ def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, options
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow(spark: SparkSession, source: str, store: str, checkpoint: str, options: Options, page_size: int = 100, label: str | None = None) -> StreamingQuery:
+    """Ingest tickets (mode rally or customer) or wiki pages from a registered page source, one page a batch.
+
+    A fetch that fails ends the query; started again with the same checkpoint it goes on with that page. A page that was
+    ingested before its batch was recorded is known by its hashes and not ingested twice.
+    """
+    pages = spark.readStream.format(source).option("page_size", page_size).load()
+
+    def batch(found: DataFrame, _: int) -> None:
+        rows = page_sources(found, label) if options.mode == "wiki" else ticket_sources(found)
+        if not rows.isEmpty():
+            ingest(found.sparkSession, store, rows, options)
+
+    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events(ts, event_type, value) by tumbling window; works on streams and tables."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
