@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
@@ -320,9 +320,10 @@ HERE = ("rally", "customer", "mib", "release_notes", "community")
 
 
 def route(source_type: Column, extension: Column, text: Column) -> Column:
-    """Which chunker a source takes: one of HERE, `scheme`, `declarations`, or `python`."""
+    """Which chunker a source takes: one of HERE, a grammar of braces, `scheme`, `declarations`, or `python`."""
     marks = F.coalesce(F.regexp_like(text, F.concat(F.lit("(?m)"), boundaries(extension))), F.lit(False))
-    code = F.when((extension == ".scm") & text.rlike(r"(?m)^\s*\(define\b"), "scheme").when(marks, "declarations").otherwise("python")
+    shaped = F.try_element_at(literal_map(GRAMMARS), F.lower(extension))
+    code = F.when(shaped.isNotNull(), shaped).when((extension == ".scm") & text.rlike(r"(?m)^\s*\(define\b"), "scheme").when(marks, "declarations").otherwise("python")
     return F.when(source_type.isin(*HERE), source_type).when(source_type == "code", code).otherwise("python")
 
 
@@ -336,7 +337,8 @@ def chunked(sources: DataFrame, carry: list[str], rules: dict | None = None, kee
         "release_notes": lambda rows: exploded(rows, release_pieces(text), carry), "scheme": lambda rows: exploded(rows, scheme_pieces(text, path), carry),
         "declarations": lambda rows: exploded(rows, code_pieces(text, path, ext), carry),
     }
-    wanted = [*(k for k in HERE if k in kinds), *(("scheme", "declarations") if "code" in kinds else ())]
+    makers |= {g: lambda rows, g=g: structured(rows, g, carry) for g in _TYPES}
+    wanted = [*(k for k in HERE if k in kinds), *(("scheme", "declarations", *_TYPES) if "code" in kinds else ())]
     return [makers[k](sources.filter(F.col("route") == k)) for k in wanted]
 
 
@@ -356,3 +358,94 @@ def windowed(pieces: DataFrame, most: int, carry: list[str]) -> DataFrame:
     slides = F.coalesce(F.try_element_at("chunk_meta", F.lit("chunk_type")) == "sliding_window", F.lit(False))
     return pieces.filter(~slides).unionByName(exploded(pieces.filter(slides), cut, carry))
 
+
+
+# structure of C, C++ and Java, from braces alone
+
+#: Comments, preprocessor lines and literals, which hide braces; braces and semicolons; and all else.
+_TOKENS = (
+    r"(?sm)/\*.*?\*/|//[^\n]*|^[ \t]*#[^\n]*|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    r"|[{};]|[^/\"'{};#\n]+|."
+)
+_TYPES = {"c": "struct|enum", "cpp": "class|struct|enum", "java": "class|interface"}
+_TYPE_NAMES = {"java": "_declaration"}
+_CONTROL = "if|for|while|switch|catch|synchronized|return|else|do|try|sizeof|new"
+GRAMMARS = {".c": "c", ".h": "c", ".cpp": "cpp", ".cxx": "cpp", ".cc": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".java": "java"}
+
+
+def blocks(rows: DataFrame, grammar: str) -> DataFrame:
+    """(source, start, stop, kind, name) of the types and functions of rows(source, text), as character positions.
+
+    Tokens are numbered and summed over a file: the running sum of braces is the depth, and of the braces of one depth each
+    opening one is closed by the next. What stands between two braces or semicolons is the head of a block; literals and
+    comments in it count as blanks. A block in a function is part of it.
+    """
+    text = F.regexp_extract_all("text", F.lit(_TOKENS), F.lit(0))
+    tokens = rows.select("source", F.posexplode(text).alias("k", "token"))
+    hidden = F.col("token").rlike(r"\A(?:/\*|//|\"|'|[ \t]*#)") & (F.char_length("token") > 1)
+    size = F.char_length("token")
+    so_far = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    step = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
+    placed = tokens.withColumns({
+        "at": before(size), "part": before(F.col("token").isin("{", "}", ";").cast("int")), "depth": before(step),
+        "code": F.when(hidden, F.repeat(F.lit(" "), size)).otherwise(F.col("token")),
+    })
+    parts = placed.groupBy("source", "part").agg(
+        F.min("at").alias("start"), F.max(F.struct("k", "token", "at", "depth")).alias("last"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "code"))), lambda x: x["code"]), "").alias("head"),
+    )
+    opens = F.col("last.token") == "{"
+    level = F.when(opens, F.col("last.depth")).otherwise(F.col("last.depth") - 1)
+    same = Window.partitionBy("source", "level").orderBy("part")
+    paired = parts.filter(F.col("last.token").isin("{", "}")).withColumn("level", level).withColumn("stop", F.lead("last.at").over(same) + 1)
+    head = F.regexp_replace("head", r"\{\z", "")
+    kind = F.regexp_extract(head, rf"\b({_TYPES[grammar]})\s+\w+[^()=]*\z", 1)
+    typed = F.regexp_extract(head, rf"\b(?:{_TYPES[grammar]})\s+(?:class\s+)?(\w+)", 1)
+    called = F.regexp_extract(head, r"([~\w]+(?:::[~\w]+)*)\s*\([^{};]*\)[^(){};=]*\z", 1)
+    is_function = (kind == "") & (called != "") & ~called.rlike(rf"\A(?:{_CONTROL})\z") & ~head.rlike(r"=|\bnew\b") & head.rlike(r"\w\s*[*&]*\s+[*&]*\s*[~\w:]+\s*\(|::|~")
+    found = F.when(kind != "", F.concat(kind, F.lit(_TYPE_NAMES.get(grammar, "_specifier")))).when(
+        is_function, "method_declaration" if grammar == "java" else "function_definition")
+    blank = F.char_length(head) - F.char_length(F.regexp_replace(head, r"\A\s+", ""))
+    begin = F.when((kind != "") & F.lit(grammar != "java"), F.regexp_instr(head, F.lit(rf"\b(?:{_TYPES[grammar]})\b")) - 1).otherwise(blank)
+    return paired.filter(opens & F.col("stop").isNotNull() & found.isNotNull()).select(
+        "source", (F.col("start") + begin).alias("start"), "stop", found.alias("kind"), F.when(kind != "", typed).otherwise(called).alias("name"))
+
+
+def structured(rows: DataFrame, grammar: str, carry: list[str]) -> DataFrame:
+    """Types and functions as pieces, nested ones too, under `Type::name`, with up to two comment lines before them.
+
+    What stands outside of all of them follows as pieces of its own; a file without any is cut into fragments.
+    """
+    function = "method_declaration" if grammar == "java" else "function_definition"
+    spans = blocks(rows.select("source", F.coalesce("text", F.lit("")).alias("text")), grammar).groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "name"))).alias("spans"))
+    joined = rows.join(spans, "source", "left")
+    text, strategy = F.coalesce("text", F.lit("")), {"chunk_strategy": f"ast_{grammar}"}
+
+    def inside(a: Column, b: Column) -> Column:
+        return (a["start"] >= b["start"]) & (a["stop"] <= b["stop"]) & ((a["start"] > b["start"]) | (a["stop"] < b["stop"]))
+
+    def make(s: Column, every: Column) -> Column:
+        around = F.filter(every, lambda o: inside(s, o) & (o["kind"] != function))
+        owner = F.when(F.size(around) > 0, F.concat(F.element_at(around, -1)["name"], F.lit("::"))).otherwise("")
+        lead = F.substring(text, F.greatest(F.lit(1), s["start"] - 399), F.least(F.lit(400), s["start"]))
+        comment = F.regexp_extract(lead, r"((?:^[ \t]*(?://[^\n]*|/\*[^\n]*\*/)[ \t]*\n){1,2})[ \t]*\z".replace("((?:^", "(?m)((?:^"), 1)
+        body = strip(F.concat(comment, F.substring(text, s["start"] + 1, s["stop"] - s["start"])))
+        return F.transform(within(F.array(body), LONGEST), lambda p: piece(p, chunk_type=s["kind"], chunk_name=F.concat(owner, s["name"]), **strategy))
+
+    def every(found: Column) -> Column:
+        own = F.filter(found, lambda s: ~F.exists(found, lambda f: (f["kind"] == function) & inside(s, f)))
+        top = F.filter(own, lambda s: ~F.exists(own, lambda o: inside(s, o)))
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("rest"))
+        rest = F.aggregate(top, begin, lambda r, s: F.struct(
+            s["stop"].cast("long").alias("at"), F.concat(r["rest"], F.substring(text, r["at"] + 1, s["start"] - r["at"])).alias("rest")),
+            lambda r: F.concat(r["rest"], F.substring(text, r["at"] + 1, F.char_length(text))))
+        others = F.filter(within(F.array(strip(F.regexp_replace(rest, r"\n[\s;]*\n", "\n"))), LONGEST), lambda p: p.rlike(r"\w"))
+        outside = F.transform(others, lambda p: piece(p, chunk_type="declarations", chunk_name=stem(F.col("source")), **strategy))
+        return F.concat(F.flatten(F.transform(own, lambda s: make(s, own))), outside)
+
+    fragments = F.transform(within(F.array(strip(text)), 2000), lambda p: piece(
+        p, chunk_type="fragment", chunk_name=stem(F.col("source")), chunk_strategy="language"))
+    pieces = F.when(F.col("spans").isNull(), F.filter(fragments, lambda p: p["text"] != "")).otherwise(bind(F.col("spans"), every))
+    return exploded(joined, pieces, carry)

@@ -814,6 +814,23 @@ def mib_objects(spark, folder):
     return rows.select(F.col("source").cast("long").alias("id"), *meta, F.regexp_extract("text", 'DESCRIPTION "([^"]*)"', 1).alias("told"))
 
 
+@query("""WITH b AS (SELECT c_custkey AS id, c_custkey::VARCHAR AS k, c_name AS n, c_mktsegment AS seg FROM customer)
+SELECT id, unnest(['class_declaration', 'method_declaration', 'interface_declaration', 'declarations']) AS chunk_type,
+ unnest(['C' || k, 'C' || k || '::get' || k, 'I' || k, k]) AS chunk_name,
+ unnest(['class C' || k || ' {' || chr(10) || '  // brace { of ' || n || chr(10) || '  int get' || k || '(int a) { if (a > 0) { return 1; } return "}' || seg || '".length(); }' || chr(10) || '}',
+  '// brace { of ' || n || chr(10) || 'int get' || k || '(int a) { if (a > 0) { return 1; } return "}' || seg || '".length(); }',
+  '/* ' || seg || ' } */' || chr(10) || 'interface I' || k || ' { }', 'package p.' || lower(seg) || ';' || chr(10) || '/* ' || seg || ' } */']) AS text FROM b""")
+def code_structures(spark, folder):
+    """A source file for every customer, with braces in comments and literals."""
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(
+        F.lit("package p."), F.lower("c_mktsegment"), F.lit(";\nclass C"), k, F.lit(" {\n  // brace { of "), "c_name", F.lit("\n  int get"), k,
+        F.lit('(int a) { if (a > 0) { return 1; } return "}'), "c_mktsegment", F.lit('".length(); }\n}\n/* '), "c_mktsegment", F.lit(" } */\ninterface I"), k, F.lit(" { }\n"),
+    )
+    rows = cutting.structured(read(spark, folder, "customer").select(k.alias("source"), text.alias("text")), "java", [])
+    return rows.select(F.col("source").cast("long").alias("id"), F.col("chunk_meta.chunk_type"), F.col("chunk_meta.chunk_name"), "text")
+
+
 def _after_last(mark: str, low: int, most: int) -> str:
     zone = f"substring(body, start + {low + 1}, {most - low})"
     return f"CASE WHEN contains({zone}, {mark}) THEN {low} + length({zone}) - strpos(reverse({zone}), reverse({mark})) + 1 END"
