@@ -102,7 +102,7 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_stages_and_names():
-    assert [n.split("_")[0] for n in registry.QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
     known = importlib.import_module("__spark_entry__").queries()
     assert {*registry.QUERIES, "pipeline"} <= set(known)
