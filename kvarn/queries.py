@@ -565,6 +565,20 @@ def dependent_stems(spark, folder):
     return search.stems(graph(spark, folder).filter("repository IN ('src1', 'src2')"))
 
 
+# keywords
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS word FROM benchmark)
+SELECT doc_id, string_agg(word, ' ' ORDER BY word) AS concepts FROM documents JOIN w ON contains(lower(text), word) GROUP BY doc_id""")
+def keyword_concepts(spark, folder):
+    """Every word of the benchmark items is a keyword, looked for in all documents at once."""
+    words = read(spark, folder, "benchmark").select(F.explode(X.tokenize(F.col("text"))).alias("keyword"))
+    registry = words.select(F.lit("general").alias("domain"), "keyword", F.col("keyword").alias("concept"))
+    docs = read(spark, folder, "documents").select("doc_id", "text", F.lit("general").alias("domain"))
+    found = M.concepts_by_join(docs, registry, "doc_id").filter("concepts IS NOT NULL")
+    return found.select("doc_id", F.array_join("concepts", " ").alias("concepts"))
+
+
 # aggregates
 
 
