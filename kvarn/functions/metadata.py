@@ -92,7 +92,7 @@ def concepts_by_join(
 
     A keyword's anchor is its first `anchor` code points, or all if it has fewer. One pass over a text rolls a hash over all
     runs of each length up to that and keeps the places where an anchor begins; each gives a row with the text from there,
-    as far as the longest keyword reaches. These meet the keywords of the same hash and domain in an equality join, where the
+    as far as the longest keyword with that anchor length reaches. These meet the keywords of the same hash and domain in an equality join, where the
     whole keyword is compared. Texts are read once and never shuffled. The anchors' hashes travel with the tasks, eight bytes
     a keyword, words_at_once of them in a pass; a larger registry takes more passes. Null texts and empty keywords hold nothing.
     """
@@ -125,7 +125,8 @@ def concepts_by_join(
                 rows: list[tuple] = []
                 for k, low in enumerate(batch["low"].to_pylist()):
                     for n, at, hashes in anchors.hits(_codes(low)):
-                        rows += {(k, n, h, low[p : p + longest]) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist())}
+                        reach = longest if n == anchor else n  # a shorter anchor is its whole keyword
+                        rows += {(k, n, h, low[p : p + reach]) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist())}
                 which = batch.take(pa.array([r[0] for r in rows], pa.int64()))
                 columns = [pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.string()))]
                 yield pa.RecordBatch.from_arrays([which["id"], which["domain"], *columns], ["id", "domain", "size", "hash", "seen"])
