@@ -119,13 +119,14 @@ def ingest(spark: SparkSession, store_folder: str, sources: DataFrame | str, opt
             seen=done, forget=gone, head=head, config={"embedding_model": options.model}, dimension=width,
         )
         store.compact(name)
+        counted = store.tally(run_id, vectors).collect()  # a row for each content type and each name of a concept
         record = {
             "ingestion_id": run_id, "mode": options.mode, "domain": options.domain, "collection": name,
             "timestamp": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(began)),
             "files_processed": stage.seen["sources"]["n"], "chunks_created": counts.created, "chunks_updated": counts.updated,
             "chunks_upserted": counts.created + counts.updated, "chunks_deleted_stale": counts.deleted,
-            "concepts_found": [r[0] for r in vectors.select(F.explode("concepts").alias("c")).distinct().orderBy("c").collect()],  # names of a registry
-            "content_type_distribution": {r[0]: r[1] for r in vectors.groupBy("content_type").count().collect()},
+            "concepts_found": sorted(r.value for r in counted if r.kind == "concept"),
+            "content_type_distribution": {r.value: r.n for r in counted if r.kind == "content_type"},
             "embedding_model": options.model, "duration_seconds": round(time.time() - began, 3), "errors": stage.seen["failed"]["n"],
         }
     store.append_run(record)

@@ -33,6 +33,11 @@ from pyspark.sql.types import StructType
 CHUNK_SCHEMA = """collection string, chunk_id string, source string, chunk_index int, text string, source_type string,
 domain string, repository string, content_type string, concepts array<string>, dependencies string,
 embedding array<float>, run_id string, extra map<string,string>"""
+RUN_SCHEMA = """ingestion_id string, mode string, domain string, collection string, timestamp string, files_processed long,
+chunks_created long, chunks_updated long, chunks_upserted long, chunks_deleted_stale long, concepts_found array<string>,
+content_type_distribution map<string,long>, embedding_model string, duration_seconds double, errors long"""
+PROGRESS_SCHEMA = """event string, query string, query_id string, run_id string, timestamp string, batch_id long, input_rows long,
+milliseconds long, state_rows long, observed map<string,map<string,string>>, error string"""
 SCHEMAS = {"rows": CHUNK_SCHEMA, "kills": "collection string, chunk_id string", "seen": "collection string, source string, md5 string"}
 
 
@@ -443,8 +448,38 @@ class ChunkStore:
     # manifests
 
     def append_run(self, record: dict) -> None:
-        """One row a run, as JSON, in an append-only table."""
-        self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/runs")
+        """One file a run, which no other writer touches."""
+        self._put(f"runs/{record['ingestion_id']}.json", record)
+
+    def runs(self) -> DataFrame:
+        """The records of all runs."""
+        return self._records("runs", RUN_SCHEMA)
+
+    def append_progress(self, name: str, record: dict) -> None:
+        """One file an event of a stream; told again it stays as it is."""
+        self._put(f"progress/{name}.json", record)
+
+    def progress(self) -> DataFrame:
+        """The recorded events of streams."""
+        return self._records("progress", PROGRESS_SCHEMA)
+
+    def _records(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).json(f"{self.folder}/{name}") if self.exists(name) else self.spark.createDataFrame([], schema)
+
+    def tally(self, run_id: str, rows: DataFrame) -> DataFrame:
+        """Chunks of a run by content type and by concept, all of them, counted in one pass and kept: (kind, value, n)."""
+        marked = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        of_row = F.concat(F.array(marked("content_type", F.col("content_type"))), F.transform("concepts", lambda c: marked("concept", c)))
+        found = rows.select(F.explode(of_row).alias("at")).groupBy("at.kind", "at.value").agg(F.count(F.lit(1)).alias("n"))
+        path = f"{self.folder}/tallies/run_id={run_id}"
+        found.coalesce(1).write.parquet(path)  # as many rows as there are types and concepts
+        return self.spark.read.schema(found.schema).parquet(path)
+
+    def tallies(self) -> DataFrame:
+        """(run_id, kind, value, n) of all runs."""
+        schema = "kind string, value string, n long, run_id string"
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/tallies") if self.exists("tallies") else self.spark.createDataFrame([], schema)
+        return rows.select("run_id", "kind", "value", "n")
 
     def repositories(self) -> DataFrame:
         """Files per collection and repository."""
