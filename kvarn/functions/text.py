@@ -115,6 +115,17 @@ def task_complete(text: Column) -> Column:
     return F.when(text.contains("<task_complete>") & text.contains("</task_complete>"), F.trim(found))
 
 
+def safe_path(path: Column, root: Column | str) -> Column:
+    """A given path below root without blanks around it, empty and `.` parts; null where a part is `..` or the path is null.
+
+    Backslashes count as slashes and a leading slash does not leave the root. Links are not followed.
+    """
+    bare = F.replace(F.regexp_replace(path, r"^\s+|\s+$", ""), F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(bare, "/"), lambda part: ~part.isin("", "."))
+    top = F.rtrim(F.lit(root) if isinstance(root, str) else root, F.lit("/"))
+    return F.when(~F.array_contains(parts, ".."), F.concat_ws("/", F.concat(F.array(top), parts)))
+
+
 def blocked_command(command: Column) -> Column:
     low = F.lower(F.trim(command))
     return reduce(lambda a, b: a | b, [low.rlike(p) for p in T.BLOCKED_COMMANDS])

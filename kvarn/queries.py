@@ -399,6 +399,25 @@ def tool_calls(spark, folder):
     return rows.select("doc_id", X.tool_call(F.col("t")).alias("call"), X.task_complete(F.col("t")).alias("done"))
 
 
+_PATHS_SQL = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '../' || url WHEN 2 THEN ' /' || replace(url, '/', '\\') || chr(10)
+  WHEN 3 THEN url || '/..' WHEN 4 THEN './..' || url || '/./x..' ELSE replace(url, '.', '/../') END AS p FROM pages"""
+
+
+@query(f"""SELECT page_id, CASE WHEN list_contains(parts, '..') THEN NULL ELSE array_to_string(list_concat(['/work'], list_filter(parts, lambda x: x NOT IN ('', '.'))), '/') END AS path
+FROM (SELECT page_id, string_split(replace(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '\\', '/'), '/') AS parts FROM ({_PATHS_SQL}))""")
+def safe_paths(spark, folder):
+    """The addresses of all pages as paths below a folder, some of which would leave it."""
+    url = F.col("url")
+    kind = F.pmod("page_id", F.lit(6))
+    path = (
+        F.when(kind == 0, url).when(kind == 1, F.concat(F.lit("../"), url))
+        .when(kind == 2, F.concat(F.lit(" /"), F.replace(url, F.lit("/"), F.lit("\\")), F.lit("\n")))
+        .when(kind == 3, F.concat(url, F.lit("/.."))).when(kind == 4, F.concat(F.lit("./.."), url, F.lit("/./x..")))
+        .otherwise(F.replace(url, F.lit("."), F.lit("/../")))
+    )
+    return read(spark, folder, "pages").select("page_id", X.safe_path(path, "/work/").alias("path"))
+
+
 _REPLY_SQL = """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || ' <tool_call>{"name":"' || role || '"}</tool_call>' || text
   WHEN 2 THEN '```' || chr(10) || text || '<tool_call>' || chr(10) || '  ```x' || chr(10) || text || chr(10) || '<task_complete>' || role
   WHEN 3 THEN text || '<task_comp' ELSE '```' || chr(10) || text || chr(10) || '```<tool_call' END AS t FROM conversations"""

@@ -76,3 +76,12 @@ def test_a_broken_stream_leaves_its_error(spark, tmp_path):
             query.awaitTermination(60)
         ended = settle(store, "end", 1)
     assert len(ended) == 1 and "no embedder" in ended[0].error and os.path.isdir(f"{tmp_path}/db/progress")
+
+
+def test_paths_stay_below_their_root(spark):
+    from kvarn.functions.text import safe_path
+
+    given = [" a/b.md ", "/etc/passwd", "a\\..\\b", "..", "a/../../b", "a..b/...", "", None, "./a//b/."]
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, p string").select("k", safe_path(F.col("p"), "/w").alias("p"))
+    want = ["/w/a/b.md", "/w/etc/passwd", None, None, None, "/w/a..b/...", "/w", None, "/w/a/b"]
+    assert [r.p for r in sorted(rows.collect())] == want
