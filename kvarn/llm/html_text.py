@@ -5,7 +5,9 @@ form, advert, ...) outside a marked article, and both ends of such an article, l
 line weighs its characters outside links, nothing where most of it is links. The weights are summed over windows of
 `window` lines. Where the sums leave zero a stretch begins, where they dive back to zero it ends, and the stretches
 in which the sum surges above the threshold are the text. The threshold is `surge` characters, or a quarter of the
-page's highest sum where that is less, so short articles surge too.
+page's highest sum where that is less, so short articles surge too. Where one container (div, section, article, main)
+holds at least half of what was found, its other lines between its first and its last line outside links belong to the
+text as well: a short closing paragraph after an advert or a list of links does not surge by itself.
 
 A mark (article, main, role=main, articleBody) is evidence, not the answer: with a share s of the page's text inside
 marks, lines inside weigh 1 / (1 - s) times and lines outside (1 - s) times their characters. A mark around nearly all
@@ -45,6 +47,7 @@ _INLINE = frozenset(
     " span strike strong sub sup time tt u var wbr input source track".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_CONTAINERS = frozenset("div section article main".split())
 _DROPPED = frozenset("nav footer aside form menu dialog button fieldset audio video map".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _DROPPED_NAMES = re.compile(
@@ -74,21 +77,23 @@ def _kind(tag: str, attributes: str, in_main: bool) -> int:
     return 0
 
 
-def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside a mark) of every line, empty ones for gaps."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str, window: int) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, inside a mark, number of the container or 0) of every line, empty ones for gaps."""
+    out: list[tuple[str, int, bool, int]] = []
+    containers: list[int] = [0]
+    numbered = 0
     stack: list[tuple[str, int]] = []
     open_tags: Counter[str] = Counter()
     text: list[str] = []
     dropped = main = linked = in_link = 0
-    gap = [("", 0, False)] * window
+    gap = [("", 0, False, 0)] * window
 
     def flush() -> None:
         nonlocal linked
         line = " ".join(htmllib.unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append((line, max(0, len(line) - linked), main > 0))
+            out.append((line, max(0, len(line) - linked), main > 0, containers[-1]))
         linked = 0
 
     at = 0
@@ -116,6 +121,8 @@ def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
             while open_tags[tag]:
                 open_tag, kind = stack.pop()
                 open_tags[open_tag] -= 1
+                if open_tag in _CONTAINERS:
+                    containers.pop()
                 if kind < 0:
                     dropped -= 1
                     text.clear()
@@ -143,6 +150,9 @@ def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
                 kind = 0
             if tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or kind:
                 stack.append((tag, kind))
+                if tag in _CONTAINERS:
+                    numbered += 1
+                    containers.append(numbered)
                 open_tags[tag] += 1
     if at < len(page) and not dropped:
         text.append(page[at:])
@@ -150,10 +160,10 @@ def lines(page: str, window: int) -> list[tuple[str, int, bool]]:
     return out
 
 
-def weights(found: list[tuple[str, int, bool]]) -> np.ndarray:
+def weights(found: list[tuple[str, int, bool, int]]) -> np.ndarray:
     """What each line adds to its windows."""
-    own = np.array([len(t) if inside else own if 2 * own >= len(t) else 0 for t, own, inside in found], dtype=float)
-    marked = np.array([inside for _, _, inside in found])
+    own = np.array([len(t) if inside else own if 2 * own >= len(t) else 0 for t, own, inside, _ in found], dtype=float)
+    marked = np.array([inside for _, _, inside, _ in found])
     rest = max(0.01, 1 - own[marked].sum() / max(1.0, own.sum()))
     return np.where(marked, own / rest, own * rest)
 
@@ -167,14 +177,20 @@ def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
     sums = np.convolve(weight, np.ones(window))[window - 1 :]  # of each line and those after it
     threshold = min(surge, sums.max() / 4)
     filled, dives = np.flatnonzero(weight), np.r_[np.flatnonzero(sums <= 0), len(found)]
-    kept, k = [], 0
+    kept, k = np.zeros(len(found), dtype=bool), 0
     while k < len(filled):
         start = int(filled[k])
         end = int(dives[np.searchsorted(dives, start)])
         if sums[start:end].max() > threshold:
-            kept += [text for text, _, _ in found[start:end] if text]
+            kept[start:end] = True
         k = int(np.searchsorted(filled, end))
-    return "\n".join(kept)
+    container = np.array([number for *_, number in found])
+    held = np.bincount(container, weight * kept)
+    for number in np.flatnonzero((2 * held >= held.sum()) & (held > 0)):
+        own = np.flatnonzero((container == number) & (weight > 0))
+        if number:
+            kept[own[0] : own[-1] + 1] |= container[own[0] : own[-1] + 1] == number
+    return "\n".join(text for (text, *_), keep in zip(found, kept) if text and keep)
 
 
 def extract(pages: DataFrame, window: int = 3, surge: int = 86) -> DataFrame:

@@ -246,30 +246,38 @@ def test_marks_hardly_matter(spark):
 
 
 def brute_text(found, window, surge):
-    """Stretches by walking over the lines."""
-    total = sum(own if inside or 2 * own >= len(t) else 0 for t, own, inside in [(t, len(t) if i else o, i) for t, o, i in found])
-    within = sum(len(t) for t, _, inside in found if inside)
+    """Stretches by walking over the lines, then what their main container holds besides."""
+    total = sum(own if inside or 2 * own >= len(t) else 0 for t, own, inside in [(t, len(t) if i else o, i) for t, o, i, _ in found])
+    within = sum(len(t) for t, _, inside, _ in found if inside)
     rest = max(0.01, 1 - within / max(1, total))
-    weight = [len(t) / rest if inside else (own * rest if 2 * own >= len(t) else 0) for t, own, inside in found]
+    weight = [len(t) / rest if inside else (own * rest if 2 * own >= len(t) else 0) for t, own, inside, _ in found]
     sums = [sum(weight[k : k + window]) for k in range(len(found))]
-    threshold, out, held, surged = min(surge, max(sums) / 4), [], [], False
-    for k, (t, _, _) in enumerate(found):
+    threshold, out, held, surged = min(surge, max(sums) / 4), set(), [], False
+    for k in range(len(found)):
         if sums[k] <= 0:
-            out += held if surged else []
+            out |= set(held) if surged else set()
             held, surged = [], False
         elif held or weight[k]:
-            held += [t] if t else []
+            held.append(k)
             surged |= sums[k] > threshold
-    return "\n".join(out + (held if surged else []))
+    out |= set(held) if surged else set()
+    share = lambda c: sum(weight[k] for k in out if found[k][3] == c)
+    main = [c for c in {line[3] for line in found} - {0} if share(c) > 0 and 2 * share(c) >= sum(weight[k] for k in out)]
+    for c in main:
+        inside = [k for k, line in enumerate(found) if line[3] == c]
+        counting = [k for k in inside if weight[k] > 0]
+        out |= {k for k in inside if counting[0] <= k <= counting[-1]}
+    return "\n".join(found[k][0] for k in sorted(out) if found[k][0])
 
 
 @settings(deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["", "ab", "word " * 9, "long " * 40]), st.booleans(), st.booleans()), min_size=1, max_size=25), st.integers(1, 5))
+@given(st.lists(st.tuples(st.sampled_from(["", "ab", "word " * 9, "long " * 40, "|"]), st.booleans(), st.booleans()), min_size=1, max_size=25), st.integers(1, 5))
 def test_line_blocks_equal_brute_force(rows, window):
     tag = {True: "<a href=x>{}</a>", False: "{}"}
-    page = "".join((f"<article><p>{tag[link].format(t)}</p></article>" if marked else f"<p>{tag[link].format(t)}</p>") if t else "<nav>x</nav>" for t, link, marked in rows)
-    found = H.lines(page, window)
-    assert H.main_text(page, window) == (brute_text(found, window, 86) if found else "")
+    kinds = {"": "<nav>x</nav>", "|": "</div><div>"}
+    page = "".join(kinds.get(t) or (f"<article><p>{tag[link].format(t)}</p></article>" if marked else f"<p>{tag[link].format(t)}</p>") for t, link, marked in rows)
+    found = H.lines(f"<div>{page}</div>", window)
+    assert H.main_text(f"<div>{page}</div>", window) == (brute_text(found, window, 86) if found else "")
 
 
 def test_marks_are_evidence_only():
@@ -578,3 +586,34 @@ def test_conversations_without_quotes_stay(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet")
     got = quotes.link(rows)
     assert got.select("conv_id", "turn", "role", "text").exceptAll(rows.select("conv_id", "turn", "role", "text")).count() == 0
+
+
+def _paragraph(words, word="word"):
+    return "<p>" + " ".join([word] * words) + ".</p>"
+
+
+@pytest.mark.parametrize("between", ["<aside>buy this now</aside>", "<div class='advert'><p>buy this now</p></div>", "<form><input><p>write to us</p></form>"])
+def test_a_short_end_after_something_dropped_stays(between):
+    from kvarn.llm.html_text import main_text
+
+    body = f"<h1>Told</h1>{_paragraph(60)}{_paragraph(50)}{between}<p>It ended well.</p>"
+    outside = "<nav><a href=a>home</a></nav>{}<p>All rights reserved.</p><footer><p>imprint</p></footer>"
+    texts = [H.main_text(f"<body>{outside.format(f'<{tag}>{body}</{tag}>')}</body>") for tag in ("div", "section", "article")]
+    assert len(set(texts[:2])) == 1 and texts[0].endswith("word.\nIt ended well.") and texts[0].startswith("Told\nword")
+    assert texts[2] == texts[0]
+
+
+def test_a_list_of_links_inside_the_text_stays_and_one_after_it_goes():
+    from kvarn.llm.html_text import main_text
+
+    links = "<ul>" + "".join(f"<li><a href=x>see part {k}</a></li>" for k in range(4)) + "</ul>"
+    page = f"<body><div>{_paragraph(70)}{_paragraph(60)}{links}<p>The end.</p>{links}</div><div>{links}</div></body>"
+    text = H.main_text(page).split("\n")
+    assert text[2:] == ["see part 0", "see part 1", "see part 2", "see part 3", "The end."]
+
+
+def test_lines_of_other_containers_are_not_drawn_in():
+    from kvarn.llm.html_text import main_text
+
+    page = f"<body><p>far before</p><nav>x</nav><div>{_paragraph(60)}{_paragraph(50)}</div><nav>x</nav><div><p>far after</p></div></body>"
+    assert "far" not in H.main_text(page) and H.main_text(page).count("\n") == 1
