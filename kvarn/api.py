@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embed import Embedder, hashed_words, with_retry
+from .functions.text import title_slug
 from .operators import render, search, stats
 from .plans import routing
-from .plans.ingest import Options, feed
+from .plans.ingest import Options, feed, ingest
 from .sources.store import ChunkStore
 
 
@@ -86,6 +87,37 @@ class Knowledge:
         named = F.contains(F.lower("collection"), F.lit(domain.lower())) if domain else F.lit(True)
         return search.by_concept(rows.filter(named), concept)
 
+    def remember(self, notes: DataFrame, domain: str = "general", storage: str = "domain_docs") -> dict:
+        """Keep notes(title, content) as markdown below the store's memory folder and ingest them; a note of a known name replaces it.
+
+        Names are made of titles. A title that leaves no name is an error, and so are two notes of one name: which of them
+        would stay is nobody's guess. A null content is an empty note. Returns the record of the ingestion.
+        """
+        if storage not in ("domain_docs", "wiki"):
+            raise ValueError(f"no such storage: {storage}")
+        named = notes.select(title_slug(F.col("title")).alias("name"), F.coalesce("content", F.lit("")).alias("value"))
+        wrong = named.groupBy("name").count().filter(F.col("name").isNull() | (F.col("name") == "") | (F.col("count") > 1)).limit(1).collect()
+        if wrong:
+            raise ValueError(f"no name, or one for several notes: {wrong[0]['name']!r}")
+        store = ChunkStore(self.spark, self.folder)
+        path = f"{store.folder}/memory/{storage}"
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(path)
+        rel = F.concat("name", F.lit(".md"))
+        rows = named.select(
+            F.concat(F.lit(f"{path}/"), rel).alias("source"), F.concat(F.lit(f"{storage}/"), rel).alias("rel_path"), F.lit(".md").alias("ext"),
+            F.col("value").alias("text"), F.md5("value").alias("md5"),
+        )
+        embed = self.embed
+        return ingest(self.spark, self.folder, rows, Options(mode="domain", domain=domain, make_embedder=lambda: embed, force=True))
+
+    def notes(self, storage: str = "domain_docs") -> DataFrame:
+        """(name, content) of the notes kept."""
+        store = ChunkStore(self.spark, self.folder)
+        if not store.exists(f"memory/{storage}"):
+            return self.spark.createDataFrame([], "name string, content string")
+        found = self.spark.read.schema("value string, name string").text(f"{store.folder}/memory/{storage}", wholetext=True)
+        return found.select("name", F.regexp_replace("value", r"\n\z", "").alias("content"))
+
     def feed_domain_doc(self, source: str, text: str, domain: str = "general", mode: str = "auto") -> dict:
         return feed(self.spark, self.folder, source, text, Options(mode=mode, domain=domain))
 

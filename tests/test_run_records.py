@@ -85,3 +85,24 @@ def test_paths_stay_below_their_root(spark):
     rows = spark.createDataFrame(list(enumerate(given)), "k int, p string").select("k", safe_path(F.col("p"), "/w").alias("p"))
     want = ["/w/a/b.md", "/w/etc/passwd", None, None, None, "/w/a..b/...", "/w", None, "/w/a/b"]
     assert [r.p for r in sorted(rows.collect())] == want
+
+
+def test_notes_are_kept_and_found(spark, tmp_path):
+    from kvarn.api import Knowledge
+
+    know = Knowledge(spark, f"file://{tmp_path}/db")
+    assert know.notes().count() == 0
+    notes = lambda *rows: spark.createDataFrame(rows, "title string, content string")
+    record = know.remember(notes(("Trunk ports!", "# Trunk\n## Vlan\nvlan on trunk ports\n"), ("../Other: note", None)), "nms")
+    assert record["files_processed"] == 2 and record["collection"] == "nms_domain"
+    assert {tuple(r) for r in know.notes().collect()} == {("Trunk_ports", "# Trunk\n## Vlan\nvlan on trunk ports\n"), ("Other_note", "")}
+    know.remember(notes(("Trunk ports", "# Trunk\n## Vlan\nrenumbered")), "nms")
+    know.remember(notes(("Trunk ports", "# Wiki\n## Page\nof its own")), "nms", "wiki")
+    texts = {r.source.rpartition("/memory/")[2]: r.text for r in ChunkStore(spark, f"file://{tmp_path}/db").chunks().collect()}
+    assert set(texts) == {"domain_docs/Trunk_ports.md", "wiki/Trunk_ports.md"} and "renumbered" in texts["domain_docs/Trunk_ports.md"]
+    assert {r.name for r in know.notes().collect()} == {"Trunk_ports", "Other_note"} and know.notes("wiki").count() == 1
+    for bad in (notes(("?!", "x")), notes(("a b", "x"), ("a  b", "y")), notes((None, "x"))):
+        with pytest.raises(ValueError, match="name"):
+            know.remember(bad)
+    with pytest.raises(ValueError, match="storage"):
+        know.remember(notes(("a", "x")), storage="../x")
