@@ -63,26 +63,56 @@ def _rolled(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 class _Anchors:
-    """Hashes of the keywords' first code points, by their number; a table of bits answers most places of a text at once."""
-
-    BITS = 22
+    """Hashes of the keywords' first code points, by their number; a table over mixed bits finds nearly all in one step."""
 
     def __init__(self, by_length: dict[int, np.ndarray]) -> None:
-        self.by_length = {n: np.sort(h) for n, h in by_length.items()}
-        self.maybe = {}
-        for n, h in self.by_length.items():
-            self.maybe[n] = np.zeros(1 << self.BITS, dtype=bool)
-            self.maybe[n][h >> np.uint64(64 - self.BITS)] = True
-
-    def hits(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, places, hashes) where a text holds an anchor."""
-        for n, h in _rolled(codes, max(self.by_length, default=0)):
-            if n in self.by_length and len(self.by_length[n]):
-                at = np.flatnonzero(self.maybe[n][h >> np.uint64(64 - self.BITS)])
-                known, seen = self.by_length[n], h[at]
-                place = np.minimum(np.searchsorted(known, seen), len(known) - 1)
-                sure = known[place] == seen
-                yield n, at[sure], seen[sure]
+        self.known = {n: np.sort(h) for n, h in by_length.items() if len(h)}
+        self.shift, self.first = {}, {}
+        for n, h in self.known.items():
+            bits = min(22, max(12, len(h).bit_length() + 5))
+            self.shift[n] = np.uint64(64 - bits)
+            self.first[n] = np.full(1 << bits, -1, dtype=np.int32)
+            self.first[n][self._slots(n, h)] = np.arange(len(h))
+
+    def _slots(self, n: int, hashes: np.ndarray) -> np.ndarray:
+        """Places in the table; once more multiplied, as the leading bits of short runs' hashes are nearly all the same."""
+        return (hashes * _ROLL >> self.shift[n]).view(np.int64)
+
+    def hits(self, codes: np.ndarray, whole: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, hashes) where a text holds an anchor; of equal runs shorter than `whole` one place."""
+        for n, h in _rolled(codes, max(self.known, default=0)):
+            if n not in self.known:
+                continue
+            known = self.known[n]
+            where = self.first[n].take(self._slots(n, h))
+            at = np.flatnonzero(where >= 0)
+            place, seen = where[at], h[at]
+            off = np.flatnonzero(known[place] != seen)
+            place[off] = np.minimum(np.searchsorted(known, seen[off]), len(known) - 1)
+            sure = known[place] == seen
+            at, place = at[sure], place[sure]
+            if n < whole and len(at):
+                if len(known) > 1 << 16:
+                    place = np.unique(place, return_inverse=True)[1]
+                last = np.empty(min(len(known), 1 << 16) + len(at), dtype=np.int64)
+                last[place] = at
+                same = last[place]
+                drop = same != at
+                for k in range(n):  # equal hashes of different runs stay apart
+                    drop &= codes[at + k] == codes[same + k]
+                at = at[~drop]
+            yield n, at, h[at]
+
+
+#: Rows that the search for anchors holds before it hands them on, whatever the texts and the keywords.
+_ROWS_AT_ONCE = 16_384
+
+
+def _spots(keys: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    """Places of anchors with the id and domain of their texts."""
+    which = keys.take(pa.array([r[0] for r in rows], pa.int64()))
+    columns = [pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.string()))]
+    return pa.RecordBatch.from_arrays([which["id"], which["domain"], *columns], ["id", "domain", "size", "hash", "seen"])
 
 
 def concepts_by_join(
@@ -122,14 +152,19 @@ def concepts_by_join(
 
         def places(batches: Iterator[pa.RecordBatch], anchors: _Anchors = anchors) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows: list[tuple] = []
-                for k, low in enumerate(batch["low"].to_pylist()):
-                    for n, at, hashes in anchors.hits(_codes(low)):
+                keys, rows = batch.select(["id", "domain"]), []  # never the texts: a row each would repeat them
+                for k, low in enumerate(batch["low"]):
+                    low = low.as_py()
+                    for n, at, hashes in anchors.hits(_codes(low), anchor):
                         reach = longest if n == anchor else n  # a shorter anchor is its whole keyword
-                        rows += {(k, n, h, low[p : p + reach]) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist())}
-                which = batch.take(pa.array([r[0] for r in rows], pa.int64()))
-                columns = [pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.string()))]
-                yield pa.RecordBatch.from_arrays([which["id"], which["domain"], *columns], ["id", "domain", "size", "hash", "seen"])
+                        new = {(n, h, low[p : p + reach]) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist())}
+                        for row in new:
+                            rows.append((k, *row))
+                            if len(rows) >= _ROWS_AT_ONCE:
+                                yield _spots(keys, rows)
+                                rows = []
+                if rows:
+                    yield _spots(keys, rows)
 
         given = chunks.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), "domain", F.lower(text).alias("low"))
         spots = given.mapInArrow(places, f"id {kind}, domain string, size int, hash long, seen string")

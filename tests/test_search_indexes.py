@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,38 @@ def test_keyword_join_equals_the_expression(spark):
     registry = spark.createDataFrame([("general", k, v) for k, v in words.items()], "domain string, keyword string, concept string")
     want = {r[0]: r[1] for r in docs.select("chunk_id", M.concepts(F.col("text"), "general", {"general": words})).collect()}
     assert {r.chunk_id: r.concepts or [] for r in M.concepts_by_join(docs, registry).collect()} == want
+
+
+def test_texts_full_of_keywords_are_not_repeated(spark, monkeypatch):
+    """A worker's memory follows the texts, not the texts times the keywords that each holds."""
+    words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    frame = spark.createDataFrame([("a", "d", "x")], "chunk_id string, domain string, text string")
+    registry = spark.createDataFrame([("d", w, w) for w in words], "domain string, keyword string, concept string")
+    steps, make = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, *more, **other: steps.append(run) or make(self, run, *more, **other))
+    M.concepts_by_join(frame, registry)
+    texts = [" ".join(words) + " " + "-" * 20_000] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(50)]), pa.array(["d"] * 50), pa.array(texts)], ["id", "domain", "low"])
+    before, rows = pa.total_allocated_bytes(), 0
+    for out in steps[-1](iter([batch])):
+        rows += out.num_rows
+        assert pa.total_allocated_bytes() - before < 8 << 20
+    assert rows == 50 * 400
+
+
+def test_equal_runs_of_a_short_anchor_give_one_place():
+    codes = M._codes("abcabdab")
+    anchors = M._Anchors({2: np.sort(np.unique(next(h for n, h in M._rolled(codes, 2) if n == 2))), 3: np.array([0], dtype=np.uint64)})
+    found = {n: ["abcabdab"[p : p + n] for p in at] for n, at, _ in anchors.hits(codes, 8)}
+    assert sorted(found[2]) == ["ab", "bc", "bd", "ca", "da"] and found[3] == []
+    assert [len(at) for _, at, _ in anchors.hits(codes)] == [7, 0]
+
+
+def test_places_of_keywords_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(M, "_ROWS_AT_ONCE", 7)
+    chunks = spark.createDataFrame([("a", "d", "x y z " * 9), ("b", "d", "zz"), ("c", "e", "x")], "chunk_id string, domain string, text string")
+    registry = spark.createDataFrame([("d", w, w) for w in ("x", "y", "z", " ", "x y", "zz", "y z x", "z x y z x y z")], "domain string, keyword string, concept string")
+    got = {r.chunk_id: r.concepts for r in M.concepts_by_join(chunks, registry).collect()}
+    assert got == {"a": sorted([" ", "x", "x y", "y", "y z x", "z", "z x y z x y z"]), "b": ["z", "zz"], "c": None}
+    keys = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["d"])], ["id", "domain"])
+    assert M._spots(keys, [(0, 1, 7, "x")] * 3).schema.names == ["id", "domain", "size", "hash", "seen"]
