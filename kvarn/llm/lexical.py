@@ -77,7 +77,7 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 class ShardBuilder:
-    """Collects the documents of one shard as numbers: each term once, twenty-four bytes for each document that holds it."""
+    """Collects the documents of one shard as numbers: each term once, sixteen bytes for each document that holds it."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -94,40 +94,53 @@ class ShardBuilder:
             self.size += len(text)
 
     def rows(self, shard: int) -> pa.RecordBatch:
-        """The index rows of the shard, its documents in order of their ids, those without id last."""
+        """The index rows of a small shard in one batch."""
+        return pa.Table.from_batches(self.batches(shard)).combine_chunks().to_batches()[0]
+
+    def batches(self, shard: int, most: int = 8192) -> Iterator[pa.RecordBatch]:
+        """The index rows of the shard, at most so many a batch, its documents in order of their ids, those without id last.
+
+        The builder is used up: beside its numbers stand one sort key and one order for each posting, and all else is made
+        for one batch at a time.
+        """
         words, n = sorted(self.known), len(self.ids)
         rank = np.empty(len(words), dtype=np.int64)
-        rank[[self.known[w] for w in words]] = np.arange(len(words))
+        rank[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))] = np.arange(len(words))
+        self.known = {}
         order = np.array(sorted(range(n), key=lambda d: (self.ids[d] is None, self.ids[d] or 0)), dtype=np.int64)
         place = np.empty(n, dtype=np.int64)
         place[order] = np.arange(n)
-        by, tf = rank[np.frombuffer(self.which, dtype=np.int64)], np.frombuffer(self.tf, dtype=np.int64)
-        given = np.repeat(np.arange(n), np.frombuffer(self.counts, dtype=np.int64))
-        lengths = np.bincount(given, weights=tf, minlength=n).astype(np.int64)[order]
-        doc = place[given]
-        sort = np.lexsort((doc, by))
-        by, doc, tf = by[sort], doc[sort], tf[sort]
-        first = np.flatnonzero(np.diff(by, prepend=-1))
-        gaps = np.diff(doc, prepend=0)
-        gaps[first] = doc[first]
-        data, size = pack(np.stack([gaps, tf], axis=1).reshape(-1))
         ids = np.array([self.ids[d] for d in order.tolist() if self.ids[d] is not None], dtype="<i8")
+        tf = np.frombuffer(self.tf, dtype=np.int64)
+        key, counts = rank[np.frombuffer(self.which, dtype=np.int64)], np.frombuffer(self.counts, dtype=np.int64)
+        self.which = array("q")
+        df = np.bincount(key, minlength=len(words))
+        key <<= 32
+        starts = np.cumsum(counts) - counts
+        lengths = np.add.reduceat(tf, starts)[order]
+        for d in range(n):
+            key[starts[d] : starts[d] + counts[d]] |= place[d]
+        by = np.argsort(key)  # no two postings have the same term and document
         head, head_size = pack(lengths)
-        columns = [
-            pa.array([shard] * (len(words) + 1), pa.int64()),
-            pa.array([b"", *words], pa.binary()),
-            pa.array(np.concatenate([[n], np.bincount(by, minlength=len(words))])),
-            pa.array(np.concatenate([[lengths.sum()], np.add.reduceat(tf, first)])),
-            pa.concat_arrays([_binary(head, head_size.sum(keepdims=True)), _binary(data, np.add.reduceat(size, 2 * first))]),
-            pa.array([ids.tobytes(), *[None] * len(words)], pa.binary()),
-        ]
+        yield self._batch(shard, [b""], np.array([n]), lengths.sum(keepdims=True), _binary(head, head_size.sum(keepdims=True)), [ids.tobytes()])
+        ends = np.cumsum(df)
+        for k in range(0, len(words), most):
+            size = df[k : k + most]
+            mine = by[ends[k] - df[k] : ends[min(k + most, len(words)) - 1]]
+            first = np.cumsum(size) - size
+            doc, occurs = key[mine] & 0xFFFFFFFF, tf[mine]
+            gaps = np.diff(doc, prepend=0)
+            gaps[first] = doc[first]
+            data, width = pack(np.stack([gaps, occurs], axis=1).reshape(-1))
+            lists = _binary(data, np.add.reduceat(width, 2 * first))
+            yield self._batch(shard, words[k : k + most], size, np.add.reduceat(occurs, first), lists, [None] * len(size))
+
+    @staticmethod
+    def _batch(shard: int, words: list[bytes], df: np.ndarray, total: np.ndarray, lists: pa.Array, ids: list[bytes | None]) -> pa.RecordBatch:
+        columns = [pa.array([shard] * len(words), pa.int64()), pa.array(words, pa.binary()), pa.array(df), pa.array(total), lists, pa.array(ids, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
 
 
-def _slices(rows: pa.RecordBatch, most: int = 8192) -> Iterator[pa.RecordBatch]:
-    return (rows.slice(at, most) for at in range(0, rows.num_rows, most))
-
-
 def build(docs: DataFrame, shard_bytes: int = 32 << 20, tag: str = "postings", done: list[str] | None = None) -> DataFrame:
     """The index of docs(doc_id, text), written to the shared folder; a shard holds the texts of at most about shard_bytes."""
 
@@ -137,11 +150,11 @@ def build(docs: DataFrame, shard_bytes: int = 32 << 20, tag: str = "postings", d
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 if shard.ids and shard.size + text.as_buffer().size > shard_bytes:
-                    yield from _slices(shard.rows(number))
+                    yield from shard.batches(number)
                     shard, number = ShardBuilder(), number + 1
                 shard.add(doc_id.as_py(), text.as_py())
         if shard.ids:
-            yield from _slices(shard.rows(number))
+            yield from shard.batches(number)
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"))
     return stash(texts.mapInArrow(run, INDEX), tag, done)

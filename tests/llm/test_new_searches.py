@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,16 @@ def test_every_rule_reaches_the_parts_of_its_urls():
         for turn, (k, p) in enumerate(spots):
             if k.startswith(prefix) and p.startswith(start):
                 assert url_rules.url_part(bounds, (k, p), turn) in parts
+
+
+def test_a_shard_is_written_in_little_memory():
+    """Beside the collected numbers a sort key and an order for each posting; the rest of a batch's size."""
+    rng, builder = random.Random(8), lexical.ShardBuilder()
+    for k in range(4000):
+        builder.add(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(50)).encode())
+    postings, write = len(builder.which), getattr(builder, "batches", lambda shard, most: iter([builder.rows(shard)]))
+    tracemalloc.start()
+    found = sum(int(pc.sum(b["df"]).as_py()) - (4000 if b["term"][0].as_py() == b"" else 0) for b in write(1, most=256))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == postings and peak < 64 * postings
