@@ -3,11 +3,12 @@
 1. Document frequencies of hashed terms (2 ** bits buckets) are counted over all documents.
 2. A randomised SVD of TF-IDF passages gives the latent space. Its vocabulary are the terms of the benchmark items and
    those terms of the corpus that weigh most, `vocabulary` in all (more if the items alone have more); other terms have
-   no latent vector but count in the length of a window. The matrix holds every benchmark item (weighted) and the
-   passages of a bounded, hash-chosen sample of documents. Range finding and the Rayleigh-Ritz step are two
-   distributed products A'(A X), summed by blocks of terms; only factors of fixed size reach the driver.
+   no latent vector but count in the length of a window. The matrix holds every benchmark item (weighted) and all
+   passages of all documents, which together weigh at most as much as those of `sample_docs` documents, lest a large
+   corpus drown the items. Its range is found by one distributed product A'(A X) with a sparse random X, summed by
+   blocks of terms, and kept whole; only factors of fixed size reach the driver.
 3. Windows of several lengths slide over every document. A window that cannot reach the threshold is dropped by
-   a bound on prefix sums (the most each term can add to any item's product); the others are projected and
+   bounds on sums (the most each term can add to any item's product, then to any of eight); the others are projected and
    compared with all items by cosine.
 4. Candidates are checked on the words: the longest common subsequence of item and surrounding text, and for
    looser matches (paraphrases) whether the item's answer, its most informative words, is there too.
@@ -110,66 +111,92 @@ def slots(items: list[np.ndarray], df: np.ndarray, idf: np.ndarray, p: Params) -
     return out
 
 
-def _product(rows: list[np.ndarray], factor: float, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A'(A x) for the matrix whose rows are tf-idf passages of unit length, times the factor; rows hold places in x."""
-    out = np.zeros_like(x)
-    for at in rows:
-        terms, tf = np.unique(at[at < len(x)], return_counts=True)
-        v = tf.astype(np.float32) * idf[terms]
-        norm = np.sqrt((v * v).sum())
-        if norm:
-            v *= factor / norm
-            out[terms] += np.outer(v, v @ x[terms])
-    return out
-
-
-def sampled(docs: DataFrame, p: Params) -> DataFrame:
-    """The texts of at most sample_docs documents, chosen by a hash of the id, written down once for all products."""
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    return stash(rows.groupBy("doc_id").agg(F.min("text").alias("text")).select("text").repartition(4), "leak-sample")
+def _product(at: np.ndarray, ends: np.ndarray, factor: float, idf: np.ndarray, x: tuple[np.ndarray, np.ndarray], out: np.ndarray) -> None:
+    """Adds A'(A x) to out, for the matrix whose rows are tf-idf passages of unit length, times the factor.
+
+    at holds the passages' words as rows of out, other numbers from len(out) on, and ends where each passage ends; x is
+    sparse, some places and signs for every row. Rows of frequent terms are summed by a matrix product.
+    """
+    size, width, n = len(out), out.shape[1], len(ends)
+    key, tf = np.unique(np.repeat(np.arange(n), np.diff(ends, prepend=0)) * (size + 1) + np.minimum(at, size), return_counts=True)
+    passage, term = np.divmod(key, size + 1)
+    inside = term < size
+    passage, term, tf = passage[inside], term[inside], tf[inside]
+    v = tf * idf[term]
+    v *= factor / np.sqrt(np.bincount(passage, v * v, n))[passage]
+    column, sign = x
+    cell = passage[:, None] * width + column[term]
+    z = np.bincount(cell.reshape(-1), (v[:, None] * sign[term]).reshape(-1), n * width).reshape(n, width).astype(np.float32)
+    v = v.astype(np.float32)
+    count = np.bincount(term, minlength=size)
+    often = np.flatnonzero(count > 8)
+    own = np.full(size, -1)
+    own[often] = np.arange(len(often))
+    mine = own[term]
+    dense = np.zeros((len(often), n), dtype=np.float32)
+    dense[mine[mine >= 0], passage[mine >= 0]] = v[mine >= 0]
+    out[often] += dense @ z
+    passage, term, v = passage[mine < 0], term[mine < 0], v[mine < 0]
+    order = np.argsort(term, kind="stable")
+    passage, term, v = passage[order], term[order], v[order]
+    turn = np.arange(len(term)) - np.searchsorted(term, term)
+    for k in range(8):  # the k-th passage of every rare term
+        now = turn == k
+        out[term[now]] += z[passage[now]] * v[now, None]
+
+
+def latent_space(docs: DataFrame, n: int, items: list[np.ndarray], slot: np.ndarray, idf: np.ndarray, p: Params) -> np.ndarray:
+    """Term vectors of the latent space, vocabulary x rank, orthonormal columns, fitted on the items and all n documents."""
+    spark, size = docs.sparkSession, int(slot.max())
+    width = min(len(items) + 40, size)
+    own_idf = idf[np.flatnonzero(slot < size)]
+    step = -(-size // 64)
+    rng = np.random.default_rng(p.seed)
+    x = rng.integers(0, width, (size, 4)), rng.choice(np.array([-1.0, 1.0]), (size, 4))
+    balance = float(np.sqrt(min(1.0, p.sample_docs / max(n, 1))))
+    shared = spark.sparkContext.broadcast((x, own_idf, slot))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, weight, where = shared.value
+        out, held, ends, total = np.zeros((size, width), dtype=np.float32), [], [], 0
 
-def latent_space(sample: DataFrame, items: list[np.ndarray], slot: np.ndarray, idf: np.ndarray, p: Params) -> np.ndarray:
-    """Term vectors of the latent space: vocabulary x rank, orthonormal columns."""
-    spark, size = sample.sparkSession, int(slot.max())
-    rank = min(len(items) + 32, size)
-    places = np.flatnonzero(slot < size)
-    own_idf = idf[places]
-    step = -(-size // 16)
-
-    def times(x: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((x, own_idf, slot))
+        def add() -> None:
+            _product(np.concatenate(held), np.array(ends), balance, weight, x, out)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            factor, weight, where = shared.value
-            rows = []
-            for batch in batches:
-                for text in batch.column(0):
-                    at = where[buckets(words_of(text.as_py()), p.bits)]
-                    rows += [at[k : k + p.passage] for k in range(0, len(at), p.passage)]
-            out = _product(rows, 1.0, weight, factor)
-            parts = [out[k : k + step].tobytes() for k in range(0, size, step)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["k", "part"])
-
-        def add(rows: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(b.as_py(), dtype=np.float32) for b in rows.column("part"))
-            return pa.table({"k": rows.column("k").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
-
-        out = _product([slot[i] for i in items], p.weight, own_idf, x)
-        summed = sample.mapInArrow(frugal(run), "k int, part binary").groupBy("k").applyInArrow(add, "k int, part binary")
-        for row in summed.collect():  # the factor: vocabulary x rank, whatever the corpus
-            part = np.frombuffer(row["part"], dtype=np.float32).reshape(-1, x.shape[1])
-            out[row["k"] * step : row["k"] * step + len(part)] += part
-        shared.unpersist()
-        return out
-
-    start = np.random.default_rng(p.seed).standard_normal((size, rank + 8), dtype=np.float32)
-    basis = np.linalg.qr(times(start))[0]
-    small = basis.T @ times(basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    top = np.argsort(values)[::-1][:rank]
-    return (basis @ vectors[:, top]).astype(np.float32)
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                for k in range(0, len(words), 16_384 // p.passage * p.passage):
+                    at = where[buckets(words[k : k + 16_384 // p.passage * p.passage], p.bits)]
+                    held.append(at)
+                    ends += [total + min(e, len(at)) for e in range(p.passage, len(at) + p.passage, p.passage)]
+                    total += len(at)
+                    if total >= 49_152:
+                        add()
+                        held, ends, total = [], [], 0
+        if total:
+            add()
+        for k in range(0, size, step):
+            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([out[k : k + step].tobytes()], pa.binary())], ["k", "part"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_buffer(), dtype=np.float32)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "part"])
+
+    out = np.zeros((size, width), dtype=np.float32)
+    at = [slot[i] for i in items]
+    _product(np.concatenate(at), np.cumsum([len(i) for i in at]), p.weight, own_idf, x, out)
+    kind = "k int, part binary"
+    summed = docs.select("text").mapInArrow(frugal(run), kind).repartition("k").mapInArrow(frugal(fold), kind)
+    for row in summed.collect():  # the factor: vocabulary x rank, whatever the corpus
+        part = np.frombuffer(row["part"], dtype=np.float32).reshape(-1, width)
+        out[row["k"] * step : row["k"] * step + len(part)] += part
+    shared.unpersist()
+    return np.linalg.qr(out)[0].astype(np.float32)
 
 
 def common_subsequence(item: list[bytes], text: list[bytes]) -> int:
@@ -207,8 +234,11 @@ class Searcher:
         self.vectors = np.array(vectors, dtype=np.float32)
         share = (self.vectors**2).sum(axis=1)  # what the latent space keeps of an item
         self.vectors /= np.maximum(share, 1e-3)[:, None]
-        self.reach = np.maximum((self.space @ self.vectors.T).max(axis=1), 0)  # the most a term adds to any product
+        products = self.space @ self.vectors.T
+        self.reach = products.max(axis=1)  # the most a term adds to any product
+        self.group_reach = np.maximum.reduceat(products, np.arange(0, len(items), 8), axis=1)  # and to those of eight items
         sizes = [len(i.words) for i in items]
+        self.lengths = np.array(sizes)
         low, high = min(sizes), max(sizes)
         # the smallest is half an item, so that one of its steps lies wholly inside a copy, whatever stands around it
         self.windows = sorted({max(p.least_words, w) for w in (low // 2, low, *(int(low * 2**k) for k in range(1, high.bit_length() + 1))) if w <= high})
@@ -222,21 +252,32 @@ class Searcher:
             starts = np.arange(0, max(1, len(words) - size // 2), max(1, size // 2))
             ends = np.minimum(starts + size, len(words))
             norm = np.sqrt(np.maximum(energy[ends] - energy[starts], 1e-9))
-            able = reach[ends] - reach[starts] >= p.cosine * norm
+            able = reach[ends] - reach[starts] >= (p.cosine - 1e-4) * norm
             starts, ends, norm = starts[able], ends[able], norm[able]
-            for slab in range(0, len(starts), 512):
-                first, sizes = starts[slab : slab + 512], (ends - starts)[slab : slab + 512]
-                offsets = np.cumsum(sizes) - sizes
-                terms = at[np.repeat(first - offsets, sizes) + np.arange(sizes.sum())]
-                latent = np.add.reduceat(self.space[terms], offsets, axis=0)
-                cosines = latent @ self.vectors.T / norm[slab : slab + 512, None]
-                for w, k in zip(*np.nonzero(cosines >= p.cosine)):
-                    key = (int(k), int(first[w]) // len(self.items[k].words))
-                    best[key] = max(best.get(key, 0.0), float(cosines[w, k]))
+            padded = np.concatenate([at, np.full(size, len(self.space) - 1, dtype=at.dtype)])  # no vector, no reach
+            most = max(1, 8192 // size)
+            for slab in range(0, len(starts), most):
+                first = starts[slab : slab + most]
+                terms = padded[first[:, None] + np.arange(size)]
+                near = self.group_reach[terms].sum(axis=1).max(axis=1) >= (p.cosine - 1e-4) * norm[slab : slab + most]
+                if not near.any():
+                    continue
+                first = first[near]
+                latent = self.space[terms[near]].sum(axis=1)
+                cosines = latent @ self.vectors.T / norm[slab : slab + most][near, None]
+                w, k = np.nonzero(cosines >= p.cosine)
+                for key, cosine in zip(zip(k.tolist(), (first[w] // self.lengths[k]).tolist()), cosines[w, k].tolist()):
+                    if cosine > best.get(key, 0.0):
+                        best[key] = cosine
         found: dict[int, tuple[float, float, str]] = {}
+        whole, there_at_all = set(words) if best else set(), {}
         for (k, where), cosine in best.items():
             item = self.items[k]
             n = len(item.words)
+            if k not in there_at_all:
+                there_at_all[k] = sum(map(whole.__contains__, item.words))
+            if there_at_all[k] < min(p.paraphrase, p.leak) * n:
+                continue
             region = words[max(0, (where - 1) * n) : (where + 3) * n]
             there = set(region)
             answered = sum(map(there.__contains__, item.answer)) >= p.answer * len(item.answer)
@@ -253,7 +294,8 @@ class Index:
     """What one pass looks for: some blocks of items by windows, and short items word by word."""
 
     def __init__(self, searchers: list[Searcher], short: list[Item], idf: np.ndarray | None, p: Params) -> None:
-        self.searchers, self.idf, self.p = searchers, idf, p
+        self.searchers, self.p = searchers, p
+        self.energy = None if idf is None else idf.astype(np.float64) ** 2
         self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
         for item in short:
             self.short.setdefault(len(item.words), {}).setdefault(tuple(item.words), []).append(item.item_id)
@@ -262,7 +304,7 @@ class Index:
         words, found = words_of(text), []
         if self.searchers and len(words) >= self.p.least_words:
             at = buckets(words, self.p.bits)
-            energy = np.r_[0, np.cumsum(self.idf[at].astype(np.float64) ** 2)]
+            energy = np.r_[0, np.cumsum(self.energy[at])]
             for searcher in self.searchers:
                 found += searcher.search(words, at, energy)
         for n, known in self.short.items():
@@ -276,7 +318,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, p: Params, with_short: bool)
     usable = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     blocks = max(1, -(-usable.count() // p.block_items))
     numbered = stash(usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "leak-items")
-    df = sample = idf = None
+    df = idf = None
     for first in range(0, blocks, p.pass_blocks):
         searchers, short = [], []
         for block in range(first, min(blocks, first + p.pass_blocks)):
@@ -287,14 +329,14 @@ def prepared(docs: DataFrame, benchmark: DataFrame, p: Params, with_short: bool)
                 continue
             if idf is None:
                 df, n = frequencies(docs, p)
-                idf, sample = weights(df, n), sampled(docs, p)
+                idf = weights(df, n)
             items = []
             for item_id, words in rows:
                 by_weight = sorted(set(words), key=lambda w: (-float(idf[buckets([w], p.bits)[0]]), w))
                 items.append(Item(item_id, words, by_weight[: max(3, len(by_weight) // 4)]))
             at = [buckets(i.words, p.bits) for i in items]
             slot = slots(at, df, idf, p)
-            searchers.append(Searcher(items, latent_space(sample, at, slot, idf, p), slot, idf, p))
+            searchers.append(Searcher(items, latent_space(docs, n, at, slot, idf, p), slot, idf, p))
         if searchers or (short and with_short):
             index = Index(searchers, short if with_short else [], idf, p)
             del searchers

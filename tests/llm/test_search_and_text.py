@@ -345,6 +345,22 @@ def test_planted_items_are_found(planted, block):
     assert kept == set(range(60))
 
 
+def test_every_document_counts_in_the_latent_space(spark):
+    """Words in another order leave all frequencies and change a document's passages: each must change the space."""
+    texts = [" ".join(f"d{k}w{j}" for j in range(60)) for k in range(4)]
+    items = spark.createDataFrame([(1, " ".join(f"d{k}w{j}" for k in range(4) for j in (3, 50)))], "item_id long, text string")
+
+    def space(rows):
+        frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        return next(D.prepared(frame, items, D.Params(sample_docs=2), True)).value.searchers[0].space
+
+    base = space(texts)
+    assert np.allclose(base, space(texts), atol=1e-4)
+    for k in range(4):
+        moved = texts[:k] + [" ".join(reversed(texts[k].split()))] + texts[k + 1 :]
+        assert not np.allclose(base, space(moved), atol=1e-3)
+
+
 def test_items_of_the_tables(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " " + " ".join(w.decode() for w in D.words_of(t)) + " "
