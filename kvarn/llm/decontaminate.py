@@ -37,11 +37,18 @@ from pyspark.sql import functions as F
 from .base import frugal, stash, table
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def plain(text: str | None) -> bytes:
+    """Lower-case words set off by blanks; everything of Basic Latin but letters and digits separates them."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_SPACED)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words; everything of Basic Latin but letters and digits separates them."""
-    return (text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()
+    """The words of a plain text."""
+    return plain(text).split()
 
 
 @dataclass(frozen=True)
@@ -61,36 +68,99 @@ class Params:
     seed: int = 11
 
 
+def _hashed(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words of plain texts, and how many words each text and those before it have.
+
+    Words are read eight bytes at a time, all words at once; no word holds a zero byte, so no two read alike. What goes
+    beyond 64 bytes (scripts without blanks) counts by its checksum.
+    """
+    joined = b" " + b" ".join(texts) + b" " * 9
+    blank = np.frombuffer(joined, dtype=np.uint8) == 32
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(joined) - 7, dtype="<u8", buffer=joined, strides=(1,))
+    h = eight[start] & _KEEP[np.minimum(length, 8)]
+    h *= _ODD
+    h ^= h >> np.uint64(32)
+    for k in range(8, 72, 8):
+        longer = np.flatnonzero(length > k) if k == 8 else longer[length[longer] > k]
+        if k < 64:
+            more = eight[start[longer] + k] & _KEEP[np.minimum(length[longer] - k, 8)]
+        else:
+            rests = zip((start[longer] + k).tolist(), (start[longer] + length[longer]).tolist())
+            more = np.array([crc32(joined[begin:end]) for begin, end in rests], dtype=np.uint64)
+        more = (h[longer] + more) * _ODD
+        h[longer] = more ^ (more >> np.uint64(32))
+    ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+    return ((h * _ODD) >> np.uint64(64 - bits)).astype(np.int64), ends
+
+
 def buckets(words: list[bytes], bits: int) -> np.ndarray:
-    h = np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words))
-    return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    return _hashed(words, bits)[0]
+
+
+def slabs(texts: pa.Array, bits: int, room: int = 1 << 18) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """All texts, plain, about room bytes at a time, with the buckets of their words and where each text's words end."""
+    held, total = [], 0
+    for text in texts:
+        held.append(plain(text.as_py()))
+        total += len(held[-1]) + 1
+        if total >= room:
+            yield held, *_hashed(held, bits)
+            held, total = [], 0
+    if held:
+        yield held, *_hashed(held, bits)
+
+
+def _summed(rows: DataFrame, part: str) -> DataFrame:
+    """Sums of the parts (bytes of numbers of the type) with the same k, whole numbers as longs."""
+    kind = "k int, part binary"
+    wide = np.int64 if np.dtype(part).kind == "i" else np.dtype(part).type
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, one in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(one.as_buffer(), dtype=part)
+                if k in sums:
+                    sums[k] += more
+                else:
+                    sums[k] = more.astype(wide)
+        for k, total in sums.items():
+            yield _part(k, total)
+
+    return rows.repartition("k").mapInArrow(frugal(fold), kind)
+
+
+def _part(k: int, numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([numbers.tobytes()], pa.binary())], ["k", "part"])
 
 
 def frequencies(docs: DataFrame, p: Params) -> tuple[np.ndarray, int]:
-    """Document frequency of every bucket, and the number of documents; the driver gets them in packed slices."""
+    """Document frequency of every bucket, and the number of documents; tasks and driver handle them in slices of fixed size."""
     step = 1 << max(0, p.bits - 6)
+    many = 1 << p.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((1 << p.bits) + 1, dtype=np.int64)  # the last entry counts documents
+        count = np.zeros(many + 1, dtype=np.int32)  # the last entry counts documents
+        last = np.zeros(many, dtype=np.int64)  # the place at which a document's bucket stands last
         for batch in batches:
             count[-1] += batch.num_rows
-            for text in batch.column(0):
-                count[np.unique(buckets(words_of(text.as_py()), p.bits))] += 1
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], ["at", "n"])
-
-    def pack(rows: pa.Table) -> pa.Table:
-        k = rows.column("k")[0].as_py()
-        part = np.zeros(step, dtype="<i8")
-        part[rows.column("at").to_numpy() - k * step] = rows.column("n").to_numpy()
-        return pa.table({"k": pa.array([k], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
-
-    counted = docs.select("text").mapInArrow(frugal(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    parts = counted.withColumn("k", F.floor(F.col("at") / step).cast("int")).groupBy("k").applyInArrow(pack, "k int, part binary")
-    df = np.zeros((1 << p.bits) + step, dtype=np.int64)
-    for row in parts.collect():  # at most 65 slices of fixed size
-        df[row["k"] * step : (row["k"] + 1) * step] = np.frombuffer(row["part"], dtype="<i8")
-    return df[: 1 << p.bits], int(df[1 << p.bits])
+            for _, at, ends in slabs(batch.column(0), p.bits):
+                place = np.arange(len(at))
+                for begin, end in zip([0, *ends.tolist()], ends.tolist()):
+                    own, here = at[begin:end], place[begin:end]
+                    last[own] = here
+                    count[own[last[own] == here]] += 1
+        for k in range(0, many + 1, step):
+            if count[k : k + step].any():
+                yield _part(k // step, count[k : k + step])
+
+    df = np.zeros(many + step, dtype=np.int64)
+    for row in _summed(docs.select("text").mapInArrow(frugal(run), "k int, part binary"), "<i4").collect():  # at most 65 slices
+        part = np.frombuffer(row["part"], dtype="<i8")
+        df[row["k"] * step : row["k"] * step + len(part)] = part
+    return df[:many], int(df[many])
 
 
 def weights(df: np.ndarray, n: int) -> np.ndarray:
@@ -115,34 +185,37 @@ def _product(at: np.ndarray, ends: np.ndarray, factor: float, idf: np.ndarray, x
     """Adds A'(A x) to out, for the matrix whose rows are tf-idf passages of unit length, times the factor.
 
     at holds the passages' words as rows of out, other numbers from len(out) on, and ends where each passage ends; x is
-    sparse, some places and signs for every row. Rows of frequent terms are summed by a matrix product.
+    sparse, some places and signs for every row. Rows of frequent terms are summed by one matrix product, the others by
+    small ones, together for all terms of as many passages.
     """
     size, width, n = len(out), out.shape[1], len(ends)
-    key, tf = np.unique(np.repeat(np.arange(n), np.diff(ends, prepend=0)) * (size + 1) + np.minimum(at, size), return_counts=True)
-    passage, term = np.divmod(key, size + 1)
-    inside = term < size
-    passage, term, tf = passage[inside], term[inside], tf[inside]
+    key = (np.repeat(np.arange(n) * size, np.diff(ends, prepend=0)) + at)[at < size]
+    key, tf = np.unique(key.astype(np.int32) if n * size < 1 << 31 else key, return_counts=True)
+    passage = key // size
+    term = key - passage * size
     v = tf * idf[term]
     v *= factor / np.sqrt(np.bincount(passage, v * v, n))[passage]
     column, sign = x
-    cell = passage[:, None] * width + column[term]
-    z = np.bincount(cell.reshape(-1), (v[:, None] * sign[term]).reshape(-1), n * width).reshape(n, width).astype(np.float32)
-    v = v.astype(np.float32)
-    count = np.bincount(term, minlength=size)
-    often = np.flatnonzero(count > 8)
-    own = np.full(size, -1)
-    own[often] = np.arange(len(often))
-    mine = own[term]
-    dense = np.zeros((len(often), n), dtype=np.float32)
-    dense[mine[mine >= 0], passage[mine >= 0]] = v[mine >= 0]
-    out[often] += dense @ z
-    passage, term, v = passage[mine < 0], term[mine < 0], v[mine < 0]
-    order = np.argsort(term, kind="stable")
+    z, first = np.zeros(n * width), passage.astype(np.int64) * width
+    for k in range(column.shape[1]):
+        z += np.bincount(first + column[:, k][term], v * sign[:, k][term], n * width)
+    z, v = z.reshape(n, width).astype(np.float32), v.astype(np.float32)
+    order = np.argsort(term.astype(np.uint16) if size <= 1 << 16 else term, kind="stable")
     passage, term, v = passage[order], term[order], v[order]
-    turn = np.arange(len(term)) - np.searchsorted(term, term)
-    for k in range(8):  # the k-th passage of every rare term
-        now = turn == k
-        out[term[now]] += z[passage[now]] * v[now, None]
+    begin = np.flatnonzero(np.diff(term, prepend=-1))
+    count = np.diff(begin, append=len(term))
+    few = max(8, n // 32)
+    often = np.flatnonzero(count > few)
+    own = np.repeat(np.where(count > few, np.cumsum(count > few) - 1, -1), count)
+    dense = np.zeros((len(often), n), dtype=np.float32)
+    dense[own[own >= 0], passage[own >= 0]] = v[own >= 0]
+    out[term[begin[often]]] += dense @ z
+    for c in np.unique(count[count <= few]).tolist():
+        same = begin[count == c]
+        for k in range(0, len(same), max(1, 256 // c)):  # what lies between fits a processor's cache
+            some = same[k : k + max(1, 256 // c)]
+            these = some[:, None] + np.arange(c)
+            out[term[some]] += np.matmul(v[these][:, None], z[passage[these]])[:, 0]
 
 
 def latent_space(docs: DataFrame, n: int, items: list[np.ndarray], slot: np.ndarray, idf: np.ndarray, p: Params) -> np.ndarray:
@@ -158,40 +231,24 @@ def latent_space(docs: DataFrame, n: int, items: list[np.ndarray], slot: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, weight, where = shared.value
-        out, held, ends, total = np.zeros((size, width), dtype=np.float32), [], [], 0
-
-        def add() -> None:
-            _product(np.concatenate(held), np.array(ends), balance, weight, x, out)
-
+        out = np.zeros((size, width), dtype=np.float32)
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                for k in range(0, len(words), 16_384 // p.passage * p.passage):
-                    at = where[buckets(words[k : k + 16_384 // p.passage * p.passage], p.bits)]
-                    held.append(at)
-                    ends += [total + min(e, len(at)) for e in range(p.passage, len(at) + p.passage, p.passage)]
-                    total += len(at)
-                    if total >= 49_152:
-                        add()
-                        held, ends, total = [], [], 0
-        if total:
-            add()
+            for _, at, ends in slabs(batch.column(0), p.bits, 1 << 19):
+                at, begin = where[at], np.r_[0, ends[:-1]]
+                pieces = -(-(ends - begin) // p.passage)
+                first = np.cumsum(pieces) - pieces
+                cuts = np.repeat(begin - first * p.passage, pieces) + np.arange(1, pieces.sum() + 1) * p.passage
+                cuts = np.minimum(cuts, np.repeat(ends, pieces))
+                for k in range(0, len(cuts), 2048):
+                    some, start = cuts[k : k + 2048], cuts[k - 1] if k else 0
+                    _product(at[start : some[-1]], some - start, balance, weight, x, out)
         for k in range(0, size, step):
-            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([out[k : k + step].tobytes()], pa.binary())], ["k", "part"])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_buffer(), dtype=np.float32)
-        for k, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "part"])
+            yield _part(k // step, out[k : k + step])
 
     out = np.zeros((size, width), dtype=np.float32)
     at = [slot[i] for i in items]
     _product(np.concatenate(at), np.cumsum([len(i) for i in at]), p.weight, own_idf, x, out)
-    kind = "k int, part binary"
-    summed = docs.select("text").mapInArrow(frugal(run), kind).repartition("k").mapInArrow(frugal(fold), kind)
+    summed = _summed(docs.select("text").mapInArrow(frugal(run), "k int, part binary"), "<f4")
     for row in summed.collect():  # the factor: vocabulary x rank, whatever the corpus
         part = np.frombuffer(row["part"], dtype=np.float32).reshape(-1, width)
         out[row["k"] * step : row["k"] * step + len(part)] += part
@@ -212,6 +269,14 @@ def common_subsequence(item: list[bytes], text: list[bytes]) -> int:
     return len(item) - row.bit_count()
 
 
+def _row_sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For every column of rows the sum of those rows of the table."""
+    total = table[rows[0]]
+    for row in rows[1:]:
+        total += table[row]
+    return total
+
+
 @dataclass
 class Item:
     item_id: int
@@ -226,9 +291,9 @@ class Searcher:
         self.items, self.slot, self.p = items, slot, p
         self.rank = space.shape[1]
         self.space = np.concatenate([space * idf[np.flatnonzero(slot < len(space))][:, None], np.zeros((1, self.rank), dtype=np.float32)])
-        vectors = []
-        for item in items:
-            terms, tf = np.unique(buckets(item.words, p.bits), return_counts=True)
+        vectors, own = [], [buckets(item.words, p.bits) for item in items]
+        for at in own:
+            terms, tf = np.unique(at, return_counts=True)
             norm = float(np.sqrt(((tf * idf[terms]) ** 2).sum())) or 1.0
             vectors.append((tf[:, None] * self.space[slot[terms]]).sum(axis=0) / norm)
         self.vectors = np.array(vectors, dtype=np.float32)
@@ -239,55 +304,79 @@ class Searcher:
         self.group_reach = np.maximum.reduceat(products, np.arange(0, len(items), 8), axis=1)  # and to those of eight items
         sizes = [len(i.words) for i in items]
         self.lengths = np.array(sizes)
+        self.own, self.own_first = slot[np.concatenate(own)], np.cumsum(sizes) - self.lengths
         low, high = min(sizes), max(sizes)
         # the smallest is half an item, so that one of its steps lies wholly inside a copy, whatever stands around it
         self.windows = sorted({max(p.least_words, w) for w in (low // 2, low, *(int(low * 2**k) for k in range(1, high.bit_length() + 1))) if w <= high})
 
-    def search(self, words: list[bytes], at: np.ndarray, energy: np.ndarray) -> list[tuple[int, float, float, str]]:
-        """(item_id, cosine, share of the item found in order, kind) of every item in the words; energy sums squared weights."""
-        p, at = self.p, self.slot[at]
+    def candidates(self, at: np.ndarray, ends: np.ndarray, energy: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """(text, [(item, place, cosine)]) of the texts of a slab with near windows; energy sums the words' squared weights."""
+        p, null, begin = self.p, len(self.space) - 1, np.r_[0, ends[:-1]]
         reach = np.r_[0, np.cumsum(self.reach[at], dtype=np.float64)]
-        best: dict[tuple[int, int], float] = {}
+        near_by: list[tuple[np.ndarray, ...]] = []
         for size in self.windows:
-            starts = np.arange(0, max(1, len(words) - size // 2), max(1, size // 2))
-            ends = np.minimum(starts + size, len(words))
-            norm = np.sqrt(np.maximum(energy[ends] - energy[starts], 1e-9))
-            able = reach[ends] - reach[starts] >= (p.cosine - 1e-4) * norm
-            starts, ends, norm = starts[able], ends[able], norm[able]
-            padded = np.concatenate([at, np.full(size, len(self.space) - 1, dtype=at.dtype)])  # no vector, no reach
-            most = max(1, 8192 // size)
+            half = max(1, size // 2)
+            many = np.where(ends - begin < p.least_words, 0, -(-np.maximum(1, ends - begin - size // 2) // half))
+            starts = np.repeat(begin - (np.cumsum(many) - many) * half, many) + np.arange(many.sum()) * half
+            stops = np.minimum(starts + size, np.repeat(ends, many))
+            norm = np.sqrt(np.maximum(energy[stops] - energy[starts], 1e-9))
+            able = reach[stops] - reach[starts] >= (p.cosine - 1e-4) * norm
+            starts, stops, norm = starts[able], stops[able], norm[able]
+            most = max(16, min(1024, (1 << 18) // size))
             for slab in range(0, len(starts), most):
-                first = starts[slab : slab + most]
-                terms = padded[first[:, None] + np.arange(size)]
-                near = self.group_reach[terms].sum(axis=1).max(axis=1) >= (p.cosine - 1e-4) * norm[slab : slab + most]
+                first, stop, length = starts[slab : slab + most], stops[slab : slab + most], norm[slab : slab + most]
+                place = first + np.arange(size)[:, None]  # the k-th word of every window is a row
+                terms = np.where(place < stop, at[np.minimum(place, len(at) - 1)], null)  # no vector, no reach
+                near = _row_sums(self.group_reach, terms).max(axis=1) >= (p.cosine - 1e-4) * length
                 if not near.any():
                     continue
                 first = first[near]
-                latent = self.space[terms[near]].sum(axis=1)
-                cosines = latent @ self.vectors.T / norm[slab : slab + most][near, None]
+                cosines = _row_sums(self.space, terms[:, near]) @ self.vectors.T / length[near, None]
                 w, k = np.nonzero(cosines >= p.cosine)
-                for key, cosine in zip(zip(k.tolist(), (first[w] // self.lengths[k]).tolist()), cosines[w, k].tolist()):
-                    if cosine > best.get(key, 0.0):
-                        best[key] = cosine
-        found: dict[int, tuple[float, float, str]] = {}
-        whole, there_at_all = set(words) if best else set(), {}
-        for (k, where), cosine in best.items():
-            item = self.items[k]
-            n = len(item.words)
-            if k not in there_at_all:
-                there_at_all[k] = sum(map(whole.__contains__, item.words))
-            if there_at_all[k] < min(p.paraphrase, p.leak) * n:
-                continue
-            region = words[max(0, (where - 1) * n) : (where + 3) * n]
-            there = set(region)
-            answered = sum(map(there.__contains__, item.answer)) >= p.answer * len(item.answer)
-            if sum(map(there.__contains__, item.words)) < (p.paraphrase if answered else p.leak) * n:
-                continue  # no common subsequence can be longer than the words that are there at all
-            share = common_subsequence(item.words, region) / n
-            kind = "leak" if share >= p.leak else "paraphrase" if answered and share >= p.paraphrase else ""
-            if kind and share > found.get(item.item_id, (0, 0, ""))[1]:
-                found[item.item_id] = (cosine, share, kind)
-        return [(i, *rest) for i, rest in found.items()]
+                text = np.searchsorted(ends, first, side="right")[w]
+                near_by.append((text, k, (first[w] - begin[text]) // self.lengths[k], cosines[w, k]))
+        if not near_by:
+            return
+        text, k, where, cosine = map(np.concatenate, zip(*near_by))
+        order = np.lexsort((-cosine, where, k, text))
+        text, k, where, cosine = text[order], k[order], where[order], cosine[order]
+        best = np.r_[True, (text[1:] != text[:-1]) | (k[1:] != k[:-1]) | (where[1:] != where[:-1])][: len(text)]
+        text, k, where, cosine = text[best], k[best], where[best], cosine[best]
+        cuts = np.flatnonzero(np.diff(text, prepend=-1)).tolist()
+        for low, high in zip(cuts, [*cuts[1:], len(text)]):
+            t = int(text[low])
+            held = np.zeros(null + 1, dtype=bool)
+            held[at[begin[t] : ends[t]]] = True
+            there = np.add.reduceat(held[self.own], self.own_first, dtype=np.int64) >= min(p.paraphrase, p.leak) * self.lengths
+            some = np.flatnonzero(there[k[low:high]]) + low  # the others' words are not there, wherever
+            if len(some):
+                yield t, list(zip(k[some].tolist(), where[some].tolist(), cosine[some].tolist()))
+
+    def search(self, texts: list[bytes], at: np.ndarray, ends: np.ndarray, energy: np.ndarray) -> Iterator[tuple[int, int, float, float, str]]:
+        """(text, item_id, cosine, share of the item found in order, kind) of every item in the texts of a slab."""
+        p = self.p
+        for t, places in self.candidates(self.slot[at], ends, energy):
+            words = texts[t].split()
+            found: dict[int, tuple[float, float, str]] = {}
+            whole, there_at_all = set(words), {}
+            for k, where, cosine in places:
+                item = self.items[k]
+                n = len(item.words)
+                if k not in there_at_all:
+                    there_at_all[k] = sum(map(whole.__contains__, item.words))
+                if there_at_all[k] < min(p.paraphrase, p.leak) * n:
+                    continue
+                region = words[max(0, (where - 1) * n) : (where + 3) * n]
+                there = set(region)
+                answered = sum(map(there.__contains__, item.answer)) >= p.answer * len(item.answer)
+                if sum(map(there.__contains__, item.words)) < (p.paraphrase if answered else p.leak) * n:
+                    continue  # no common subsequence can be longer than the words that are there at all
+                share = common_subsequence(item.words, region) / n
+                kind = "leak" if share >= p.leak else "paraphrase" if answered and share >= p.paraphrase else ""
+                if kind and (share, cosine) > found.get(item.item_id, (0.0, 0.0, ""))[:2]:
+                    found[item.item_id] = (share, cosine, kind)
+            for item_id, (share, cosine, kind) in found.items():
+                yield t, item_id, cosine, share, kind
 
 
 class Index:
@@ -300,17 +389,21 @@ class Index:
         for item in short:
             self.short.setdefault(len(item.words), {}).setdefault(tuple(item.words), []).append(item.item_id)
 
-    def search(self, text: str | None) -> list[tuple[int, float, float, str]]:
-        words, found = words_of(text), []
-        if self.searchers and len(words) >= self.p.least_words:
-            at = buckets(words, self.p.bits)
-            energy = np.r_[0, np.cumsum(self.energy[at])]
-            for searcher in self.searchers:
-                found += searcher.search(words, at, energy)
-        for n, known in self.short.items():
-            for grams in known.keys() & set(zip(*(words[k:] for k in range(n)))):
-                found += [(i, 1.0, 1.0, "exact") for i in known[grams]]
-        return found
+    def search(self, column: pa.Array) -> Iterator[tuple[int, int, float, float, str]]:
+        """(row, item_id, cosine, share, kind) of every item in the texts of a column."""
+        row = 0
+        for texts, at, ends in slabs(column, self.p.bits):
+            if self.searchers:
+                energy = np.r_[0, np.cumsum(self.energy[at])]
+                for searcher in self.searchers:
+                    for t, *hit in searcher.search(texts, at, ends, energy):
+                        yield row + t, *hit
+            for t, text in enumerate(texts if self.short else []):
+                words = text.split()
+                for n, known in self.short.items():
+                    for grams in known.keys() & set(zip(*(words[k:] for k in range(n)))):
+                        yield from ((row + t, i, 1.0, 1.0, "exact") for i in known[grams])
+            row += len(texts)
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, p: Params, with_short: bool) -> Iterator:
@@ -353,7 +446,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                hits = [(d.as_py(), *hit) for d, t in zip(*batch.columns) for hit in index.search(t.as_py())]
+                hits = [(batch.column(0)[row].as_py(), *hit) for row, *hit in index.search(batch.column(1))]
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
                 columns = [pa.array(c, t) for c, t in zip(zip(*hits) if hits else [[]] * 5, types)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "share", "kind"])
@@ -371,7 +464,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFr
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([not index.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[row for row, *_ in index.search(batch.column(at))]] = False
+                yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(frugal(run), docs.schema)
     return out

@@ -5,6 +5,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -319,6 +320,98 @@ def test_common_subsequence(a, b):
     assert D.common_subsequence([x.encode() for x in a], [y.encode() for y in b]) == table[-1][-1]
 
 
+@settings(deadline=None)
+@given(st.lists(st.none() | st.text("aB9 -\u00e4\u4e2d\n\x00", max_size=60), max_size=8), st.sampled_from([1, 20, 1 << 18]))
+def test_words_hashed_together_are_the_words_hashed_alone(texts, room):
+    got = []
+    for shown, at, ends in D.slabs(pa.array(texts, pa.string()), 20, room):
+        assert len(shown) == len(ends) and ends[-1] == len(at)
+        got += [part.tolist() for part in np.split(at, ends[:-1])]
+    assert got == [[int(D.buckets([w], 20)[0]) for w in D.words_of(t)] for t in texts]
+
+
+def test_buckets_tell_words_apart():
+    words = [("a" * n + str(k)).encode() for n in (0, 3, 8, 15, 30, 59, 64, 500) for k in range(2000)]
+    assert len(set(D.buckets(words, 40).tolist())) == len(words)
+    assert len(D.buckets([b"x" * 50_000_000], 40)) == 1  # at once, though it has no blank
+
+
+def _passages(rng, size=400, n=300):
+    """Words of passages, frequent and rare ones and some that have no row (size), and where each passage ends."""
+    at = np.minimum(rng.zipf(1.3, 40 * n) - 1, size)
+    return at, np.sort(rng.choice(np.arange(1, len(at)), n - 1, replace=False)).tolist() + [len(at)]
+
+
+def test_product_is_that_of_the_matrices():
+    rng = np.random.default_rng(3)
+    at, ends = _passages(rng)
+    idf, x = rng.random(400).astype(np.float32) + 0.1, (rng.integers(0, 30, (400, 4)), rng.choice(np.array([-1.0, 1.0]), (400, 4)))
+    dense, a = np.zeros((400, 30)), np.zeros((300, 401))
+    np.add.at(dense, (np.arange(400)[:, None], x[0]), x[1])
+    np.add.at(a, (np.searchsorted(ends, np.arange(len(at)), side="right"), at), 1)
+    a = a[:, :400] * idf
+    a *= 0.5 / np.maximum(np.sqrt((a**2).sum(axis=1)), 1e-9)[:, None]
+    out = np.ones((400, 30), dtype=np.float32)
+    D._product(at, np.array(ends), 0.5, idf, x, out)
+    assert np.allclose(out, 1 + a.T @ (a @ dense), atol=1e-4)
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    """Near windows found in a slab of texts against every window on its own, without bounds."""
+    rng = np.random.default_rng(8)
+    p, known = D.Params(), [f"w{k}".encode() for k in range(500)]
+    items = [D.Item(k, [known[j] for j in rng.integers(0, 500, n)], []) for k, n in enumerate((6, 9, 14, 23, 31, 40, 17, 12, 28, 50))]
+    texts = [b" ".join([known[j] for j in rng.integers(0, 500, n)] + items[k % 10].words[: 3 + k]) for k, n in enumerate((0, 2, 9, 40, 77, 150, 5, 60, 0, 33, 90, 1) * 4)]
+    texts[8:8] = [b"", b"w1 w2"]
+    df = rng.integers(0, 30, 1 << p.bits)
+    idf, at = D.weights(df, 60), [D.buckets(i.words, p.bits) for i in items]
+    slot = D.slots(at, df, idf, D.Params(vocabulary=600))
+    space = np.linalg.qr(rng.normal(size=(int(slot.max()), 40)))[0].astype(np.float32)
+    one = D.Searcher(items, space, slot, idf, p)
+    want = {}
+    for t, text in enumerate(texts):
+        words = text.split()
+        own = D.buckets(words, p.bits)
+        for size in one.windows if len(words) >= p.least_words else ():
+            for start in range(0, max(1, len(words) - size // 2), max(1, size // 2)):
+                part = own[start : start + size]
+                cosines = one.vectors @ one.space[slot[part]].sum(axis=0) / np.sqrt((idf[part].astype(float) ** 2).sum())
+                for k in np.flatnonzero(cosines >= p.cosine).tolist():
+                    if sum(w in words for w in items[k].words) >= p.paraphrase * len(items[k].words):
+                        key = t, k, start // len(items[k].words)
+                        want[key] = max(want.get(key, 0.0), float(cosines[k]))
+    own, ends = D._hashed(texts, p.bits)
+    energy = np.r_[0, np.cumsum(idf[own].astype(float) ** 2)]
+    got = {(t, k, where): cosine for t, places in one.candidates(slot[own], ends, energy) for k, where, cosine in places}
+    assert len(want) > 20 and got == pytest.approx(want, abs=1e-4)
+
+
+def test_sums_of_rare_terms_stay_in_the_cache():
+    """The product makes little beside what it reads: rows of rare terms are not copied all at once, which took most of its time."""
+    rng = np.random.default_rng(6)
+    at, ends = rng.permutation(np.repeat(np.arange(16_384), 3)), np.arange(48, 49_153, 48)
+    x = rng.integers(0, 240, (16_384, 4)), rng.choice(np.array([-1.0, 1.0]), (16_384, 4))
+    out, idf = np.zeros((16_384, 240), dtype=np.float32), rng.random(16_384).astype(np.float32) + 0.1
+    tracemalloc.start()
+    D._product(at, ends, 1.0, idf, x, out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < out.nbytes
+
+
+def test_frequencies_travel_in_slices(spark, monkeypatch):
+    """A task sends its counts as at most 65 rows, not a row for every bucket; the counts are those of a plain loop."""
+    texts = [" ".join(f"w{k * j % 7919}" for j in range(3000)) for k in range(1, 4)] + [None, "", "w1 w1 W1"]
+    sent, summed = [], D._summed
+    monkeypatch.setattr(D, "_summed", lambda rows, part: sent.append(rows.count()) or summed(rows, part))
+    df, n = D.frequencies(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), D.Params())
+    want = np.zeros(1 << 20, dtype=np.int64)
+    for text in texts:
+        want[np.unique(D.buckets(D.words_of(text), 20))] += 1
+    assert n == 6 and (df == want).all()
+    assert 0 < sent[0] <= 65
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     """Documents of random words; some hold an item whole, in other letters, or with every eighth word changed."""
